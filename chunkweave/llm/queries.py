@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkweave.llm import length_histogram, packing, simhash
+from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, quality_rules, simhash, url_filter
 from chunkweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +17,48 @@ def op1_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.length_histogram(length_histogram.token_counts(read(spark, sf_dir, "documents")))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.listed_urls(pages, ("idiot", "moron")))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.hilbert_shards(read(spark, sf_dir, "documents"), shards=8, law="bytes")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality_rules.judged(docs, quality_rules.learn_from(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = budget_mix.mixed(read(spark, sf_dir, "documents"), budget_mix.n_words(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents")).drop("places")
+
+
+QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_length_histogram, op3_simhash_near_dedup, op7_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
