@@ -162,7 +162,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     pivots: list[np.ndarray] = []
     for dim in sorted({len(r.v) for r in sample}):
-        x = np.array([r.v for r in sample if len(r.v) == dim], "f8").reshape(-1, dim)
+        x = stacked(pd.Series([r.v for r in sample if len(r.v) == dim]))
         pivots += list(x[net(x, np.arange(len(x)), PIVOTS)[0]])
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +73,14 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(lowered(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
+def is_word(word: str, spot: Column) -> Column:
+    return spot["w"] == word
+
+
+def less(by: int, spot: Column) -> Column:
+    return spot["i"] - by
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -106,7 +114,7 @@ def scanned(docs: DataFrame, frequency: dict[str, int], base: tuple[Template, ..
     rows = rows.withColumn("_spots", spots)
 
     def starts(k: int) -> Column:
-        aligned = [F.transform(F.filter("_spots", lambda x, w=w: x["w"] == w), lambda x, at=at: x["i"] - at) for w, at in index[k]]
+        aligned = [F.transform(F.filter("_spots", partial(is_word, w)), partial(less, at)) for w, at in index[k]]
         phrase = templates[k].phrase.split()
         there = lambda s: (s >= 0) & (s + len(phrase) <= F.size("_w"))
         same = lambda s: F.when(there(s), F.slice("_w", s + 1, len(phrase)) == strings(phrase)).otherwise(F.lit(False))
@@ -120,9 +128,13 @@ def scanned(docs: DataFrame, frequency: dict[str, int], base: tuple[Template, ..
         hits = [F.when((at >= 0) & (F.get("_w", F.greatest(at, F.lit(0))) == w), 1).otherwise(0) for w, at in near]
         return (sum(hits, F.lit(len(phrase))) / F.lit(len(before) + len(phrase) + len(after))).cast("double")
 
+    def place(k: int, s: Column) -> Column:
+        words = F.lit(len(templates[k].phrase.split()))
+        return F.struct(F.lit(templates[k].label).alias("label"), s.cast("long").alias("start"), words.alias("words"), share(k, s).alias("share"))
+
     found = [f"_s{k}" for k in range(len(templates))]
     rows = rows.withColumns({f: F.coalesce(starts(k), F.array().cast("array<int>")) for k, f in enumerate(found)})
-    places = [F.transform(f, lambda s, k=k: F.struct(F.lit(templates[k].label).alias("label"), s.cast("long").alias("start"), F.lit(len(templates[k].phrase.split())).alias("words"), share(k, s).alias("share"))) for k, f in enumerate(found)]
+    places = [F.transform(f, partial(place, k)) for k, f in enumerate(found)]
     rows = rows.select("doc_id", "n_words", F.concat(*[F.col(f) for f in found[: len(base)]]).alias("_base"), F.concat(*places).alias("places"), F.concat(*places[: len(base)]).alias("_base_places"))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
     return rows.select(

@@ -23,6 +23,7 @@ from chunkweave.llm.common import checkpointed, col, sealed, words
 
 #: Characters that count as symbols: fixed values.
 SYMBOLS = "[#*$%&|<>]"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 FEATURES = ("symbol_share", "upper_share", "mark_share", "repeat_share", "line_share", "mean_length")
 BINS = 6
 #: Values are rounded to this many steps of one, so that exact quantiles need a bounded number of counters.
@@ -61,7 +62,10 @@ def text_stats(rows: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_spans")
     gaps = F.zip_with("_starts", F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_starts")
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # One row of an array: filters on the counts stay above it, else the optimizer would repeat all these steps in them.
+    stats = F.inline(F.array(F.struct(*STATS)))
+    return out.select(*[c for c in rows.columns], stats)
 
 
 def base_failed() -> Column:
