@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, quality_rules, simhash, url_filter
+from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, quality_rules, simhash, substring, url_filter
 from chunkweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(read(spark, sf_dir, "documents"), k=13, with_rows=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan, op10_substring_dedup)
 
 
 def queries() -> dict[str, Query]:
