@@ -11,6 +11,10 @@ went to. Each fingerprint gives the one-bit neighbours that lie in a shared cell
 with an equal neighbour are linked as a star around the smallest. So work and rows stay linear in the
 number of different fingerprints, whatever the size of a group of copies.
 
+Two bits are a narrow radius: texts whose shingles agree to 0.8 differ in 4 to 14 bits, which no bound on popcounts can
+sift. `keep_one` with a similarity therefore takes further candidates from bands of least shingle hashes, and verifies
+all of them, those from fingerprints too, on the whole sets of shingles. Each band is a star around a leader chosen by hash.
+
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other;
 rows with a null id get a component whose id is the smallest id in it, or null if it has none; repeated rows
 share a component; an empty table gives an empty result; other columns are ignored.
@@ -29,35 +33,52 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col, min_labels, sealed
 
 SEGMENTS, WIDTH = 16, 4
+#: For similarity 0.8, 12 bands of 4 miss 2 pairs in 1000.
+BANDS, ROWS = 12, 4
+FACTORS = np.random.default_rng(12).integers(1, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at once.
 RUN = 1 << 16
 
 
-def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint. A bit is set if it is in over half the hashes of the shingles."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all shingles, repeats included; of the whole sequence if it is shorter; none without words."""
     found = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space cuts
-    if not found:
-        return 0
     joined = b" ".join(found)
     if len(found) > shingle:
         size = np.fromiter(map(len, found), "i8", len(found))
         stop = np.cumsum(size + 1) - 1
         start = (stop - size).tolist()
         spans = zip(start, stop[shingle - 1 :].tolist(), strict=False)
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans]
-    else:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    raw = np.array(hashes, "<u8").view("u1").reshape(-1, 8)
-    ones = sum(np.unpackbits(raw[i : i + RUN], axis=1, bitorder="little").sum(0, dtype="i8") for i in range(0, len(raw), RUN))
+        return np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans], "<u8")
+    return np.array([xxhash.xxh64_intdigest(joined, seed)] if found else [], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint. A bit is set if it is in over half the hashes of the shingles."""
+    raw = hashes.view("u1").reshape(-1, 8)
+    ones = sum((np.unpackbits(raw[i : i + RUN], axis=1, bitorder="little").sum(0, dtype="i8") for i in range(0, len(raw), RUN)), np.zeros(64, "i8"))
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def signed(data: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(data), "big", signed=True)
+
+
+def band_keys(unique: np.ndarray) -> list[int]:
+    """Keys of BANDS groups of least values under ROWS hash functions each."""
+    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    for at in range(0, len(unique), 1 << 13):
+        x = unique[at : at + (1 << 13), None] * FACTORS
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return [signed(bytes([i]) + least[i * ROWS : (i + 1) * ROWS].tobytes()) for i in range(BANDS)] if len(unique) else []
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, fp (long) and text_key (a hash of the text) for each row of docs."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [simhash(t, shingle) for t in batch.column(1).to_pylist()]
+            fp = [simhash(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
@@ -85,27 +106,77 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, fp, label (a fingerprint that names the component) and component_id for each row."""
-    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, text_key, fp, node (a hash of the set of shingles) and keys (of its bands) for each row of docs."""
+
+    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                unique = np.unique(hashes)
+                fp.append(simhash(hashes))
+                node.append(signed(unique.tobytes()))
+                keys.append(band_keys(unique))
+            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (fp, node)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "text_key", "fp", "node", "keys"])
+
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(signed_rows, f"doc_id {kind}, text_key long, fp long, node long, `keys` array<long>")
+
+
+def labelled(marked: DataFrame) -> DataFrame:
+    """fp, label (a fingerprint that names the component) and component_id for each fingerprint of marked (doc_id, fp)."""
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = min_labels(near_links(distinct.select("fp")))
-    labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    first = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marked.join(checkpointed(labelled.join(first, "label").select("fp", "label", "component_id")), "fp")
+    found = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    first = found.groupBy("label").agg(F.min("first").alias("component_id"))
+    return checkpointed(found.join(first, "label").select("fp", "label", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id that links reach."""
-    found = components(docs, id_col, text_col, shingle)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    return marked.join(labelled(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of each component, with all its columns: that with the smallest id, and among rows that
-    repeat this id the one with the smallest hash of its text."""
-    found = components(docs, id_col, text_col, shingle).where("doc_id <=> component_id")
-    kept = found.groupBy("label", "doc_id").agg(F.min("text_key").alias("text_key")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Links a, b of nodes whose sets of shingles have at least this Jaccard similarity.
+
+    nodes: node, keys, doc_id and text_key of one of its texts. Candidates share a key with its leader.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    leader = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("leader")
+    leaders = keyed.groupBy("key").agg(leader, F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    pairs = checkpointed(keyed.join(leaders, "key").where("node <> leader").select("node", "leader").distinct())
+    asked = nodes.join(pairs.select("node").union(pairs.select("leader")).distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).view("i8") for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
+
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
+    rows = rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"]) & (rows["text_key"] == asked["key"]))
+    held = rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, held array<long>")
+    both = pairs.join(held, "node").join(held.select(F.col("node").alias("leader"), F.col("held").alias("other")), "leader")
+    shared = F.size(F.array_intersect("held", "other"))
+    return both.where(shared >= similarity * (F.size("held") + F.size("other") - shared)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that with the smallest id (null last), and
+    among rows that repeat this id the one with the smallest hash of its text."""
+    marked = checkpointed(signatures(docs, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    label = F.xxhash64(F.lit("fingerprints"), "label")
+    nodes = nodes.join(labelled(marked), "fp").select("node", "first.*", "first", F.array_append("keys", label).alias("keys"))
+    nodes = checkpointed(nodes)
+    labels = min_labels(similar_links(docs, nodes, similarity, id_col, text_col, shingle))
+    group = nodes.select("node", "first").join(labels, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")
+    kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
     rows = docs.select(sealed(docs), col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"))
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["text_key"] == kept["key"]))
     turn = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(0)))

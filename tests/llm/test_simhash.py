@@ -75,13 +75,35 @@ def test_links_of_crowded_fingerprints(spark):
     assert all((a ^ b) % 2**64 and ((a ^ b) % 2**64).bit_count() <= 4 for a, b in links.collect())
 
 
-def test_keep_one_of_each_component(spark):
-    docs = documents(spark)
-    kept = simhash.keep_one(docs, shingle=3)
+def jaccard(a, b, shingle=5):
+    sets = []
+    for t in (a, b):
+        w = found_words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_keep_one_of_each_group(spark):
+    r = random.Random(3)
+    given = rows()
+    for i in range(20):
+        w = [f"w{r.randrange(5000)}" for _ in range(120)]
+        given.append((5000 + i, " ".join(w), "en", "s", 1, "", 1, "", 0.0))
+        for j in range(3):
+            v = w.copy()
+            v[r.randrange(120)] = "changed"
+            given.append((6000 + 10 * i + j, " ".join(v), "en", "s", 1, "", 1, "", 0.0))
+    docs = documents(spark, given)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    found = {r.component_id for r in simhash.near_duplicates(docs, shingle=3).collect()}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(ids, key=lambda x: (x is not None, x)) == sorted(found, key=lambda x: (x is not None, x))
+    kept = kept.collect()
+    texts = [k.text for k in kept]
+    assert all(jaccard(a, b) < 0.8 for i, a in enumerate(texts) for b in texts[:i])
+    assert all(any(jaccard(g[1], t) >= 0.8 for t in texts) for g in given)
+    assert {5000 + i for i in range(20)} <= {k.doc_id for k in kept} and not any((k.doc_id or 0) >= 6000 for k in kept)
+    for k in kept:  # the smallest id of equal texts stays
+        same = [g[0] for g in given if g[1] == k.text]
+        assert k.doc_id == min((x for x in same if x is not None), default=None)
 
 
 def test_empty_table(spark):
