@@ -49,8 +49,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+    """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; a null text has none. Only the ends of a split can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), BLANKS)
+    lead = (F.element_at(parts, 1) == "").cast("int")
+    trail = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    return F.slice(parts, lead + 1, F.size(parts) - lead - trail)
 
 
 def min_labels(links: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col, sealed, words
 
 #: Characters that count as symbols: fixed values.
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 FEATURES = ("symbol_share", "upper_share", "mark_share", "repeat_share", "line_share", "mean_length")
 BINS = 6
+#: Bits of a window's place in its document.
+PLACE = 24
 #: Values are rounded to this many steps of one, so that exact quantiles need a bounded number of counters.
 STEPS = 1000
 
@@ -33,33 +35,45 @@ Rule = list[tuple[str, str, float]]
 
 
 def text_stats(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper and n_marks; rows has column `text`.
+    """Adds the STATS; rows has column `text`.
 
-    Windows of three words are sorted within their document; equal neighbours are repeats, and the starts of these, sorted,
-    cover min(3, gap to the next start) words each.
+    Windows of three words become longs of a hash and their place, sorted within their document. Neighbours with equal
+    hashes are compared word by word; should unequal words ever share a hash in a document, or places not fit in the
+    long, its windows are compared as strings instead. The places of repeats, sorted, cover min(3, gap to the next) words each.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = rows.withColumns({"_w": words(F.col(text)), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     n = F.size("_w")
-    spans = F.when(n > 3, F.zip_with(F.zip_with(F.slice("_w", 1, n - 2), F.slice("_w", 2, n - 2), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice("_w", 3, n - 2), lambda a, b: F.concat(a, F.lit(" "), b)))
+    only = lambda c, kind: F.length(F.regexp_replace(c, f"[^{kind}]+", "")).cast("long")
     joined = F.array_join("_w", "")
+    keys = F.transform(F.slice("_w", 1, n - 2), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(i.cast("long")))
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(joined).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+            "n_symbols": only(t, SYMBOLS),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
-            "n_upper": F.regexp_count(joined, F.lit("[A-Z]")).cast("long"),
-            "n_marks": F.regexp_count(joined, F.lit("[!?|]")).cast("long"),
-            "_spans": spans,
+            "n_upper": only(joined, "A-Z"),
+            "n_marks": only(joined, "!?|"),
+            "_keys": F.when(n.between(4, 1 << PLACE), F.sort_array(keys)),
         }
-    ).drop("_w", "_lines")
-    out = out.withColumn("_spans", F.when(F.size(F.array_distinct("_spans")) < F.size("_spans"), F.col("_spans")))
-    out = out.withColumn("_spans", F.array_sort(F.transform("_spans", lambda s, i: F.struct(s.alias("s"), i.alias("i")))))
-    same = lambda i, s: F.get("_spans", i)["s"] == s
-    twice = F.filter("_spans", lambda x, i: F.coalesce(same(i - 1, x["s"]), F.lit(False)) | F.coalesce(same(i + 1, x["s"]), F.lit(False)))
-    out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_spans")
+    )
+    near = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), PLACE) == 0
+    equal = F.zip_with("_keys", F.slice("_keys", 2, F.greatest(F.size("_keys"), F.lit(1))), lambda a, b: F.when(near(a, b), F.struct(a.alias("a"), b.alias("b"))))
+    out = out.withColumn("_pairs", F.array_compact(equal)).drop("_keys", "_lines")
+    at = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1).cast("long")).cast("int")
+
+    def clash(p: Column) -> Column:
+        differ = [F.get("_w", at(p["a"]) + k) != F.get("_w", at(p["b"]) + k) for k in range(3)]
+        return differ[0] | differ[1] | differ[2]
+
+    spans = F.transform(F.slice("_w", 1, n - 2), lambda x, i: F.struct(F.concat_ws(" ", x, F.get("_w", i + 1), F.get("_w", i + 2)).alias("s"), i.alias("i")))
+    out = out.withColumn("_spans", F.when(F.exists("_pairs", clash) | (n > 1 << PLACE), F.array_sort(spans)))
+    same = lambda i, s: F.coalesce(F.get("_spans", i)["s"] == s, F.lit(False))
+    slow = F.transform(F.filter("_spans", lambda x, i: same(i - 1, x["s"]) | same(i + 1, x["s"])), lambda x: x["i"])
+    quick = F.array_distinct(F.concat(F.transform("_pairs", lambda p: at(p["a"])), F.transform("_pairs", lambda p: at(p["b"]))))
+    out = out.withColumn("_starts", F.sort_array(F.when(F.col("_spans").isNull(), quick).otherwise(slow))).drop("_spans", "_pairs", "_w")
     gaps = F.zip_with("_starts", F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
@@ -84,14 +98,15 @@ def features() -> dict[str, Column]:
 
 
 def cut_points(labelled: DataFrame) -> dict[str, list[float]]:
-    """Thresholds of each feature at exact quantiles of the documents of either label, ends included more finely for the junk."""
-    at = [i / BINS for i in range(1, BINS)]
+    """Thresholds of each feature: midway between neighbours among the exact quantiles of the documents of either label."""
+    at = [i / BINS for i in range(BINS + 1)]
     asked = [F.percentile(F.when(F.col("good") == g, F.col(f)), F.array(*[F.lit(p) for p in at])).alias(f"{f}_{g}") for f in FEATURES for g in (0, 1)]
     found = labelled.agg(*asked).first()
     cuts = {}
     for f in FEATURES:
         values = sorted({round(v, 4) for g in (0, 1) for v in found[f"{f}_{g}"] or []})
-        cuts[f] = values[:: max(1, len(values) // (BINS - 1))][: BINS - 1]
+        middle = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+        cuts[f] = [middle[i * len(middle) // (BINS - 1)] for i in range(BINS - 1)] if len(middle) >= BINS else middle
     return cuts
 
 
@@ -157,20 +172,26 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options: float) -> list[Rule]:
-    """Learn from all documents with a label; an id with several labels counts once, as good if any label says so."""
+def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", **options: float) -> list[Rule]:
+    """Learn from all documents with a label. stats: id and STATS, so that no text is shuffled.
+
+    An id with several labels counts once, as good if any label says so.
+    """
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("good")).where("id is not null and good in (0, 1)")
     known = known.groupBy("id").agg(F.max("good").alias("good"))
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(known, "id")
+    rows = stats.withColumnRenamed("doc_id", "id").where(~base_failed()).join(known, "id")
     fold = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)).alias("fold")
-    found = text_stats(rows).where(~base_failed()).select(*[c.alias(f) for f, c in features().items()], "good", (fold == 2).cast("int").alias("fold"))
-    return learn(checkpointed(found), **options)
+    return learn(checkpointed(rows.select(*[c.alias(f) for f, c in features().items()], "good", (fold == 2).cast("int").alias("fold"))), **options)
+
+
+def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and STATS for each row: one pass over the texts, kept in a checkpoint of small rows."""
+    return checkpointed(text_stats(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))).drop("text"))
 
 
-def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the counts of text_stats, base_failed, rule (the rule that rejects, else null) and kept."""
-    rows = text_stats(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))).drop("text")
-    rows = rows.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
+def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds base_failed, rule (the rule that rejects, else null) and kept to document_stats."""
+    rows = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

@@ -32,8 +32,8 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = quality_rules.judged(docs, quality_rules.learn_from(docs, read(spark, sf_dir, "labels")))
+    stats = quality_rules.document_stats(read(spark, sf_dir, "documents"))
+    found = quality_rules.judged(stats, quality_rules.learn_from(stats, read(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 

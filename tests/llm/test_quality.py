@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from chunkweave.llm import quality_rules as q
 
 from .cases import documents, found_words, key, rows
@@ -19,9 +20,12 @@ def brute(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(held))
 
 
-def test_counts_match_brute_force(spark):
+@pytest.mark.parametrize("place", [24, 61, 3])
+def test_counts_match_brute_force(spark, monkeypatch, place):
+    """61 leaves three bits of hash, so that unequal windows clash; 3 leaves room for eight windows."""
+    monkeypatch.setattr(q, "PLACE", place)
     given = rows() + [(50, "a b c a b c a b", "en", "s", 1, "", 1, "", 0.0), (51, "a a a a", None, None, 1, "", 1, "", 0.0), (52, "x y z\nx y z\n\n x\nx y z ü|<#", None, None, 1, "", 1, "", 0.0)]
-    got = q.judged(documents(spark, given), []).collect()
+    got = q.judged(q.document_stats(documents(spark, given)), []).collect()
     want = []
     for r in given:
         s = brute(r[1])
@@ -47,10 +51,10 @@ def corpus(n, seed):
 def test_learns_on_some_and_judges_others(spark):
     given, labels = corpus(600, 1)
     known = spark.createDataFrame([x[:3] for x in labels] + [(None, 1, 0), (10**6, 0, 0), labels[5][:3]], "doc_id long, quality int, toxic int")
-    rules = q.learn_from(documents(spark, given), known)
+    rules = q.learn_from(q.document_stats(documents(spark, given)), known)
     assert 1 <= len(rules) <= 8
     given, labels = corpus(400, 2)
-    got = {r.doc_id: r for r in q.judged(documents(spark, given), rules).collect()}
+    got = {r.doc_id: r for r in q.judged(q.document_stats(documents(spark, given)), rules).collect()}
     bad = [i for i, *_, bad in labels if bad]
     assert sum(not got[i].kept for i in bad) >= 0.95 * len(bad)
     assert all(got[i].kept for i, *_, bad in labels if not bad)
@@ -62,6 +66,6 @@ def test_learns_on_some_and_judges_others(spark):
 
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert q.learn_from(documents(spark), none) == []
-    assert q.learn_from(documents(spark, []), none) == []
-    assert q.judged(documents(spark, []), []).count() == 0
+    assert q.learn_from(q.document_stats(documents(spark)), none) == []
+    assert q.learn_from(q.document_stats(documents(spark, [])), none) == []
+    assert q.judged(q.document_stats(documents(spark, [])), []).count() == 0
