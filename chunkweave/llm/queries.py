@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, quality_rules, simhash, substring, url_filter
 from chunkweave.llm.common import read
+from chunkweave.llm.oracle import oracle_sql  # noqa: F401  registered with the queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,7 @@ def op1_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return url_filter.judged(pages, url_filter.listed_urls(pages, ("idiot", "moron")))
+    return url_filter.judged(pages, url_filter.listed_urls(pages, ("idiot", "moron"))).drop("bloom_hit")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,3 @@ QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, o
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
