@@ -40,7 +40,9 @@ def search(store: DataFrame, questions: DataFrame, top_k: int | None = None, thr
     k = top_k or default_k
     dimension = (questions.agg(F.max(F.size("vector"))).first()[0]) or 0
     n = questions.count()
-    blocks = max(1, math.ceil(n * (dimension * 8 + 64) / BLOCK_BYTES))
+    if not n:
+        return store.limit(0).select(F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *[c for c in store.columns if c != "vector"])
+    blocks = math.ceil(n * (dimension * 8 + 64) / BLOCK_BYTES)
     kept = [f for f in store.schema.fields if f.name != "vector"]
     schema = T.StructType([questions.schema["question_id"], T.StructField("score", T.DoubleType()), *kept])
     found = None

@@ -88,7 +88,7 @@ def answered(spark: SparkSession, path: str) -> DataFrame:
     if not Files(spark, path).exists():
         return spark.createDataFrame([], "question_id string")
     rows = spark.read.schema("question_id string, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.select("question_id").where("question_id is not null").distinct()
+    return rows.where("_corrupt_record is null and question_id is not null").select("question_id").distinct()
 
 
 def pending(asked: DataFrame, done: DataFrame, limit: int | None = None, order: str = "question_id") -> DataFrame:
