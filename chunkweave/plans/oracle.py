@@ -103,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "search_threshold": VECTORS.format(which=twenty, k=10) + " AND score >= 0.5",
         "search_filtered": VECTORS.format(which=twenty + " AND v.label = 3", k=10),
         "rag_retrieve": f"{CHUNKS}{HITS} SELECT * FROM hits",
-        "upsert_merge": f"{CHUNKS} SELECT {POINT} AS id, source, index, CASE WHEN lang = 'en' THEN upper(text) ELSE text END AS text FROM chunks",
+        "upsert_merge": f"{CHUNKS} SELECT {POINT} AS id, source, index, CASE WHEN lang = 'en' THEN '2 ' || text ELSE text END AS text FROM chunks",
         "delete_source": f"{CHUNKS} SELECT source, index FROM chunks WHERE source <> (SELECT min(source) FROM corpus)",
         "reset_store": f"{CHUNKS} SELECT 'before' AS state, count(*) AS n_points FROM chunks UNION ALL SELECT 'after', 0",
         "resume_anti_join": f"WITH {CORPUS} SELECT source FROM corpus WHERE lang = 'fr' OR lang IS NULL OR trim(text, {WS}) = ''",

@@ -83,8 +83,9 @@ class Pipeline:
         hits = self.hits(asked, top_k).persist()
         rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), self.generator).where("status = 'ok'")
         out = rows.select("question_id", F.col("text").alias("answer")).join(candidates(asked, hits, max_docs), "question_id").persist()
+        n = out.count()  # before the write, which refreshes what was read from the same folder
         text_files.append_answers(out, output)
-        return out.count()
+        return n
 
     def status(self) -> tuple[int, list[str]]:
         return self.store.count(), [r.source for r in self.store.sources().collect()]

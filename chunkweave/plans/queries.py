@@ -154,10 +154,10 @@ def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents come in again twice, in lower and in upper case: the last wins."""
+    """English documents come in again twice, with a mark before each chunk: the last wins."""
     old = chunks(spark, sf_dir)
     again = chunk(corpus(spark, sf_dir).where("lang = 'en'"))
-    new = again.withColumns({"text": F.lower("text"), "seq": F.lit(1)}).unionByName(again.withColumns({"text": F.upper("text"), "seq": F.lit(2)}))
+    new = again.withColumns({"text": F.concat(F.lit("1 "), "text"), "seq": F.lit(1)}).unionByName(again.withColumns({"text": F.concat(F.lit("2 "), "text"), "seq": F.lit(2)}))
     new = collection.last_of(collection.points(new), "seq").drop("seq")
     return collection.merged(collection.points(old), new).select("id", "source", "index", "text")
 
