@@ -49,6 +49,16 @@ class HashedWords:
         return out
 
 
+class Remote:
+    """Embedder over any service: call(texts) -> vectors in the same order."""
+
+    def __init__(self, call: Callable[[list[str]], list[list[float]]], dimension: int) -> None:
+        self.call, self.dimension = call, dimension
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.call(texts) if texts else []
+
+
 def retry(call: Callable[[], Result], attempts: int = 5, base_delay: float = 5.0, what: str = "the call", sleep: Callable[[float], None] = time.sleep) -> Result:
     """Call again after 1, 2, 4, ... times base_delay; after the last attempt raise RuntimeError."""
     for k in range(attempts):

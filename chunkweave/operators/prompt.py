@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkweave.functions import text as X
+from chunkweave.operators.embedding import retry
 
 #: The wording of prompts and of the answer without context.
 BEFORE_CONTEXT = "Extraits de documents :\n---------------------\n"
@@ -41,6 +43,18 @@ class Echo:
         return [ECHO_HEADER + c[:600] for c in contexts]
 
 
+class Chat:
+    """Generator over any chat model: complete(system, prompt, temperature) -> text. Failed calls are repeated with growing pauses."""
+
+    def __init__(self, complete: Callable[[str, str, float], str | None], system: str | None = None, temperature: float = 0.1, attempts: int = 5, base_delay: float = 5.0) -> None:
+        self.complete, self.system, self.temperature = complete, system or SYSTEM_FR, temperature
+        self.attempts, self.base_delay = attempts, base_delay
+
+    def generate(self, prompts: list[str], contexts: list[str]) -> list[str]:
+        call = lambda p: self.complete(self.system, p, self.temperature)
+        return [(retry(partial(call, p), self.attempts, self.base_delay, "the chat model") or "").strip() for p in prompts]
+
+
 def contexts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """question_id, question, n_hits, context and sources for every question, with or without hits.
 

@@ -1,5 +1,4 @@
 import hashlib
-import random
 import re
 import uuid
 
@@ -8,7 +7,7 @@ import pytest
 from chunkweave.functions import text as X
 from chunkweave.operators import evaluate, prompt
 from chunkweave.operators.chunking import chunk, cut
-from chunkweave.operators.embedding import HashedWords, checked, complete_sources, embed, hashed_counts, retry
+from chunkweave.operators.embedding import HashedWords, Remote, checked, complete_sources, embed, hashed_counts, retry
 from chunkweave.operators.search import near_candidates, search
 from chunkweave.settings import Settings
 from hypothesis import given, settings
@@ -186,9 +185,21 @@ def test_prompts_and_answers(spark):
     assert got[2].text == prompt.NO_CONTEXT and got[3].status == "failed" and "no service" in got[3].error
 
 
+def test_adapters_of_remote_models(spark):
+    def flaky(system, text, temperature, seen=[]):  # noqa: B006
+        seen.append(text)
+        if len(seen) == 1:
+            raise OSError("busy")
+        return f"  {system[:2]} {text} {temperature} " if text else None
+
+    assert prompt.Chat(flaky, "EN", base_delay=0).generate(["q", ""], ["", ""]) == ["EN q 0.1", ""]
+    sizes = spark.createDataFrame([("a", "x" * i) for i in range(70)], "source string, text string").coalesce(1)
+    found = embed(sizes, Remote(lambda texts: [[float(len(texts)), float(len(t))] for t in texts], 2)).collect()
+    assert max(r.vector[0] for r in found) == 32 and sorted(r.vector[1] for r in found) == list(range(70))
+
+
 def test_settings():
     assert Settings.from_env({}) == Settings() and Settings.from_env({"TOP_K": " ", "CHUNK_SIZE": "200"}).chunk_size == 200
     for wrong in ({"TOP_K": "four"}, {"CHUNK_SIZE": "100"}):
         with pytest.raises(ValueError):
             Settings.from_env(wrong)
-    assert random.Random(0)
