@@ -1,0 +1,20 @@
+"""Document retrieval on Spark."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+#: The folder that holds this package.
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, if they share that folder.
+
+    Where they don't, ship the package with --py-files or install it.
+    """
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, known] if known else [HOME])

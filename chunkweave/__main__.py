@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from chunkweave import prepare
 from chunkweave.functions import text as X
 from chunkweave.plans.pipeline import Pipeline, is_folder
 from chunkweave.settings import Settings
@@ -39,6 +40,7 @@ def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     try:
         spark = SparkSession.builder.appName("chunkweave").getOrCreate()
+        prepare(spark)
         pipeline = Pipeline(spark, args.root, Settings.from_env())
     except (ValueError, OSError) as error:
         print(f"cannot start: {error}", file=sys.stderr)
