@@ -31,6 +31,12 @@ def matrix(vectors: pd.Series | list, dimension: int) -> np.ndarray:
     return np.array([np.zeros(dimension) if v is None else v for v in vectors], "f8").reshape(len(vectors), dimension)
 
 
+def leading(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, best first; of equal scores the earlier."""
+    near = np.arange(len(scores)) if len(scores) <= k else np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    return near[np.argsort(-scores[near], kind="stable")[:k]]
+
+
 def search(store: DataFrame, questions: DataFrame, top_k: int | None = None, threshold: float | None = None, default_k: int = DEFAULT_TOP_K) -> DataFrame:
     """question_id, rank (from 1), score and the columns of store but vector.
 
@@ -58,7 +64,7 @@ def search(store: DataFrame, questions: DataFrame, top_k: int | None = None, thr
                 scores = np.round(q @ unit(matrix(part["vector"], dimension)).T, 6) + 0.0
                 rows, columns, values = [], [], []
                 for i, own in enumerate(scores):
-                    best = np.argsort(-own, kind="stable")[:k]
+                    best = leading(own, k)
                     best = best[own[best] >= threshold] if threshold else best
                     rows += best.tolist()
                     columns += [ids[i]] * len(best)
