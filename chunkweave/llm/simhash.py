@@ -13,7 +13,9 @@ number of different fingerprints, whatever the size of a group of copies.
 
 Two bits are a narrow radius: texts whose shingles agree to 0.8 differ in 4 to 14 bits, which no bound on popcounts can
 sift. `keep_one` with a similarity therefore takes further candidates from bands of least shingle hashes, and verifies
-all of them, those from fingerprints too, on the whole sets of shingles. Each band is a star around a leader chosen by hash.
+all of them, those from fingerprints too, on the whole sets of shingles. First each band is a star around a leader chosen
+by hash. Then every band whose other members still belong to several components is compared in full: its members are dealt
+to blocks of bounded size, and each pair of blocks skips only pairs that are already in one component.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other;
 rows with a null id get a component whose id is the smallest id in it, or null if it has none; repeated rows
@@ -25,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -38,6 +41,8 @@ BANDS, ROWS = 12, 4
 FACTORS = np.random.default_rng(12).integers(1, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at once.
 RUN = 1 << 16
+#: Shingles in a block of members of one band.
+BLOCK = 1 << 18
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -107,23 +112,24 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, fp, node (a hash of the set of shingles) and keys (of its bands) for each row of docs."""
+    """doc_id, text_key, fp, node (a hash of the set of shingles), size (of this set) and keys (of its bands) for each row of docs."""
 
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, keys = [], [], []
+            fp, node, size, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 unique = np.unique(hashes)
                 fp.append(simhash(hashes))
                 node.append(signed(unique.tobytes()))
+                size.append(len(unique))
                 keys.append(band_keys(unique))
-            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (fp, node)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "text_key", "fp", "node", "keys"])
+            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (fp, node, size)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "text_key", "fp", "node", "size", "keys"])
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(signed_rows, f"doc_id {kind}, text_key long, fp long, node long, `keys` array<long>")
+    return rows.mapInArrow(signed_rows, f"doc_id {kind}, text_key long, fp long, node long, size long, `keys` array<long>")
 
 
 def labelled(marked: DataFrame) -> DataFrame:
@@ -141,28 +147,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(labelled(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Links a, b of nodes whose sets of shingles have at least this Jaccard similarity.
-
-    nodes: node, keys, doc_id and text_key of one of its texts. Candidates share a key with its leader.
-    """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("leader")
-    leaders = keyed.groupBy("key").agg(leader, F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    pairs = checkpointed(keyed.join(leaders, "key").where("node <> leader").select("node", "leader").distinct())
-    asked = nodes.join(pairs.select("node").union(pairs.select("leader")).distinct(), "node").select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node and held, its sorted set of shingles, for nodes (node, doc_id and text_key of one of its texts)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).view("i8") for t in batch.column(1).to_pylist()]
+            found = [np.unique(shingle_hashes(t, shingle).view("i8")) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
 
+    asked = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
     rows = rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"]) & (rows["text_key"] == asked["key"]))
-    held = rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, held array<long>")
+    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, held array<long>")
+
+
+def bucket_links(bucket: pd.DataFrame, key: int, crossed: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of the members of one bucket, or (crossed) of two of its blocks.
+
+    A pair is compared in the first bucket that both share. Members of many large buckets come first: they are likely centres of a group.
+    """
+    node, block, held = bucket["node"].to_numpy(), bucket["block"].to_numpy(), bucket["held"].tolist()
+    keys = np.stack(bucket["keys"].tolist())
+    place = int(np.argmax(keys[0] == key))
+    size = np.array([len(h) for h in held])
+    comp = np.unique(bucket["comp"].to_numpy(), return_inverse=True)[1]
+    common = np.zeros(len(node), "i8")
+    for column in keys.T:
+        _, back, n = np.unique(column, return_inverse=True, return_counts=True)
+        common += n[back]
+    waits, links = np.ones(len(node), bool), []
+    for x in np.lexsort((node, -common)):
+        waits[x] = False
+        asked = waits & (comp != comp[x]) & (size >= similarity * size[x]) & (size[x] >= similarity * size)
+        if crossed:
+            asked &= block != block[x]
+        at = np.flatnonzero(asked)
+        at = at[~(keys[at, :place] == keys[x, :place]).any(axis=1)]
+        if not len(at):
+            continue
+        flat = np.concatenate([held[y] for y in at])
+        found = held[x][np.minimum(np.searchsorted(held[x], flat), size[x] - 1)] == flat
+        shared = np.add.reduceat(found.astype("i8"), np.cumsum(size[at]) - size[at])
+        for y in at[shared >= similarity * (size[at] + size[x] - shared)]:
+            links.append((int(node[x]), int(node[y])))
+            comp[comp == comp[y]] = comp[x]
+    return links
+
+
+def rest_links(docs: DataFrame, nodes: DataFrame, led: DataFrame, labels: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame | None:
+    """Links between components among the members of each bucket other than its leader; None if no bucket has several components.
+
+    led: node and key of these members, of buckets of three and more. labels: components of the links to leaders.
+    """
+    rest = led.join(nodes.select("node", "size"), "node").where("size > 0").join(labels, "node", "left")
+    rest = rest.select("node", "key", "size", F.coalesce("label", "node").alias("comp"))
+    several = rest.groupBy("key").agg(F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    several = checkpointed(several.select("key", "total", F.ceil(F.col("total") / BLOCK).alias("blocks")))
+    whole = several.agg(F.sum("total")).first()[0]
+    if not whole:
+        return None
+    members = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
+    small = F.pmod(F.xxhash64("key"), F.lit(whole // BLOCK + 1))
+    members = checkpointed(members.select("node", "key", "comp", "blocks", "block", F.when(F.col("blocks") == 1, small).otherwise(F.col("key")).alias("unit")))
+    details = nodes.join(members.select("node").distinct(), "node")
+    held = shingle_sets(docs, details, id_col, text_col, shingle).join(details.select("node", "keys"), "node")
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"))))
+    dealt = members.withColumn("pair", pair).select("node", "key", "comp", "block", "unit", "pair.i", "pair.j").join(held, "node")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for (key, i, j), bucket in rows.groupby(["key", "i", "j"]):
+            links += bucket_links(bucket, key, i != j, similarity)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("unit", "i", "j").applyInPandas(compared, "a long, b long")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Links a, b that join all nodes that share a key and whose sets of shingles have at least this Jaccard similarity.
+
+    nodes: node, keys, size, doc_id and text_key of one of its texts. Members of a bucket are first compared with its leader, and
+    then, where they still belong to several components, with each other.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    leader = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("leader")
+    leaders = keyed.groupBy("key").agg(leader, F.count("*").alias("n")).where("n > 1")
+    led = checkpointed(keyed.join(leaders, "key").where("node <> leader").select("node", "key", "leader", "n"))
+    pairs = led.select("node", "leader").distinct()
+    asked = nodes.join(pairs.select("node").union(pairs.select("leader")).distinct(), "node")
+    held = shingle_sets(docs, asked, id_col, text_col, shingle)
     both = pairs.join(held, "node").join(held.select(F.col("node").alias("leader"), F.col("held").alias("other")), "leader")
     shared = F.size(F.array_intersect("held", "other"))
-    return both.where(shared >= similarity * (F.size("held") + F.size("other") - shared)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = both.where(shared >= similarity * (F.size("held") + F.size("other") - shared)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    labels = min_labels(links)
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    rest = rest_links(docs, nodes, led.where("n > 2").select("node", "key"), labels, similarity, id_col, text_col, shingle)
+    return links if rest is None else links.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -170,9 +250,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     among rows that repeat this id the one with the smallest hash of its text."""
     marked = checkpointed(signatures(docs, id_col, text_col, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    nodes = marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    nodes = marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     label = F.xxhash64(F.lit("fingerprints"), "label")
-    nodes = nodes.join(labelled(marked), "fp").select("node", "first.*", "first", F.array_append("keys", label).alias("keys"))
+    nodes = nodes.join(labelled(marked), "fp").select("node", "first.*", "first", "size", F.array_append("keys", label).alias("keys"))
     nodes = checkpointed(nodes)
     labels = min_labels(similar_links(docs, nodes, similarity, id_col, text_col, shingle))
     group = nodes.select("node", "first").join(labels, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")

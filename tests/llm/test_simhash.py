@@ -106,6 +106,23 @@ def test_keep_one_of_each_group(spark):
         assert k.doc_id == min((x for x in same if x is not None), default=None)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 3000])
+def test_copies_edited_apart_meet_their_original(spark, monkeypatch, block):
+    """Each copy resembles the original, but hardly any other copy. Blocks of 3000 shingles cut the buckets."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    r = random.Random(8)
+    w = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(w)]
+    for i in range(300):
+        v = w.copy()
+        for at in r.sample(range(10, 110), 2):
+            v[at] = f"new{i}x{at}"
+        texts.append(" ".join(v))
+    assert all(jaccard(t, texts[0]) >= 0.8 for t in texts) and jaccard(texts[1], texts[2]) < 0.8
+    kept = simhash.keep_one(documents(spark, [(i, t, "en", "s", 1, "", 1, "", 0.0) for i, t in enumerate(texts)]))
+    assert [k.doc_id for k in kept.collect()] == [0]
+
+
 def test_empty_table(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
