@@ -64,6 +64,25 @@ def test_learns_on_some_and_judges_others(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept}
 
 
+@pytest.mark.parametrize("least", [0.4, 0.05])
+def test_finds_a_rare_kind_of_bad_documents(spark, least):
+    """An eighth of the bad documents has many symbols, the others none; clean ones have some."""
+    r = random.Random(4)
+    given = []
+    for i in range(4000):
+        good = i % 4 > 0
+        rare = not good and i % 32 == 0
+        share = round(r.uniform(least, 0.4) if rare else r.uniform(0, 0.02) if good else 0.0, 3)
+        given.append((share, 0.0, 0.0, 0.0, 0.0, 5.0, int(good), int(i % 3 == 2), rare))
+    labelled = spark.createDataFrame(given, ", ".join(f"{f} double" for f in q.FEATURES) + ", good int, fold int, rare boolean")
+    assert all(len(c) < q.BINS for c in q.cut_points(labelled).values())
+    assert any(0.02 < c < least for c in q.cut_points(labelled)["symbol_share"])
+    rules = q.learn(labelled)
+    caught = lambda x: any(all((x > c) == (op == ">") for f, op, c in rule if f == "symbol_share") for rule in rules)
+    assert all(caught(x[0]) for x in given if x[-1])
+    assert not any(caught(x[0]) for x in given if x[0] and not x[-1])
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert q.learn_from(q.document_stats(documents(spark)), none) == []
