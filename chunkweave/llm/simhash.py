@@ -13,13 +13,16 @@ number of different fingerprints, whatever the size of a group of copies.
 
 Two bits are a narrow radius: texts whose shingles agree to 0.8 differ in 4 to 14 bits, which no bound on popcounts can
 sift. `keep_one` with a similarity therefore takes further candidates from bands of least shingle hashes, and verifies
-all of them, those from fingerprints too, on the whole sets of shingles. First each band is a star around a leader chosen
-by hash. Then every band whose other members still belong to several components is compared in full: its members are dealt
-to blocks of bounded size, and each pair of blocks skips only pairs that are already in one component.
+all of them, those from fingerprints too, on the whole sets of shingles. The sets of candidates are fetched once. First each band
+is a star around the member that shares the largest bands: an original leads its edited copies. Then every band whose other
+members still belong to several components is compared in full: its members are dealt to blocks of bounded size, and
+a pair is skipped only if it is in one component already, or if the Manhattan distance of its counts of shingles by
+hash, which never exceeds the number of shingles in one set alone, rules it out.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other;
 rows with a null id get a component whose id is the smallest id in it, or null if it has none; repeated rows
-share a component; an empty table gives an empty result; other columns are ignored.
+share a component; an empty table gives an empty result; other columns are ignored. `keep_one` keeps all columns; of rows
+that repeat id and text it keeps the one with the smallest hash of its row, once.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.llm.common import checkpointed, col, min_labels, sealed
@@ -41,8 +44,8 @@ BANDS, ROWS = 12, 4
 FACTORS = np.random.default_rng(12).integers(1, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at once.
 RUN = 1 << 16
-#: Shingles in a block of members of one band.
-BLOCK = 1 << 18
+#: Shingles in a block of members of one band, and counters of one member.
+BLOCK, COUNTERS = 1 << 18, 256
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -111,8 +114,14 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a type that can be hashed."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return F.xxhash64(*[col(c) for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, fp, node (a hash of the set of shingles), size (of this set) and keys (of its bands) for each row of docs."""
+    """doc_id, text_key, row_key, fp, node (a hash of the set of shingles), size (of this set) and keys (of its bands) for each row of docs."""
 
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +133,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 node.append(signed(unique.tobytes()))
                 size.append(len(unique))
                 keys.append(band_keys(unique))
-            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (fp, node, size)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "text_key", "fp", "node", "size", "keys"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(x, pa.int64()) for x in (fp, node, size)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "text_key", "row_key", "fp", "node", "size", "keys"])
 
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"), row_key(docs).alias("row_key"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(signed_rows, f"doc_id {kind}, text_key long, fp long, node long, size long, `keys` array<long>")
+    return rows.mapInArrow(signed_rows, f"doc_id {kind}, text_key long, row_key long, fp long, node long, size long, `keys` array<long>")
 
 
 def labelled(marked: DataFrame) -> DataFrame:
@@ -148,17 +157,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node and held, its sorted set of shingles, for nodes (node, doc_id and text_key of one of its texts)."""
+    """node, keys and held, its sorted set of shingles, for nodes (node, keys, doc_id and text_key of one of its texts)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle).view("i8")) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
+            found = [np.unique(shingle_hashes(t, shingle).view("i8")) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["node", "keys", "held"])
 
-    asked = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    asked = nodes.select("node", "keys", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_key"))
     rows = rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"]) & (rows["text_key"] == asked["key"]))
-    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, held array<long>")
+    return rows.select("node", "keys", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, `keys` array<long>, held array<long>")
+
+
+def counters(held: list[np.ndarray]) -> np.ndarray:
+    """Shingles of each set by the last bits of their hash. Counts are held at 255, which keeps their distance a lower bound."""
+    mean = sum(map(len, held)) // len(held)
+    n = min(COUNTERS, 1 << max(4, mean.bit_length()))
+    return np.stack([np.minimum(np.bincount(h & (n - 1), minlength=n), 255) for h in held]).astype("u1")
 
 
 def bucket_links(bucket: pd.DataFrame, key: int, crossed: bool, similarity: float) -> list[tuple[int, int]]:
@@ -170,6 +186,7 @@ def bucket_links(bucket: pd.DataFrame, key: int, crossed: bool, similarity: floa
     keys = np.stack(bucket["keys"].tolist())
     place = int(np.argmax(keys[0] == key))
     size = np.array([len(h) for h in held])
+    count = counters(held)
     comp = np.unique(bucket["comp"].to_numpy(), return_inverse=True)[1]
     common = np.zeros(len(node), "i8")
     for column in keys.T:
@@ -183,6 +200,8 @@ def bucket_links(bucket: pd.DataFrame, key: int, crossed: bool, similarity: floa
             asked &= block != block[x]
         at = np.flatnonzero(asked)
         at = at[~(keys[at, :place] == keys[x, :place]).any(axis=1)]
+        apart = np.abs(count[at].astype("i2") - count[x]).sum(axis=1)
+        at = at[apart * (1 + similarity) <= (1 - similarity) * (size[at] + size[x]) + 1e-6]
         if not len(at):
             continue
         flat = np.concatenate([held[y] for y in at])
@@ -194,13 +213,12 @@ def bucket_links(bucket: pd.DataFrame, key: int, crossed: bool, similarity: floa
     return links
 
 
-def rest_links(docs: DataFrame, nodes: DataFrame, led: DataFrame, labels: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame | None:
+def rest_links(led: DataFrame, held: DataFrame, labels: DataFrame, similarity: float) -> DataFrame | None:
     """Links between components among the members of each bucket other than its leader; None if no bucket has several components.
 
-    led: node and key of these members, of buckets of three and more. labels: components of the links to leaders.
+    led: node, size and key of these members. held: shingle_sets. labels: components of the links to leaders.
     """
-    rest = led.join(nodes.select("node", "size"), "node").where("size > 0").join(labels, "node", "left")
-    rest = rest.select("node", "key", "size", F.coalesce("label", "node").alias("comp"))
+    rest = led.join(labels, "node", "left").select("node", "key", "size", F.coalesce("label", "node").alias("comp"))
     several = rest.groupBy("key").agg(F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     several = checkpointed(several.select("key", "total", F.ceil(F.col("total") / BLOCK).alias("blocks")))
     whole = several.agg(F.sum("total")).first()[0]
@@ -208,9 +226,7 @@ def rest_links(docs: DataFrame, nodes: DataFrame, led: DataFrame, labels: DataFr
         return None
     members = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
     small = F.pmod(F.xxhash64("key"), F.lit(whole // BLOCK + 1))
-    members = checkpointed(members.select("node", "key", "comp", "blocks", "block", F.when(F.col("blocks") == 1, small).otherwise(F.col("key")).alias("unit")))
-    details = nodes.join(members.select("node").distinct(), "node")
-    held = shingle_sets(docs, details, id_col, text_col, shingle).join(details.select("node", "keys"), "node")
+    members = members.select("node", "key", "comp", "blocks", "block", F.when(F.col("blocks") == 1, small).otherwise(F.col("key")).alias("unit"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"))))
     dealt = members.withColumn("pair", pair).select("node", "key", "comp", "block", "unit", "pair.i", "pair.j").join(held, "node")
 
@@ -227,37 +243,49 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     """Links a, b that join all nodes that share a key and whose sets of shingles have at least this Jaccard similarity.
 
     nodes: node, keys, size, doc_id and text_key of one of its texts. Members of a bucket are first compared with its leader, and
-    then, where they still belong to several components, with each other.
+    then, where they still belong to several components, with each other. Nothing but these rows moves before candidates are known.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("leader")
-    leaders = keyed.groupBy("key").agg(leader, F.count("*").alias("n")).where("n > 1")
-    led = checkpointed(keyed.join(leaders, "key").where("node <> leader").select("node", "key", "leader", "n"))
-    pairs = led.select("node", "leader").distinct()
-    asked = nodes.join(pairs.select("node").union(pairs.select("leader")).distinct(), "node")
-    held = shingle_sets(docs, asked, id_col, text_col, shingle)
-    both = pairs.join(held, "node").join(held.select(F.col("node").alias("leader"), F.col("held").alias("other")), "leader")
-    shared = F.size(F.array_intersect("held", "other"))
-    links = both.where(shared >= similarity * (F.size("held") + F.size("other") - shared)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    keyed = nodes.where("size > 0").select("node", "size", F.explode("keys").alias("key"))
+    shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    weighed = shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("leader"))
+    leaders = leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
+    led = checkpointed(shared.join(leaders, "key").where("node <> leader"))
+    asked = nodes.join(led.select("node").union(led.select("leader")).distinct(), "node")
+    held = checkpointed(shingle_sets(docs, asked, id_col, text_col, shingle))
+    near = (F.col("size") >= similarity * F.col("leader_size")) & (F.col("leader_size") >= similarity * F.col("size"))
+    pairs = led.where(near).select("node", "leader").distinct()
+    both = pairs.join(held.select("node", "held"), "node").join(held.select(F.col("node").alias("leader"), F.col("held").alias("other")), "leader")
+    same = F.size(F.array_intersect("held", "other"))
+    links = both.where(same >= similarity * (F.size("held") + F.size("other") - same)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     labels = min_labels(links)
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    rest = rest_links(docs, nodes, led.where("n > 2").select("node", "key"), labels, similarity, id_col, text_col, shingle)
+    rest = rest_links(led.where("n > 2").select("node", "size", "key"), held, labels, similarity)
     return links if rest is None else links.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near copies, with all its columns: that with the smallest id (null last), and
-    among rows that repeat this id the one with the smallest hash of its text."""
+    among rows that repeat this id the one with the smallest hashes of its text and its row.
+
+    Whole texts are shuffled twice: to fetch the sets of candidates, and to take the rows that stay.
+    """
     marked = checkpointed(signatures(docs, id_col, text_col, shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    nodes = marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys"))
+    place = ("doc_id", "text_key", "row_key")
+    each = marked.groupBy("node", "size", "keys", *place).agg(F.min("fp").alias("fp"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place, "copies")).alias("first")
+    nodes = each.groupBy("node", "size", "keys").agg(first, F.min("fp").alias("fp"))
     label = F.xxhash64(F.lit("fingerprints"), "label")
-    nodes = nodes.join(labelled(marked), "fp").select("node", "first.*", "first", "size", F.array_append("keys", label).alias("keys"))
+    nodes = nodes.join(labelled(marked), "fp").select("node", "first.doc_id", "first.text_key", "first", "size", F.array_append("keys", label).alias("keys"))
     nodes = checkpointed(nodes)
     labels = min_labels(similar_links(docs, nodes, similarity, id_col, text_col, shingle))
     group = nodes.select("node", "first").join(labels, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")
-    kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
-    rows = docs.select(sealed(docs), col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["text_key"] == kept["key"]))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(0)))
-    return rows.withColumn("turn", turn).where("turn = 1").select("row.*")
+    kept = checkpointed(group.groupBy("group").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"_{c}") for c in (*place, "copies")]))
+    rows = docs.select(sealed(docs), col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), row_key(docs).alias("row_key"))
+    here = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("row_key") == F.col("_row_key"))
+    once = rows.join(kept.where("_copies = 1"), here).select("row.*")
+    if not kept.where("_copies > 1").head(1):
+        return once
+    # Equal rows: combined before the shuffle, so that many copies of one row do not meet.
+    again = rows.join(kept.where("_copies > 1"), here).groupBy(*place).agg(F.first("row").alias("row"))
+    return once.unionByName(again.select("row.*"))
