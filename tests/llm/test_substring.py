@@ -90,3 +90,17 @@ def test_kept_text_keeps_its_shape(spark):
 
 def test_empty_table(spark):
     assert substring.deduplicated(documents(spark, [])).count() == 0
+
+
+def test_many_rows_without_id(spark):
+    """Rows without id, copies of one text among them, are each cut by themselves; column names need quoting."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 4) for _ in range(n))
+    passage, copy = say(30), say(40)
+    given = [(7, passage, 1, 0.5, "x"), (8, copy, 1, 0.5, "x")]
+    given += [(None, copy if i % 3 == 0 else f"{say(15)} {passage} {say(14)}", i, 0.5, "x") for i in range(3000)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, `my col` int, `a.b` double, row string")
+    got = substring.deduplicated(docs).collect()
+    assert sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got), key=key) == brute(given)
+    assert sorted(g.row["my col"] for g in got) == sorted(g[2] for g in given)
+    assert got[0].row["a.b"] == 0.5
