@@ -34,7 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepare(spark)
     kept = substring.deduplicated(docs, k=13)
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return kept.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
