@@ -2,10 +2,12 @@
 
 Several metadata columns are quantised to `BITS` bits each, the cell's index on the Hilbert curve is computed
 with bit operations, and the rows in curve order are cut into shards, so that each shard covers a compact
-part of the space of all these columns and a reader can skip files by `shard_ranges`.
+part of the space of all these columns and a reader can skip files by `shard_ranges`. Every quantisation keeps the order of
+its column: names fall into ranges of neighbours that hold about equal shares of the rows. The first name has one
+bit more, as in a compact Hilbert index of unequal sides: the curve halves its range before all others.
 
 The global order needs no task that sees all rows: rows fall into buckets by curve index and the first
-byte of a hash of the row (a cell that holds a third of all rows is 256 buckets), counts and sizes of buckets are
+bits of a hash of the row (more bits for more rows, so that a cell with a third of all rows is many buckets), counts and sizes of buckets are
 summed in two levels, and rows are numbered within their bucket.
 
 Laws: `bytes` cuts at equal shares of the summed size (each cut within half a row of its share); `rows` makes counts
@@ -17,6 +19,7 @@ repeated rows are placed each on its own; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col
 
 BITS = 4
-#: Buckets that are summed together in one step.
-BLOCK = 4096
+#: Rows of one cell in a bucket, about, and the least number of bits of the hash that name a bucket.
+BUCKET, HASH_BITS = 1 << 20, 8
 
 
 def by_magnitude(number: Column) -> Column:
@@ -35,10 +38,29 @@ def by_magnitude(number: Column) -> Column:
     return F.coalesce(F.least(power, F.lit((1 << BITS) - 1)), F.lit(0))
 
 
-def by_hash(value: Column) -> Column:
-    """Quantise a name by the first bits of its MD5; 0 for null."""
-    digit = F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 2), 16, 10).cast("int")
-    return F.coalesce(F.shiftright(digit, 8 - BITS), F.lit(0))
+def cuts_of(docs: DataFrame, name: Column, cells: int) -> list[tuple[object, int]]:
+    """The least names of ranges that hold about equal shares of the rows, in order, with the number (1 to cells) of each range.
+
+    Names are counted and sorted in Spark and summed in two levels; one row for each partition and range reaches the driver.
+    """
+    counts = docs.select(name.alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    counts = checkpointed(counts.orderBy("name")).withColumn("part", F.spark_partition_id())
+    total = 0
+    starts: list = []
+    for r in sorted(counts.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        starts += [F.lit(r.part), F.lit(total)]
+        total += r.n
+    if not starts:
+        return []
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell = F.floor((F.create_map(*starts)[F.col("part")] + ahead) * cells / F.lit(total)).cast("int") + 1
+    return [(r.least, r.cell) for r in counts.withColumn("cell", cell).groupBy("cell").agg(F.min("name").alias("least")).orderBy("cell").collect()]
+
+
+def by_cuts(value: Column, cuts: list[tuple[object, int]]) -> Column:
+    """The number of the value's range; 0 for null and names under all ranges."""
+    steps = [F.when(value >= F.lit(least), cell - before).otherwise(0) for (least, cell), (_, before) in zip(cuts, [(None, 0), *cuts], strict=False)]
+    return reduce(lambda a, b: a + b, steps, F.lit(0))
 
 
 def by_range(number: Column, least: int | None, most: int | None) -> Column:
@@ -79,15 +101,15 @@ def with_curve(df: DataFrame, dims: list[str], name: str = "curve") -> DataFrame
 
 def placed(rows: DataFrame, shards: int, law: str) -> DataFrame:
     """Add shard and slot to rows with size, curve and tie (a long); equal rows may trade places."""
-    bucket = F.shiftleft("curve", 8) + F.shiftrightunsigned("tie", 56)
-    rows = rows.withColumn("bucket", bucket)
+    bits = max(HASH_BITS, math.ceil(math.log2(max(1, rows.count()) / BUCKET)))
+    rows = rows.withColumn("bucket", F.shiftleft("curve", bits) + F.shiftrightunsigned("tie", 64 - bits))
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    sums = checkpointed(sums.withColumn("block", F.floor(F.col("bucket") / BLOCK)))
+    sums = checkpointed(sums.withColumn("block", F.shiftright("bucket", bits + BITS)))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_block") for c in "nb"])
     within = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.join(F.broadcast(blocks), "block")  # blocks: at most 2^20 / BLOCK rows
+    starts = sums.join(F.broadcast(blocks), "block")  # blocks: at most 2^(3 BITS + 1) rows for four dimensions
     starts = starts.select("bucket", *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{c}_block")).alias(f"{c}_before") for c in "nb"])
     n, total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     order = Window.partitionBy("bucket").orderBy("curve", "tie", "size", "doc_id")
@@ -107,21 +129,27 @@ def placed(rows: DataFrame, shards: int, law: str) -> DataFrame:
 def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, size, text_crc32, curve, the cell's dimensions (dim0, ...), shard and slot for each row.
 
-    Dimensions: the names by hash, the size by magnitude and the id by range. size: UTF-8 bytes of the text plus 1.
+    Dimensions: the names by ranges, the size by magnitude and the id by range. size: UTF-8 bytes of the text plus 1.
+    The names themselves are kept as name0, ...
     """
     text = F.coalesce(col(text_col), F.lit(""))
     least, most = docs.agg(F.min(col(id_col)), F.max(col(id_col))).first()
     size = (F.octet_length(text) + 1).cast("long")
-    dims = [by_hash(col(c)) for c in names] + [by_magnitude(size), by_range(col(id_col), least, most)]
+    # Null is the lowest range. The first name has one bit more.
+    first, *others = [by_cuts(col(c), cuts_of(docs, col(c), (1 << BITS + (i == 0)) - 1)) for i, c in enumerate(names)]
+    dims = [first.bitwiseAND((1 << BITS) - 1), *others, by_magnitude(size), by_range(col(id_col), least, most)]
     known = [f"dim{i}" for i in range(len(dims))]
-    rows = docs.select(col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[d.alias(k) for d, k in zip(dims, known, strict=True)])
+    kept = [col(c).alias(f"name{i}") for i, c in enumerate(names)]
+    rows = docs.select(col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *kept, *[d.alias(k) for d, k in zip(dims, known, strict=True)], F.shiftright(first, BITS).alias("half"))
     rows = with_curve(rows, known).withColumn("tie", F.xxhash64("doc_id", "text_crc32"))
+    rows = rows.withColumn("curve", F.col("curve") + F.shiftleft(F.col("half").cast("long"), BITS * len(dims))).withColumn("dim0", F.col("dim0") + F.shiftleft("half", BITS)).drop("half")
     return placed(checkpointed(rows), shards, law).drop("tie")
 
 
 def shard_ranges(sharded: DataFrame) -> DataFrame:
-    """For each shard its rows, its size and the range of each dimension, by which readers skip it."""
-    dims = [c for c in sharded.columns if c.startswith("dim")]
+    """For each shard its rows, its size, and of each name and dimension the range, by which readers skip it, and the nulls among names."""
+    ranged = [c for c in sharded.columns if c.startswith(("dim", "name"))]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in ranged if c.startswith("name")]
     return sharded.groupBy("shard").agg(
-        F.count("*").alias("rows"), F.sum("size").alias("bytes"), *[f(c).alias(f"{c}_{f.__name__}") for c in dims for f in (F.min, F.max)]
+        F.count("*").alias("rows"), F.sum("size").alias("bytes"), *[f(c).alias(f"{c}_{f.__name__}") for c in ranged for f in (F.min, F.max)], *nulls
     )

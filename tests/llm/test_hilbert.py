@@ -47,6 +47,28 @@ def test_hot_cell_is_cut_in_many_buckets(spark):
     assert hilbert.shard_ranges(got).count() == 8
 
 
+def test_ranges_of_raw_names_prune(spark):
+    """A reader who wants one source opens at most 3 of 8 shards (median) by the least and greatest names in each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ranges = hilbert.shard_ranges(hilbert.hilbert_shards(docs, 8, "bytes")).collect()
+    names = sorted(r[0] for r in docs.select("source").distinct().collect())
+    reads = sorted(sum(r.name0_min <= n <= r.name0_max for r in ranges) for n in names)
+    assert len(names) >= 10 and reads[0] >= 1
+    assert reads[len(reads) // 2] <= 3
+    assert sum(r["rows"] for r in ranges) == docs.count()
+
+
+def test_ranges_keep_the_order_of_names(spark):
+    names = [f"n{i:04d}" for i in range(700)] * 2 + ["n0350"] * 700 + [None] * 5
+    df = spark.createDataFrame([(n,) for n in names], "s string").repartition(7)
+    cuts = hilbert.cuts_of(df, F.col("s"), 15)
+    assert [c for _, c in cuts] == sorted({c for _, c in cuts}) and 1 <= cuts[0][1] and cuts[-1][1] <= 15
+    got = sorted((r.s or "", r.cell) for r in df.select("s", hilbert.by_cuts(F.col("s"), cuts).alias("cell")).collect())
+    assert [c for _, c in got] == sorted(c for _, c in got)
+    assert {c for n, c in got if not n} == {0} and min(c for n, c in got if n) == 1
+    assert Counter(c for n, c in got if n and n != "n0350").most_common(1)[0][1] <= 2 * 1400 / 15
+
+
 def test_empty_table_and_unknown_law(spark):
     assert hilbert.hilbert_shards(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
