@@ -1,18 +1,19 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Queries and data share one index. Its top level is a net of at most `PIVOTS` points, chosen farthest first from a
-bounded sample (`SAMPLE` vectors; only balance and speed depend on it). Every vector joins its nearest pivot, whose covering
-radius is the largest distance found over all rows. Crowded pivots are split by hash into blocks of about `BLOCK` rows.
+Queries and data share one index. Its upper levels are a tree of pivots, chosen farthest first from a bounded sample (at most
+`SAMPLE` vectors; only balance and speed depend on it) down to leaves of about `BLOCK` rows. Every row goes down to a
+leaf, whose covering radius is the largest distance found over all its rows. Small leaves that follow each other share a block
+and crowded ones are dealt to several. Blocks travel packed, in the least kind of number that holds them.
 
 1. Each block is searched for the queries that live in it, which gives each query a first kth score.
-2. A query goes on only to pivots whose bound, by the covering radius, reaches its kth score, and meets each block of these once.
-3. Within a block, a cover tree over the data and one over the queries are walked in pairs; a pair is pruned when
-   its bound by both covering radii stays under the worst kth score of its queries.
-
-No vector pair is made outside the arrays of one block and one chunk of at most about `CHUNK` queries.
-
-Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no part; rows that
-repeat an id count once, with the smallest vector; vectors meet only those of their own dimension; scores beyond 64 bits
+2. Queries of neighbouring leaves form chunks. A chunk asks only for blocks with a leaf whose bound, by the covering radius, reaches
+   the kth score of one of its queries. Just these pairs of a chunk and a block are made, `TOGETHER` blocks to a task.
+3. Within a task, cover trees over the chunk and over each block are walked in pairs; a pair of nodes is pruned when
+   its bound by both covering radii stays under the worst kth score of its queries, which rises from block to block.
+
+Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no part. Rows that repeat
+an id, with equal or other vectors, are candidates each; as queries they share one ranking of all their scores, and none
+of them is a candidate of this id. Vectors meet only those of their own dimension; scores beyond 64 bits
 are held at the ends of the range; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.llm.common import checkpointed, col
 
-PIVOTS, SAMPLE, BLOCK, CHUNK = 32, 2048, 4096, 16_384
+SAMPLE, BLOCK, CHUNK, TOGETHER = 32_768, 4096, 16_384, 16
 LEAF, FANOUT = 128, 16
 EXACT = float(1 << 53)
 
@@ -104,10 +105,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Best:
-    """Candidates of each query among data that reach its floor, at most k, without the query's own id."""
-    best = Best(k, floor)
-    todo = [(math.inf, cover_tree(queries), cover_tree(data))]
+def dual_search(best: Best, tree: Node, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray) -> None:
+    """Adds the candidates among data that reach what each query needs, without the query's own id. tree: over queries."""
+    todo = [(math.inf, tree, cover_tree(data))]
     while todo:
         most, q, d = todo.pop()
         if most < best.need[q.rows].min():
@@ -125,7 +125,6 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, d
                     best.add(q.rows[i], scores[i, reach[i]], ids[rows][reach[i]])
             continue
         todo += sorted([(bound(a, b), a, b) for a, b in pairs], key=lambda x: x[0])
-    return best
 
 
 def results(best: Best, query_ids: np.ndarray) -> pd.DataFrame:
@@ -142,12 +141,22 @@ def stacked(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), "f8").reshape(len(vectors), -1)
 
 
+def packed(x: np.ndarray) -> dict[str, object]:
+    """A matrix of whole numbers in the least kind of number that holds them."""
+    top = np.abs(x).max() if x.size else 0
+    kind = next((t for t in ("<i2", "<i4") if top <= np.iinfo(t).max), "<f8")
+    return {"dim": x.shape[1], "kind": kind, "x": x.astype(kind).tobytes()}
+
+
+def unpacked(row: object) -> np.ndarray:
+    return np.frombuffer(row.x, row.kind).astype("f8").reshape(len(row.ids) // 8, row.dim)
+
+
 def vectors_of(rows: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v (floor of the scaled components) of the rows that take part, each id once."""
+    """vec_id and v (floor of the scaled components) of the rows that take part."""
     usable = F.forall(col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(col(vector_col), lambda x: x.cast("double"))
     rows = rows.where(col(id_col).isNotNull() & col(vector_col).isNotNull() & usable).select(col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def scaled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -156,80 +165,164 @@ def vectors_of(rows: DataFrame, scale: int, id_col: str, vector_col: str) -> Dat
     return rows.mapInPandas(scaled, "vec_id long, v array<double>")
 
 
+class Pivots:
+    """The upper levels of the index: a tree of centers for each dimension, with numbered leaves in order."""
+
+    def __init__(self, sample: list[np.ndarray], n: int) -> None:
+        self.leaves: list[np.ndarray] = []
+        self.roots = {}
+        for dim in sorted({len(v) for v in sample}):
+            x = np.stack([v for v in sample if len(v) == dim])
+            self.roots[dim] = self.split(x, np.arange(len(x)), n / len(sample))
+
+    def split(self, x: np.ndarray, rows: np.ndarray, weight: float) -> int | tuple[np.ndarray, list]:
+        """A leaf's number, or centers and what is below each. A row of the sample stands for `weight` rows."""
+        if len(rows) * weight > BLOCK and len(rows) > 1 and (x[rows] != x[rows[0]]).any():
+            centers, nearest = net(x, rows, FANOUT)
+            return x[centers], [self.split(x, np.concatenate(([c], (own := rows[nearest == k])[own != c])), weight) for k, c in enumerate(centers)]
+        self.leaves.append(x[rows[0]])
+        return len(self.leaves) - 1
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row; -1 - dimension where the sample has none of it."""
+        out = np.full(len(x), -1 - x.shape[1], "i8")
+        todo = [(self.roots[x.shape[1]], np.arange(len(x)))] if x.shape[1] in self.roots else []
+        while todo:
+            node, at = todo.pop()
+            if isinstance(node, int):
+                out[at] = node
+            elif len(at):
+                centers, below = node
+                nearest = np.stack([np.linalg.norm(x[at] - c, axis=1) for c in centers]).argmin(axis=0)
+                todo += [(child, at[nearest == k]) for k, child in enumerate(below)]
+        return out
+
+    def center(self, leaf: int) -> np.ndarray:
+        return self.leaves[leaf] if leaf >= 0 else np.zeros(-1 - leaf)
+
+
+class Blocks:
+    """Which block and chunk the rows of each leaf go to: at most SAMPLE leaves, and one for each dimension that the sample missed."""
+
+    def __init__(self, pivots: Pivots, stats: list[tuple[int, int, int, float]]) -> None:
+        stats = sorted(stats, key=lambda s: (len(pivots.center(s[0])), s[0]))
+        self.at = {leaf: i for i, (leaf, *_) in enumerate(stats)}
+        self.centers = [pivots.center(leaf) for leaf, *_ in stats]
+        self.radius = np.array([s[3] for s in stats])
+        dims = [len(c) for c in self.centers]
+        self.blocks = self.dealt(dims, [s[1] for s in stats], BLOCK)
+        self.chunks = self.dealt(dims, [s[2] for s in stats], CHUNK)
+
+    @staticmethod
+    def dealt(dims: list[int], counts: list[int], most: int) -> np.ndarray:
+        """The first place of each leaf and how many it is dealt to. Leaves in a row share one while they fit, if of one dimension."""
+        out, place, held = [], 0, 0
+        for i, n in enumerate(counts):
+            if held and (held + n > most or dims[i] != dims[i - 1]):
+                place, held = place + 1, 0
+            many = max(1, math.ceil(n / most))
+            out.append((place, many))
+            held += n
+            if many > 1:
+                place, held = place + many, 0
+        return np.array(out, "i8").reshape(-1, 2)
+
+    def places(self, leaf: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, back = np.unique(leaf, return_inverse=True)
+        own = np.array([self.at[i] for i in known.tolist()], "i8")[back]
+        return tuple(self.blocks_of(p, own, turn) for p in (self.blocks, self.chunks))
+
+    @staticmethod
+    def blocks_of(places: np.ndarray, own: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return places[own, 0] + turn % places[own, 1]
+
+    def reached(self, x: np.ndarray, floor: np.ndarray) -> list[int]:
+        """Blocks with a leaf whose bound reaches the floor of some query."""
+        norm, out = np.linalg.norm(x, axis=1)[:, None], set()
+        same = [i for i, c in enumerate(self.centers) if len(c) == x.shape[1]]
+        for at in range(0, len(same), 256):
+            some = same[at : at + 256]
+            most = x @ np.stack([self.centers[i] for i in some]).T + norm * self.radius[some]
+            near = (most + 1e-9 * np.abs(most) + 1e-3 >= floor[:, None]).any(axis=0)
+            for i in np.array(some)[near].tolist():
+                first, many = self.blocks[i].tolist()
+                out.update(range(first, first + many))
+        return sorted(out)
+
+
+BLOB = "ids binary, dim int, kind string, x binary"
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score. is_query: a condition on column vec_id."""
+    sc = rows.sparkSession.sparkContext
     data = checkpointed(vectors_of(rows, scale, id_col, vector_col))
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    pivots: list[np.ndarray] = []
-    for dim in sorted({len(r.v) for r in sample}):
-        x = stacked(pd.Series([r.v for r in sample if len(r.v) == dim]))
-        pivots += list(x[net(x, np.arange(len(x)), PIVOTS)[0]])
+    n = data.count()
+    size = min(SAMPLE, max(2048, 32 * math.ceil(n / BLOCK)))
+    sample = data.orderBy(F.xxhash64("vec_id", "v")).limit(size).select("v").collect()
+    pivots = sc.broadcast(Pivots([np.array(r.v, "f8") for r in sample], n))
 
-    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def descended(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part.assign(node=-1, dist=0.0)
-            for dim, at in part.groupby(part["v"].map(len)).groups.items():
+            part = part.assign(leaf=0, dist=0.0)
+            for at in part.groupby(part["v"].map(len)).groups.values():
                 x = stacked(part.loc[at, "v"])
-                own = [i for i, p in enumerate(pivots) if len(p) == dim]
-                # A dimension that the sample missed has its origin as pivot.
-                d = np.stack([np.linalg.norm(x - pivots[i], axis=1) for i in own] or [np.linalg.norm(x, axis=1)])
-                part.loc[at, "node"] = np.array(own or [-1 - dim])[d.argmin(axis=0)]
-                part.loc[at, "dist"] = d.min(axis=0)
+                leaf = pivots.value.leaf(x)
+                for own in np.unique(leaf).tolist():
+                    part.loc[at[leaf == own], "dist"] = np.linalg.norm(x[leaf == own] - pivots.value.center(own), axis=1)
+                part.loc[at, "leaf"] = leaf
             yield part
 
-    placed = checkpointed(data.mapInPandas(nearest, "vec_id long, v array<double>, node int, dist double"))
-    # One row for each pivot, and for each dimension that the sample missed.
-    nodes = {r.node: (r.n, r.radius) for r in placed.groupBy("node").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
-    if not nodes:
-        return placed.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    parts_of = F.create_map(*[F.lit(x) for node, (n, _) in nodes.items() for x in (node, math.ceil(n / BLOCK))])
-    parts = F.element_at(parts_of, F.col("node"))
-    placed = placed.withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts).cast("int"), "asks": is_query})
+    placed = data.mapInPandas(descended, "vec_id long, v array<double>, leaf long, dist double")
+    placed = checkpointed(placed.select("vec_id", "v", "leaf", "dist", is_query.alias("asks"), F.monotonically_increasing_id().alias("turn")))
+    stats = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking"), F.max("dist").alias("radius"))
+    blocks = sc.broadcast(Blocks(pivots.value, [tuple(r) for r in stats.collect()]))
+
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            block, chunk = blocks.value.places(part["leaf"].to_numpy(), part["turn"].to_numpy())
+            yield part[["vec_id", "v", "asks"]].assign(block=block, chunk=chunk)
+
+    numbers = placed.mapInPandas(numbered, "vec_id long, v array<double>, asks boolean, block long, chunk long")
 
     def within(block: pd.DataFrame) -> pd.DataFrame:
-        asks = block["asks"].to_numpy(bool)
-        ids, x = block["vec_id"].to_numpy("i8"), stacked(block["v"])
-        if not asks.any():
-            return results(Best(k, np.empty(0)), np.empty(0, "i8"))
-        floor = np.full(asks.sum(), -np.inf)
-        return results(dual_search(x[asks], ids[asks], floor, x, ids, k), ids[asks])
-
-    near = checkpointed(placed.groupBy("node", "part").applyInPandas(within, FOUND))
+        """The packed block, and what its own queries find in it."""
+        ids, x, asks = block["vec_id"].to_numpy("i8"), stacked(block["v"]), block["asks"].to_numpy(bool)
+        best = Best(k, np.full(asks.sum(), -np.inf))
+        if asks.any():
+            dual_search(best, cover_tree(x[asks]), x[asks], ids[asks], x, ids)
+        found = results(best, ids[asks]).to_dict("records")
+        return pd.DataFrame([{"block": block["block"].iloc[0], "ids": ids.tobytes(), **packed(x), "found": found}])
+
+    held = checkpointed(numbers.groupBy("block").applyInPandas(within, f"block long, {BLOB}, found array<struct<{FOUND.replace(' ', ':')}>>".replace(",:", ", ")))
+    near = held.select(F.inline("found"))
     kth = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    asking = placed.where("asks").join(kth, F.col("vec_id") == F.col("query_id"), "left")
-    asking = asking.select("vec_id", "v", "node", "part", F.when(F.col("n") >= k, F.col("kth")).cast("double").alias("floor"))
-
-    def onward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each query and pivot whose bound reaches the query's kth score."""
-        for part in parts:
-            rows, to = [], []
-            for i, (v, floor) in enumerate(zip(part["v"], part["floor"].fillna(-np.inf), strict=True)):
-                v = np.asarray(v, "f8")
-                norm = float(np.linalg.norm(v))
-                for node, (_, radius) in nodes.items():
-                    center = np.zeros(-1 - node) if node < 0 else pivots[node]
-                    if len(center) == len(v):
-                        most = float(v @ center) + norm * radius
-                        if most + 1e-9 * abs(most) + 1e-3 >= floor:
-                            rows.append(i)
-                            to.append(node)
-            yield part.iloc[rows].assign(to=np.array(to, "i4"))
-
-    n_asking = placed.where("asks").count()
-    chunks = max(1, math.ceil(n_asking / CHUNK))
-    asked = asking.mapInPandas(onward, "vec_id long, v array<double>, node int, part int, floor double, `to` int")
-    asked = asked.withColumn("to_part", F.explode(F.sequence(F.lit(0), F.element_at(parts_of, F.col("to")) - 1))).where("`to` <> node or to_part <> part")
-    asked = asked.select("vec_id", "v", "floor", F.col("to").alias("node"), F.col("to_part").alias("part"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
-    copies = placed.select("vec_id", "v", "node", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-
-    def across(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(block):
-            return results(Best(k, np.empty(0)), np.empty(0, "i8"))
-        floor = queries["floor"].fillna(-np.inf).to_numpy("f8")
-        ids = queries["vec_id"].to_numpy("i8")
-        return results(dual_search(stacked(queries["v"]), ids, floor, stacked(block["v"]), block["vec_id"].to_numpy("i8"), k), ids)
-
-    key = ("node", "part", "chunk")
-    far = asked.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(across, FOUND)
+    asking = numbers.where("asks").join(kth, F.col("vec_id") == F.col("query_id"), "left")
+    asking = asking.select("vec_id", "v", "block", "chunk", F.when(F.col("n") >= k, F.col("kth")).cast("double").alias("floor"))
+
+    def gathered(chunk: pd.DataFrame) -> pd.DataFrame:
+        """The packed chunk and the blocks that it asks for."""
+        x, floor = stacked(chunk["v"]), chunk["floor"].fillna(-np.inf).to_numpy("f8")
+        row = {"chunk": chunk["chunk"].iloc[0], "ids": chunk["vec_id"].to_numpy("i8").tobytes(), **packed(x), "floors": floor.tobytes()}
+        return pd.DataFrame([row | {"homes": chunk["block"].to_numpy("i8").tobytes(), "blocks": blocks.value.reached(x, floor)}])
+
+    asked = checkpointed(asking.groupBy("chunk").applyInPandas(gathered, f"chunk long, {BLOB}, floors binary, homes binary, blocks array<long>"))
+    pairs = asked.select("chunk", F.explode("blocks").alias("block")).withColumn("some", F.floor(F.col("block") / TOGETHER))
+    left = pairs.select("chunk", "some").distinct().join(asked.drop("blocks"), "chunk")
+    left = left.select(F.col("chunk").alias("by"), F.col("some").alias("part"), "ids", "dim", "kind", "x", "floors", "homes")
+    right = pairs.join(held.drop("found"), "block")
+
+    def across(chunk: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        chunk = next(chunk.itertuples())
+        queries, ids, homes = unpacked(chunk), np.frombuffer(chunk.ids, "i8"), np.frombuffer(chunk.homes, "i8")
+        best, tree = Best(k, np.frombuffer(chunk.floors, "f8")), cover_tree(queries)
+        for block in some.sort_values("block").itertuples():
+            need = best.need.copy()
+            best.need[homes == block.block] = np.inf  # searched before
+            dual_search(best, tree, queries, ids, unpacked(block), np.frombuffer(block.ids, "i8"))
+            best.need[homes == block.block] = need[homes == block.block]
+        return results(best, ids)
+
+    far = left.groupBy("by", "part").cogroup(right.groupBy("chunk", "some")).applyInPandas(across, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -122,17 +122,13 @@ def test_fit_is_exact_where_it_can_be():
 
 
 def top(vectors, k=20):
-    clean = {}
-    for i, v, *_ in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            clean[i] = min(clean.get(i, v), v)
-    whole = {i: [int(np.floor(64 * float(x))) for x in v] for i, v in clean.items()}
-    out = []
-    for i, v in whole.items():
+    """Every row is a candidate; rows that repeat a query's id share one ranking."""
+    whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v, *_ in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    scored = {}
+    for i, v in whole:
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole.items() if j != i and len(w) == len(v))
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
-    return sorted(out)
+            scored.setdefault(i, []).extend((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i and len(w) == len(v))
+    return sorted((i, n + 1, j, -s) for i, found in scored.items() for n, (s, j) in enumerate(sorted(found)[:k]))
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
@@ -140,8 +136,9 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     given = [(int(i), (r.normal(size=6) * r.choice([0.1, 1, 3]) + (i % 5)).tolist(), 1) for i in r.permutation(700)]
     given += [(1000 + i, [0.5] * 6, 1) for i in range(400)] + [(2000, [1.0, 2.0], 1), (2001, [3.0, 4.0], 1), (2020, [], 1), (2040, [1e11] * 6, 1)]
     given += [(None, [1.0] * 6, 1), (2002, None, 1), (2060, [1.0, None, 1, 1, 1, 1], 1), (2080, [float("nan")] * 6, 1), (2003, [float("inf")] * 6, 1), (20, [9.0] * 6, 1), (20, [9.0] * 6, 1)]
+    given += [(1, [8.0] * 6, 1), (1, [7.5] * 6, 1), (3, [1.0, -1.0], 1), (40, [0.25] * 6, 1), (40, [0.25] * 6, 1)]
     given = [(i, v if v is None else [x if x is None else float(x) for x in v], n) for i, v, n in given]
-    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("LEAF", 8), ("FANOUT", 4)):
+    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("TOGETHER", 3), ("LEAF", 8), ("FANOUT", 4)):
         monkeypatch.setattr(cover_tree, name, value)
     rows = spark.createDataFrame(given, "vec_id long, embedding array<double>, score int").withColumn("v", F.lit(1)).withColumn("node", F.lit("x"))
     got = cover_tree.search(rows, F.col("vec_id") % 20 == 0).collect()
