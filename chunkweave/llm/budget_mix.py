@@ -6,7 +6,7 @@
 3. Whole passes over a source come first. For the rest each size gets its proportional number of documents, rounded
    down, and bounded-knapsack dynamic programming over the sizes spends what is left.
 4. Documents of one size are taken in order of their hash, so reruns agree. Documents count by bucket, so a size
-   that holds a third of all rows is spread over `BUCKETS` tasks.
+   that holds a third of all rows is spread over many tasks; the number of buckets grows with the rows.
 
 Per source a task sees its size counts, which are at most as many as its different sizes, never documents.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from chunkweave.llm.common import BLANKS, checkpointed, col, sealed
 
-BUCKETS = 256
+#: At least so many buckets, and more for more rows than so many in each.
+BUCKETS, PER_BUCKET = 256, 1 << 20
 #: Words that dynamic programming may have to spend; before it, sizes get one more document each.
 SPEND = 1 << 15
 
@@ -68,7 +69,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if not ((take < counts) & (sizes <= left - SPEND // 2)).any():
             break
     # Sums that the remaining documents reach, as a bit set, one step for each size and power of two.
-    over = int(sizes.max())
+    over = min(int(sizes.max()), left)  # going over by more than what is left is worse than taking nothing
     mask = (1 << (left + over + 1)) - 1
     steps: list[tuple[int, int, int]] = []
     reached = 1
@@ -97,7 +98,7 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (1, 2, 3),
     base = docs.select(*([sealed(docs)] if with_rows else []), col(id_col).alias("doc_id"), col(source_col).alias("source"), size.cast("long").alias("size"))
     # Null sources get a key of their own, so that joins need no null-safe comparison.
     base = base.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "hash": F.xxhash64("doc_id", F.lit(seed))})
-    base = base.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    base = base.withColumn("bucket", F.pmod("hash", F.lit(max(BUCKETS, docs.count() // PER_BUCKET))).cast("int"))
     if not with_rows:
         base = checkpointed(base)
     hist = checkpointed(base.groupBy("source", "key", "size", "bucket").agg(F.count("*").alias("n")))

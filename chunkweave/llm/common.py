@@ -1,12 +1,18 @@
-"""What the training-data operators share: word rules, checkpoints, sealed rows, components."""
+"""What the training-data operators share: word rules, checkpoints, working folders, sealed rows, components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkweave.sources.files import Files
+
 #: Java pattern of the separators between words: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -48,6 +54,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_working: ContextVar[str | None] = ContextVar("working", default=None)
+
+
+@contextmanager
+def working_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, in which written() puts its tables meanwhile. It is removed at the end, after a failure too."""
+    folder = f"{shared_folder(spark)}/working-{uuid.uuid4().hex}"
+    token = _working.set(folder)
+    try:
+        yield folder
+    finally:
+        _working.reset(token)
+        Files(spark, folder).remove()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the working folder, or, outside one, beside the checkpoints, with which it is to be cleared.
+
+    Unlike a checkpoint it is compressed and read by column: for whole rows.
+    """
+    table = f"{_working.get() or shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return df.sparkSession.read.parquet(table)
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+` of a text; a null text has none. Only the ends of a split can be empty."""
     parts = F.split(F.coalesce(text, F.lit("")), BLANKS)

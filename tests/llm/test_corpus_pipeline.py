@@ -1,12 +1,14 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 from chunkweave.llm import budget_mix, quality_rules
+from chunkweave.llm.common import shared_folder
 from chunkweave.llm.tokens import default_vocabulary, word_ids
 from pyspark.sql import functions as F
 
@@ -86,6 +88,29 @@ def test_mix_stage(stages):
     assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
 
 
+def test_mix_stage_meets_its_targets(stages):
+    """Against targets filled up here: sources in order weigh 1, 2, 3, 1, ...; none gets more than 3 times its words."""
+    before, after = (x.collect() for x in stages[1][3])
+    size, taken, copies = Counter(), Counter(), Counter()
+    for r in before:
+        size[r.source] += len(found_words(r.text))
+    for r in after:
+        taken[r.source] += len(found_words(r.text))
+        copies[r.doc_id] += 1
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    target, rest, left = {}, set(order), sum(size.values())
+    while over := [s for s in rest if left * weight[s] / sum(weight[x] for x in rest) >= 3 * size[s]]:
+        target |= {s: 3 * size[s] for s in over}
+        rest -= set(over)
+        left = sum(size.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+    shortest = min(len(found_words(r.text)) for r in before if found_words(r.text))
+    assert all(abs(taken[s] - target[s]) <= shortest for s in order)
+    assert max(copies.values()) <= 3
+    assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+
+
 def test_packing_stage_and_whole_run(spark, stages):
     folder, out = stages
     before, after = out[4]
@@ -100,6 +125,27 @@ def test_packing_stage_and_whole_run(spark, stages):
     assert Counter((r.doc_id, r.piece, r.length) for r in whole.collect()) == want
 
 
+def test_further_columns_and_no_leftovers(spark, stages, tmp_path):
+    """Columns whose names need quoting pass through every stage but the last; run() leaves its result alone behind."""
+    folder, _ = stages
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 2 = 0 or doc_id > 110")
+    docs = docs.withColumns({"my col": F.col("doc_id") + 1, "a.b": F.lit("x"), "node": F.lit(2.5), "row": F.array("lang"), "size": F.lit("s")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        after = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert after.columns == docs.columns
+        assert after.where(F.col("`my col`") != F.col("doc_id") + 1).count() == 0 and after.where("`a.b` = 'x'").count() == after.count() > 0
+        docs = after
+    shared = shared_folder(spark)
+    left = lambda: {n for n in os.listdir(shared.removeprefix("file:")) if n.startswith(("working-", "pipeline-"))}
+    before = left()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= docs.count()
+    assert len(left() - before) == 1
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
