@@ -1,7 +1,12 @@
 """The training-data pipeline over `documents`: quality rules, near duplicates, repeated passages, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and read
-again as the next stage's docs. All stages but the last return the columns of documents.
+again as the next stage's docs. All stages but the last return the columns of documents. What run() writes on the way is
+removed when it ends or fails; the last table stays, as its result.
+
+Defined results: documents without text, or with an empty one, fail the quality rules; null ids and repeated rows are treated as each
+operator says; empty tables give an empty result; further columns of documents pass through all stages but the last,
+whatever their names. `n_chars` follows a text that is cut.
 """
 
 from __future__ import annotations
@@ -13,14 +18,14 @@ from pyspark.sql import functions as F
 
 from chunkweave import prepare
 from chunkweave.llm import budget_mix, packing, quality_rules, simhash, substring
-from chunkweave.llm.common import read, shared_folder
+from chunkweave.llm.common import read, shared_folder, working_folder
+from chunkweave.sources.files import Files
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base checks or a learnt rule go."""
     prepare(spark)
-    rules = quality_rules.learn_from(quality_rules.document_stats(docs), read(spark, sf_dir, "labels"))
-    return quality_rules.kept_documents(docs, rules)
+    return quality_rules.filtered(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Windows of 13 words that also start in a smaller document are cut out; every document stays."""
     prepare(spark)
     kept = substring.deduplicated(docs, k=13)
-    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
@@ -63,8 +70,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    result = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    try:
+        with working_folder(spark) as folder:
+            for k, (_, stage) in enumerate(STAGES):
+                table = result if k + 1 == len(STAGES) else f"{folder}/{k}"
+                stage(spark, docs, sf_dir).write.parquet(table)
+                docs = spark.read.parquet(table)
+    except BaseException:
+        Files(spark, result).remove()
+        raise
     return docs
