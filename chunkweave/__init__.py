@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from importlib import import_module
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,18 @@ def prepare(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if HOME not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, known] if known else [HOME])
+
+
+#: Public names and the modules that hold them; imported when they are asked for, so that workers load only what they run.
+EXPORTS = {
+    "Pipeline": "plans.pipeline", "Settings": "settings", "Collection": "sources.collection", "Embedder": "operators.embedding",
+    "HashedWords": "operators.embedding", "Remote": "operators.embedding", "Generator": "operators.prompt", "Echo": "operators.prompt",
+    "Chat": "operators.prompt", "chunk": "operators.chunking", "search": "operators.search", "search_near": "operators.search",
+}
+__all__ = ["prepare", *EXPORTS]
+
+
+def __getattr__(name: str) -> object:
+    if name in EXPORTS:
+        return getattr(import_module(f"{__name__}.{EXPORTS[name]}"), name)
+    raise AttributeError(name)

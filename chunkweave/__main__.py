@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("--max-docs", type=int, default=10)
     bench.add_argument("--limit", type=int)
     bench.add_argument("--resume", action="store_true")
+    bench.add_argument("--francais", action="store_true", help="keep the French instructions (English ones by default)")
     verbs.add_parser("status", help="count chunks and list documents")
     verbs.add_parser("reset", help="empty the collection")
     return top
@@ -47,27 +48,32 @@ def main(arguments: list[str] | None = None) -> int:
         return 1
     if args.verb == "ingest":
         if is_folder(spark, args.path):
-            for row in pipeline.ingest_directory(args.path, args.recursive, args.resume).toLocalIterator():
+            rows = pipeline.ingest_directory(args.path, args.recursive, args.resume).collect()  # one small row for each file
+            pipeline.release()
+            for row in rows:
                 print(f"{row.source}: {row.n_chunks}")
+            if not rows:
+                print(f"no .txt file found in {args.path}")
         else:
             print(f"{args.path}: {pipeline.ingest_file(args.path)}")
     elif args.verb == "ask":
         answer = pipeline.ask(args.question, args.top_k)
-        row = answer.select("question", "text", "sources").first()
-        print(f"{row.question}\n\n{row.text}\n")
+        row = answer.select("question", "text").first()
+        print(f"\nQuestion: {row.question}\n\nAnswer:\n{row.text}\n\nSources:")
         cited = answer.selectExpr("posexplode(sources) as (i, s)").orderBy("i").select(
             "i", X.reference(X.F.col("s.chunk.source"), X.F.col("s.chunk.line_start"), X.F.col("s.chunk.line_end")).alias("reference"),
             X.F.format_string("%.3f", "s.score").alias("score"), X.excerpt(X.F.col("s.chunk.text")).alias("excerpt"),
         )
         for r in cited.collect():
-            print(f"[{r.i + 1}] {r.reference} ({r.score})\n    {r.excerpt}")
+            print(f"  [{r.i + 1}] {r.reference} (score {r.score})\n      « {r.excerpt}... »")
     elif args.verb == "bench":
-        print(pipeline.bench(args.questions, args.output, args.top_k, args.max_docs, args.limit, args.resume))
+        print(pipeline.bench(args.questions, args.output, args.top_k, args.max_docs, args.limit, args.resume, not args.francais))
     elif args.verb == "status":
         count, names = pipeline.status()
-        print(f"{pipeline.settings.collection}: {count}", *names, sep="\n")
+        print(f"Collection: {pipeline.settings.collection}", f"Chunks: {count}", "Documents:", *[f"  • {n}" for n in names], sep="\n")
     else:
         pipeline.store.reset()
+        print("The collection is empty.")
     return 0
 
 

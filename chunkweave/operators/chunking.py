@@ -7,15 +7,20 @@ index. The work is narrow: one document gives many rows, in Arrow batches, witho
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from chunkweave.functions.text import PY_WS
 
 #: From the strongest separator to the weakest: fixed values.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 CHUNK = "source string, index int, text string, line_start int, line_end int"
+BLANK = np.array([ord(c) for c in PY_WS], "<u4")
 
 
 def check_sizes(size: int, overlap: int) -> None:
@@ -23,44 +28,65 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError(f"overlap ({overlap}) must be under the chunk size ({size})")
 
 
-def window_end(text: str, start: int, size: int) -> int:
-    limit = start + size
-    if limit >= len(text):
-        return len(text)
-    for separator in SEPARATORS:
-        at = text.rfind(separator, start + size // 2, limit)
-        if at >= 0:
-            return at + len(separator)
-    return limit
+class Layout:
+    """Where a text can be cut, where it is not blank, and where its lines end: listed once, so that overlapping windows look nothing up twice."""
+
+    def __init__(self, text: str) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.length = len(codes)
+        self.solid = np.flatnonzero(~np.isin(codes, BLANK)).tolist()
+        self.lines = np.flatnonzero(codes == 10).tolist()
+        self.cuts = []  # for each separator the places after it
+        for separator in SEPARATORS:
+            hit = np.ones(max(0, len(codes) - len(separator) + 1), bool)
+            for i, c in enumerate(separator):
+                hit &= codes[i : i + len(hit)] == ord(c)
+            self.cuts.append((len(separator), (np.flatnonzero(hit) + len(separator)).tolist()))
+
+    def end(self, start: int, size: int) -> int:
+        """The last cut of the strongest kind that lies in the second half of the window, or its end."""
+        window = start + size
+        if window < self.length:
+            for width, cuts in self.cuts:
+                k = bisect_right(cuts, window)
+                if k and cuts[k - 1] >= start + size // 2 + width:
+                    return cuts[k - 1]
+        return min(window, self.length)
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
 
 
 def cut(text: str, size: int, overlap: int) -> Iterator[tuple[str, int, int]]:
     """Each chunk's text, first and last line."""
-    breaks = [i for i, c in enumerate(text) if c == "\n"]
-    start, end = 0, 0 if text.strip() else len(text)
-    while end < len(text):
-        end = window_end(text, start, size)
-        segment = text[start:end]
-        if piece := segment.strip():
-            first = start + len(segment) - len(segment.lstrip())
-            yield piece, bisect_left(breaks, first) + 1, bisect_left(breaks, first + len(piece) - 1) + 1
+    layout = Layout(text)
+    solid = layout.solid
+    start = 0
+    while solid:
+        end = layout.end(start, size)
+        low, high = bisect_left(solid, start), bisect_left(solid, end)
+        if low < high:
+            first, last = solid[low], solid[high - 1]
+            yield text[first : last + 1], layout.line(first), layout.line(last)
+        if end == layout.length:
+            return
         start = max(end - overlap, start + 1)
 
 
-def chunk(documents: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
-    """source, index (from 0), text, line_start, line_end. documents: columns source and text; null texts give no rows."""
+def chunk(documents: DataFrame, size: int = 1000, overlap: int = 150, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source, index (from 0), text, line_start, line_end and the columns `keep`. documents: columns source and text; null texts give no rows."""
     check_sizes(size, overlap)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (source, i, *piece)
-                for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                if text
-                for i, piece in enumerate(cut(text, size, overlap))
-            ]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["source", "index", "text", "line_start", "line_end"])
-
-    return documents.select("source", "text").mapInArrow(chunks, CHUNK)
+            columns: list[list] = [[], [], [], [], []]
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for index, piece in enumerate(cut(text, size, overlap) if text else ()):
+                    for column, value in zip(columns, (row, index, *piece), strict=True):
+                        column.append(value)
+            rows, index, texts, first, last = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True))
+            kept = [batch.column(i).take(rows) for i in range(2, batch.num_columns)]
+            yield pa.record_batch([batch.column(0).take(rows), index, texts, first, last, *kept], ["source", "index", "text", "line_start", "line_end", *keep])
+
+    rows = documents.select("source", "text", *keep)
+    return rows.mapInArrow(chunks, T.StructType([*T.StructType.fromDDL(CHUNK).fields, *rows.schema.fields[2:]]))

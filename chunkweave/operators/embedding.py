@@ -9,44 +9,41 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 from typing import Protocol, TypeVar
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkweave.functions import text as X
-
 Result = TypeVar("Result")
+Vectors = np.ndarray | list[list[float]]
 
 
 class Embedder(Protocol):
-    dimension: int
-
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
+    """`batch`, if there is one, is how many texts a call takes at most; 32 otherwise."""
 
+    dimension: int
 
-@lru_cache(maxsize=1 << 17)
-def bucket(word: str, dimension: int) -> int:
-    return hashlib.md5(word.encode()).digest()[0] % dimension
+    def embed(self, texts: list[str]) -> Vectors: ...
 
 
 class HashedWords:
     """Deterministic bag of words: each lower-case word counts in the bucket that the first byte of its MD5 names."""
 
+    batch = 4096
+
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            vector = [0.0] * self.dimension
-            for word in text.lower().split():
-                vector[bucket(word, self.dimension)] += 1.0
-            out.append(vector)
-        return out
+    def embed(self, texts: list[str]) -> Vectors:
+        """Each different word of the batch is hashed once; all words are then counted by (text, bucket) in one step."""
+        words = [t.lower().split() for t in texts]
+        bucket = {w: hashlib.md5(w.encode()).digest()[0] % self.dimension for w in set(chain.from_iterable(words))}
+        cell = np.fromiter(map(bucket.__getitem__, chain.from_iterable(words)), "i8")
+        cell += np.repeat(np.arange(len(texts)) * self.dimension, list(map(len, words)))
+        return np.bincount(cell, minlength=len(texts) * self.dimension).reshape(len(texts), self.dimension).astype("f8")
 
 
 class Remote:
@@ -71,7 +68,7 @@ def retry(call: Callable[[], Result], attempts: int = 5, base_delay: float = 5.0
     raise ValueError("attempts must be positive")
 
 
-def checked(vectors: list[list[float]], n: int, dimension: int) -> list[list[float]]:
+def checked(vectors: Vectors, n: int, dimension: int) -> Vectors:
     if len(vectors) != n:
         raise ValueError(f"{len(vectors)} vectors for {n} texts")
     for v in vectors:
@@ -80,26 +77,40 @@ def checked(vectors: list[list[float]], n: int, dimension: int) -> list[list[flo
     return vectors
 
 
-def embed(rows: DataFrame, embedder: Embedder, batch: int = 32, attempts: int = 1, base_delay: float = 5.0) -> DataFrame:
-    """Add vector, status ('ok' or 'failed') and error to rows with a column text. Texts go to the embedder in batches."""
+def listed(vectors: list[Vectors | None], sizes: list[int]) -> pa.Array:
+    """Vectors of several calls as one Arrow column; null for the texts of a call that failed."""
+    if all(isinstance(v, np.ndarray) for v in vectors):
+        whole = np.concatenate(vectors) if vectors else np.empty((0, 0))
+        ends = np.arange(len(whole) + 1, dtype="i4") * whole.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.ravel()))
+    flat = [None if v is None else list(v) for call, n in zip(vectors, sizes, strict=True) for v in ([None] * n if call is None else call)]
+    return pa.array(flat, pa.list_(pa.float64()))
 
-    def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def embed(rows: DataFrame, embedder: Embedder, batch: int | None = None, attempts: int = 1, base_delay: float = 5.0) -> DataFrame:
+    """Add vector, status ('ok' or 'failed') and error to rows with a column text. Texts go to the embedder in batches; a failed call is repeated."""
+    most = batch or getattr(embedder, "batch", 32)
+    place = rows.columns.index("text")
+
+    def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found: list = []
-            errors: list = []
-            texts = part["text"].fillna("").tolist()
-            for at in range(0, len(texts), batch):
-                some = texts[at : at + batch]
+            found: list[Vectors | None] = []
+            errors: list[str | None] = []
+            texts = [t or "" for t in part.column(place).to_pylist()]
+            calls = [texts[at : at + most] for at in range(0, len(texts), most)]
+            for some in calls:
                 try:
-                    found += retry(lambda some=some: checked(embedder.embed(some), len(some), embedder.dimension), attempts, base_delay, "embedding")
+                    found.append(retry(lambda some=some: checked(embedder.embed(some), len(some), embedder.dimension), attempts, base_delay, "embedding"))
                     errors += [None] * len(some)
                 except (RuntimeError, ValueError) as error:
-                    found += [None] * len(some)
+                    found.append(None)
                     errors += [str(error)] * len(some)
-            yield part.assign(vector=found, status=["ok" if e is None else "failed" for e in errors], error=errors)
+            status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
+            columns = [*part.columns, listed(found, list(map(len, calls))), status, pa.array(errors, pa.string())]
+            yield pa.record_batch(columns, [*part.schema.names, "vector", "status", "error"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
-    return rows.mapInPandas(vectors, schema)
+    return rows.mapInArrow(vectors, schema)
 
 
 def complete_sources(embedded: DataFrame) -> DataFrame:
@@ -109,7 +120,15 @@ def complete_sources(embedded: DataFrame) -> DataFrame:
 
 
 def hashed_counts(rows: DataFrame, keys: list[str], dimension: int = 64) -> DataFrame:
-    """The hashed bag of words as rows (keys, bucket, n), in built-in functions alone."""
-    first = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int")
-    held = rows.select(*keys, F.explode(X.words(F.lower("text"))).alias("w"))
-    return held.select(*keys, F.pmod(first, F.lit(dimension)).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    """The hashed bag of words as rows (keys, bucket, n): a row's counts are its own, so nothing is shuffled. keys name a row."""
+    embedder = HashedWords(dimension)
+
+    def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = embedder.embed([t or "" for t in part.column(len(keys)).to_pylist()])
+            row, bucket = found.nonzero()
+            columns = [part.column(i).take(pa.array(row)) for i in range(len(keys))]
+            yield pa.record_batch([*columns, pa.array(bucket, pa.int32()), pa.array(found[row, bucket], pa.int64())], [*keys, "bucket", "n"])
+
+    rows = rows.select(*keys, "text")
+    return rows.mapInArrow(counts, T.StructType([*rows.schema.fields[: len(keys)], T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions import text as X
 
-#: Bytes of passages that are sent to every task.
+#: Bytes of passages that are sent to every task at once.
 PASSAGE_BYTES = 64 << 20
 
 
@@ -27,16 +29,24 @@ def candidates(questions: DataFrame, hits: DataFrame, most: int = 10) -> DataFra
 def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """question_id, doc: which documents (source, text) hold a passage (question_id, question) word for word.
 
-    One scan of the documents finds all passages at once by an automaton. The passages are sent to all tasks: their size is checked.
+    One scan of the documents finds all passages of a block at once by an automaton. Blocks of about PASSAGE_BYTES, as
+    counted in Spark, are sent to all tasks one after another; only one block at a time is in the driver's memory.
     """
-    rows = [(r.question_id, r.question) for r in passages.select("question_id", "question").where("question <> ''").collect()]
-    if sum(len(t) for _, t in rows) > PASSAGE_BYTES:
-        raise ValueError("the passages are too large for one scan: give them in parts")
+    asked = passages.select("question_id", "question").where("question <> ''")
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("question")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(total / PASSAGE_BYTES))
+    number = F.pmod(F.xxhash64("question"), F.lit(blocks))
+    found = [scanned(documents, asked.where(number == block)) for block in range(blocks)]
+    return reduce(DataFrame.unionByName, found).select("question_id", X.document_id(F.col("source")).alias("doc"))
+
+
+def scanned(documents: DataFrame, block: DataFrame) -> DataFrame:
+    """question_id, source: the documents that hold passages of one block."""
     texts: dict[str, list] = {}
-    for i, t in rows:
-        texts.setdefault(t, []).append(i)
+    for r in block.toLocalIterator():
+        texts.setdefault(r.question, []).append(r.question_id)
     sent = documents.sparkSession.sparkContext.broadcast(texts)
-    kind = passages.schema["question_id"].dataType
+    kind = block.schema["question_id"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -53,8 +63,7 @@ def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
                 found += [(i, source) for i in held]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.int64() if kind.simpleString() == "bigint" else pa.string()), pa.array([f[1] for f in found], pa.string())], ["question_id", "source"])
 
-    hits = documents.select("source", "text").mapInArrow(scan, f"question_id {kind.simpleString()}, source string")
-    return hits.select("question_id", X.document_id(F.col("source")).alias("doc"))
+    return documents.select("source", "text").mapInArrow(scan, f"question_id {kind.simpleString()}, source string")
 
 
 def gold_sets(questions: DataFrame, links: DataFrame) -> DataFrame:

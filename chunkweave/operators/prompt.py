@@ -20,21 +20,27 @@ BEFORE_QUESTION = "\n---------------------\n\nQuestion : "
 AFTER_QUESTION = "\n\nRéponse (en citant les extraits utilisés) :"
 NO_CONTEXT = "Aucun document pertinent n'a été trouvé pour répondre à cette question."
 ECHO_HEADER = "[FAUSSE RÉPONSE]\nPrompt qui serait envoyé au LLM :\n\n"
+#: What a chat model is told to write if the excerpts do not hold the answer.
+REFUSAL_FR = "Les documents fournis ne permettent pas de répondre à cette question."
+REFUSAL_EN = "The provided documents do not contain the answer to this question."
 #: Instructions for a chat model, one in French that asks for citations and one in English that does not.
 SYSTEM_FR = (
     "Tu réponds en français, brièvement, à partir des seuls extraits fournis, et tu cites leurs numéros [1], [2]. "
-    "S'ils ne contiennent pas la réponse, écris : "
-    "\"Les documents fournis ne permettent pas de répondre à cette question.\""
+    f"S'ils ne contiennent pas la réponse, écris : \"{REFUSAL_FR}\""
 )
 SYSTEM_EN = (
     "Answer in English, briefly, from the given excerpts alone, without describing them. "
-    "If they do not hold the answer, write: \"The provided documents do not contain the answer to this question.\""
+    f"If they do not hold the answer, write: \"{REFUSAL_EN}\""
 )
 
 
 class Generator(Protocol):
     def generate(self, prompts: list[str], contexts: list[str]) -> list[str]: ...
 
+    def in_english(self) -> Generator:
+        """The same generator with English instructions, for questions whose reference answers are in English."""
+        ...
+
 
 class Echo:
     """Offline generator: a header and the first 600 characters of the context."""
@@ -42,6 +48,9 @@ class Echo:
     def generate(self, prompts: list[str], contexts: list[str]) -> list[str]:
         return [ECHO_HEADER + c[:600] for c in contexts]
 
+    def in_english(self) -> Echo:
+        return self
+
 
 class Chat:
     """Generator over any chat model: complete(system, prompt, temperature) -> text. Failed calls are repeated with growing pauses."""
@@ -50,6 +59,9 @@ class Chat:
         self.complete, self.system, self.temperature = complete, system or SYSTEM_FR, temperature
         self.attempts, self.base_delay = attempts, base_delay
 
+    def in_english(self) -> Chat:
+        return Chat(self.complete, SYSTEM_EN, self.temperature, self.attempts, self.base_delay)
+
     def generate(self, prompts: list[str], contexts: list[str]) -> list[str]:
         call = lambda p: self.complete(self.system, p, self.temperature)
         return [(retry(partial(call, p), self.attempts, self.base_delay, "the chat model") or "").strip() for p in prompts]

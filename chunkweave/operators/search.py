@@ -1,14 +1,15 @@
 """Exact cosine search of many questions at once.
 
 Questions are a stated set that is small beside the store. They go to the tasks in blocks of checked size; each task scores its
-share of the store by matrix products and keeps its own k best for each question, so that at most k rows for each question and
-batch are shuffled to the final ranking. Scores are rounded to six digits; ties go by source and index.
+share of the store by matrix products and keeps its own k best for each question over all it reads, so that at most k rows for each
+question and task are shuffled to the final ranking. Scores are rounded to six digits; ties go by source and index.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 #: Bytes of question vectors that one job sends to every task.
 BLOCK_BYTES = 64 << 20
 DEFAULT_TOP_K = 4
+#: Rows that a task sends at once.
+SENT_ROWS = 10_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -31,12 +34,6 @@ def matrix(vectors: pd.Series | list, dimension: int) -> np.ndarray:
     return np.array([np.zeros(dimension) if v is None else v for v in vectors], "f8").reshape(len(vectors), dimension)
 
 
-def leading(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, best first; of equal scores the earlier."""
-    near = np.arange(len(scores)) if len(scores) <= k else np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    return near[np.argsort(-scores[near], kind="stable")[:k]]
-
-
 def search(store: DataFrame, questions: DataFrame, top_k: int | None = None, threshold: float | None = None, default_k: int = DEFAULT_TOP_K) -> DataFrame:
     """question_id, rank (from 1), score and the columns of store but vector.
 
@@ -44,41 +41,62 @@ def search(store: DataFrame, questions: DataFrame, top_k: int | None = None, thr
     threshold of None or 0 means none, otherwise scores of at least it are returned.
     """
     k = top_k or default_k
-    dimension = (questions.agg(F.max(F.size("vector"))).first()[0]) or 0
-    n = questions.count()
-    if not n:
-        return store.limit(0).select(F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *[c for c in store.columns if c != "vector"])
-    blocks = math.ceil(n * (dimension * 8 + 64) / BLOCK_BYTES)
-    kept = [f for f in store.schema.fields if f.name != "vector"]
-    schema = T.StructType([questions.schema["question_id"], T.StructField("score", T.DoubleType()), *kept])
-    found = None
-    for block in range(blocks):  # one, unless the questions are many
-        asked = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).select("question_id", "vector").toPandas()
-        sent = store.sparkSession.sparkContext.broadcast((asked["question_id"].tolist(), unit(matrix(asked["vector"], dimension))))
-
-        def score(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for part in parts:
-                # In ranking order for ties, so that a stable sort by score ends in the final order.
-                part = part.sort_values(["source", "index"], kind="stable")
-                scores = np.round(q @ unit(matrix(part["vector"], dimension)).T, 6) + 0.0
-                rows, columns, values = [], [], []
-                for i, own in enumerate(scores):
-                    best = leading(own, k)
-                    best = best[own[best] >= threshold] if threshold else best
-                    rows += best.tolist()
-                    columns += [ids[i]] * len(best)
-                    values += own[best].tolist()
-                out = part.drop(columns="vector").iloc[rows]
-                out.insert(0, "score", values)
-                out.insert(0, "question_id", pd.Series(columns, out.index, dtype=object if not rows else None))
-                yield out
-
-        part = store.mapInPandas(score, schema)
-        found = part if found is None else found.unionByName(part)
+    questions = questions.select("question_id", "vector").persist()  # counted, then fetched: computed once
+    try:
+        n, dimension = questions.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        if not n:
+            return store.limit(0).select(F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *[c for c in store.columns if c != "vector"])
+        blocks = math.ceil(n * (dimension * 8 + 64) / BLOCK_BYTES)
+        number = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+        found = [scored(store, questions.where(number == block), dimension, k, threshold) for block in range(blocks)]
+    finally:
+        questions.unpersist()
+    kept = [c for c in store.columns if c != "vector"]
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "index")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("question_id", "rank", "score", *[f.name for f in kept])
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("question_id", "rank", "score", *kept)
+
+
+def scored(store: DataFrame, block: DataFrame, dimension: int, k: int, threshold: float | None) -> DataFrame:
+    """question_id, score and the columns of store but vector: the best of each task for the questions of one block."""
+    asked = block.toPandas()
+    sent = store.sparkSession.sparkContext.broadcast((asked["question_id"].tolist(), unit(matrix(asked["vector"], dimension))))
+    kept = [f for f in store.schema.fields if f.name != "vector"]
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        held: pd.DataFrame | None = None  # the rows that some question ranks, in order of ties
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, "i8"))] * len(ids)  # scores, and places in held
+        for part in parts:
+            scores = np.round(q @ unit(matrix(part["vector"], dimension)).T, 6) + 0.0
+            part = part.drop(columns="vector")
+            before = 0 if held is None else len(held)
+            rows = part.reset_index(drop=True) if held is None else pd.concat([held, part], ignore_index=True)
+            order = np.lexsort((rows["index"].to_numpy(), rows["source"].fillna("").to_numpy(str)))
+            place = np.empty(len(order), "i8")  # of each row among ties
+            place[order] = np.arange(len(order))
+            used = np.zeros(len(order), bool)
+            for i, own in enumerate(scores):
+                need = best[i][0][-1] if len(best[i][0]) == k else -np.inf
+                at = np.flatnonzero(own >= max(need, threshold or -np.inf))
+                values, rank = np.concatenate((best[i][0], own[at])), np.concatenate((place[best[i][1]], place[before + at]))
+                lead = values >= np.partition(values, -k)[-k] if len(values) > k else np.ones(len(values), bool)
+                values, rank = values[lead], rank[lead]
+                top = np.lexsort((rank, -values))[:k]
+                best[i] = values[top], rank[top]
+                used[rank[top]] = True
+            held = rows.iloc[order[used]].reset_index(drop=True)
+            moved = np.cumsum(used) - 1
+            best = [(values, moved[rank]) for values, rank in best]
+        some = max(1, SENT_ROWS // k)
+        for low in range(0, len(best) if held is not None else 0, some):
+            own = best[low : low + some]
+            out = held.iloc[np.concatenate([rank for _, rank in own])]
+            out.insert(0, "score", np.concatenate([values for values, _ in own]))
+            out.insert(0, "question_id", pd.Series(np.repeat(np.array(ids[low : low + some], object), [len(v) for v, _ in own]), out.index))
+            yield out
+
+    return store.mapInPandas(score, T.StructType([block.schema["question_id"], T.StructField("score", T.DoubleType()), *kept]))
 
 
 def near_candidates(store: DataFrame, questions: DataFrame, bucket_length: float = 0.5, tables: int = 8, radius: float = 1.0) -> DataFrame:
@@ -96,3 +114,10 @@ def near_candidates(store: DataFrame, questions: DataFrame, bucket_length: float
     return model.approxSimilarityJoin(left, right, radius, "distance").select(
         F.col("datasetA.question_id"), "datasetB.source", "datasetB.index", (1 - F.col("distance") ** 2 / 2).alias("score")
     )
+
+
+def search_near(store: DataFrame, questions: DataFrame, top_k: int = DEFAULT_TOP_K, **options: float) -> DataFrame:
+    """Approximate top-k: the k best of near_candidates, ranked as by search. Pairs beyond the radius, or that share no bucket, are missed."""
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "index")
+    found = near_candidates(store, questions, **options).withColumn("score", F.round("score", 6))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("question_id", "rank", "score", "source", "index")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chunkweave.functions.text import NAMESPACE
 from chunkweave.operators import prompt
+from chunkweave.plans.queries import NEAR
 
 CORPUS = """corpus AS (SELECT doc_id, 'doc_' || lpad(doc_id::VARCHAR, 8, '0') || '__' || source || '.txt' AS source,
  regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text, lang, source AS origin FROM documents)"""
@@ -66,8 +67,9 @@ SCORES = """,
 scores AS (SELECT question_id, len(gold)::INT AS n_gold, len(list_intersect(gold, document_ids))::INT AS n_found,
  (len(document_ids) - len(list_intersect(document_ids, gold)))::INT AS n_extra FROM gold JOIN candidates USING (question_id))"""
 CONTEXTS = f""",
+kept AS (SELECT * FROM hits WHERE score >= {{threshold}}),
 four AS (SELECT h.question_id, h.rank, '[' || h.rank || '] Source : ' || {REFERENCE.format(s="line_start").replace("source", "c.source")} || chr(10) || c.text AS block
- FROM hits h JOIN chunks c ON c.source = h.source AND c.index = h.index WHERE h.rank <= 4 AND h.question_id % 2 = 0),
+ FROM kept h JOIN chunks c ON c.source = h.source AND c.index = h.index WHERE h.rank <= 4),
 contexts AS (SELECT item_id AS question_id, b.text AS question, count(f.block)::INT AS n_hits,
  coalesce(string_agg(f.block, chr(10) || chr(10) ORDER BY f.rank), '') AS context FROM benchmark b LEFT JOIN four f ON f.question_id = b.item_id GROUP BY ALL)"""
 VECTORS = """WITH v AS (SELECT vec_id, 'vec_' || lpad(vec_id::VARCHAR, 8, '0') AS source, label, embedding::DOUBLE[] AS vector FROM embeddings),
@@ -114,10 +116,10 @@ def oracle_sql() -> dict[str, str]:
         "extra_docs": f"{CHUNKS}{HITS}{CANDIDATES}{GOLD}{SCORES} SELECT question_id, n_extra FROM scores",
         "category_report": f"""{CHUNKS}{HITS}{CANDIDATES}{GOLD}{SCORES}, named AS (SELECT s.*, CASE WHEN length(b.text) > 200 THEN 'long' ELSE 'short' END AS category FROM scores s JOIN benchmark b ON b.item_id = s.question_id WHERE n_gold > 0)
  SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(n_found / n_gold), 6) AS recall, round(avg((n_found = n_gold)::INT), 6) AS complete, round(avg((n_found = 0)::INT), 6) AS missed FROM named GROUP BY ROLLUP (category)""",
-        "context_block": f"{CHUNKS}{HITS}{CONTEXTS} SELECT question_id, n_hits, context FROM contexts",
-        "user_prompt": f"{CHUNKS}{HITS}{CONTEXTS} SELECT question_id, {sql_text(prompt.BEFORE_CONTEXT)} || context || {sql_text(prompt.BEFORE_QUESTION)} || trim(question, {WS}) || {sql_text(prompt.AFTER_QUESTION)} AS prompt FROM contexts",
-        "fake_answer": f"{CHUNKS}{HITS}{CONTEXTS} SELECT question_id, CASE WHEN n_hits = 0 THEN {sql_text(prompt.NO_CONTEXT)} ELSE trim({sql_text(prompt.ECHO_HEADER)} || substring(context, 1, 600), {WS}) END AS text, n_hits AS n_sources FROM contexts",
-        "no_context_answer": f"{CHUNKS}{HITS}{CONTEXTS} SELECT question_id, {sql_text(prompt.NO_CONTEXT)} AS text FROM contexts WHERE n_hits = 0",
+        "context_block": f"{CHUNKS}{HITS}{CONTEXTS.format(threshold=-1)} SELECT question_id, n_hits, context FROM contexts",
+        "user_prompt": f"{CHUNKS}{HITS}{CONTEXTS.format(threshold=-1)} SELECT question_id, {sql_text(prompt.BEFORE_CONTEXT)} || context || {sql_text(prompt.BEFORE_QUESTION)} || trim(question, {WS}) || {sql_text(prompt.AFTER_QUESTION)} AS prompt FROM contexts",
+        "fake_answer": f"{CHUNKS}{HITS}{CONTEXTS.format(threshold=-1)} SELECT question_id, CASE WHEN n_hits = 0 THEN {sql_text(prompt.NO_CONTEXT)} ELSE trim({sql_text(prompt.ECHO_HEADER)} || substring(context, 1, 600), {WS}) END AS text, n_hits AS n_sources FROM contexts",
+        "no_context_answer": f"{CHUNKS}{HITS}{CONTEXTS.format(threshold=NEAR)} SELECT question_id, {sql_text(prompt.NO_CONTEXT)} AS text FROM contexts WHERE n_hits = 0",
         "excerpt_200": f"WITH {CORPUS} SELECT source, substring(array_to_string(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda w: w <> ''), ' '), 1, 200) AS excerpt FROM corpus",
         "normalize_ws": f"WITH {CORPUS} SELECT source, trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ', 'g')) AS text FROM corpus",
         "source_distribution": f"WITH {CORPUS} SELECT origin, count(*) AS n_documents FROM corpus GROUP BY ALL",

@@ -24,23 +24,43 @@ def report(names: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Pipeline:
+    """Tables that a call computes once and reads again stay in memory or on disk until `release`, which every call of a command ends with."""
+
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None, generator: prompt.Generator | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings()
         self.embedder = embedder or HashedWords(self.settings.dimension)
         self.generator = generator or prompt.Echo()
         self.store = Collection(spark, f"{root.rstrip('/')}/{self.settings.collection}", self.embedder.dimension)
+        self._held: list[DataFrame] = []
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        self._held.append(rows.persist())
+        return rows
+
+    def release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
+    def _embed(self, rows: DataFrame) -> DataFrame:
+        return embed(rows, self.embedder, attempts=self.settings.attempts, base_delay=self.settings.base_delay)
 
     def ingest_documents(self, documents: DataFrame) -> DataFrame:
-        """Chunk, embed and store documents (source, text); returns the stored chunks. The job fails as a whole if it cannot write."""
-        chunks = chunk(documents, self.settings.chunk_size, self.settings.chunk_overlap)
-        stored = complete_sources(embed(chunks, self.embedder).persist())
-        stored = stored.persist()
-        self.store.add(stored)
+        """Chunk, embed and store documents (source, text, perhaps path); returns the stored chunks. The job fails as a whole if it cannot write.
+
+        Where documents share a source, the last path wins, chunk by chunk.
+        """
+        order = [c for c in documents.columns if c == "path"]
+        chunks = chunk(documents, self.settings.chunk_size, self.settings.chunk_overlap, tuple(order))
+        stored = self._once(complete_sources(self._embed(chunks)))
+        self.store.add(stored, *order)
         return stored
 
     def ingest_file(self, path: str) -> int:
         """Errors of the file are raised."""
-        return self.ingest_documents(text_files.load_file(self.spark, path)).count()
+        try:
+            return self.ingest_documents(text_files.load_file(self.spark, path)).count()
+        finally:
+            self.release()
 
     def ingest_directory(self, folder: str, recursive: bool = False, resume: bool = False) -> DataFrame:
         """source and n_chunks for each file; blank and failed ones have 0. resume leaves out stored sources."""
@@ -49,43 +69,55 @@ class Pipeline:
         if resume:
             done = self.store.sources()
             names, found = (x.join(done, "source", "left_anti") for x in (names, found))
-            names = names.persist()
+            names = self._once(names)
             names.count()  # before the store changes
         return report(names, self.ingest_documents(found.where("status = 'ok'"))).orderBy("source")
 
     def hits(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
-        asked = embed(questions.select("question_id", X.strip(F.col("question")).alias("text")), self.embedder)
+        asked = self._embed(questions.select("question_id", X.strip(F.col("question")).alias("text")))
         asked = asked.where("status = 'ok' and text <> ''").select("question_id", "vector")
         return search(self.store.rows().drop("id"), asked, top_k, self.settings.threshold, self.settings.top_k)
 
     def ask_many(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """question_id, question, text, sources, status, error. Blank questions have status 'empty'."""
-        hits = self.hits(questions, top_k).persist()
+        hits = self._once(self.hits(questions, top_k))
         rows = prompt.with_prompt(prompt.contexts(questions.where(~X.is_blank(F.col("question"))), hits))
         answered = prompt.answers(rows, self.generator)
         blank = questions.where(X.is_blank(F.col("question"))).select("question_id", "question", F.lit("empty").alias("status"))
         return answered.unionByName(blank, allowMissingColumns=True)
 
     def ask(self, question: str, top_k: int | None = None) -> DataFrame:
+        """One row, answered here and now: reading it again asks no model again."""
         if not question.strip():
             raise ValueError("the question is blank")
         one = self.spark.createDataFrame([("1", question.strip())], "question_id string, question string")
-        return self.ask_many(one, top_k)
-
-    def bench(self, questions_path: str, output: str, top_k: int = 20, max_docs: int = 10, limit: int | None = None, resume: bool = False) -> int:
-        """Answer all questions of a file in one job and append question_id, answer and document_ids; returns how many."""
+        try:
+            answers = self.ask_many(one, top_k)
+            return self.spark.createDataFrame(answers.collect(), answers.schema)
+        finally:
+            self.release()
+
+    def bench(self, questions_path: str, output: str, top_k: int = 20, max_docs: int = 10, limit: int | None = None, resume: bool = False, english: bool = True) -> int:
+        """Answer all questions of a file in one job and append question_id, answer and document_ids; returns how many.
+
+        english: with English instructions, if the generator has such, else with its own.
+        """
+        generator = self.generator.in_english() if english and hasattr(self.generator, "in_english") else self.generator
         asked = text_files.questions(self.spark, questions_path)
         if resume:
             asked = text_files.pending(asked, text_files.answered(self.spark, output), limit)
         elif limit is not None:
             asked = asked.orderBy("question_id").limit(limit)
-        asked = asked.persist()
-        hits = self.hits(asked, top_k).persist()
-        rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), self.generator).where("status = 'ok'")
-        out = rows.select("question_id", F.col("text").alias("answer")).join(candidates(asked, hits, max_docs), "question_id").persist()
-        n = out.count()  # before the write, which refreshes what was read from the same folder
-        text_files.append_answers(out, output)
-        return n
+        asked = self._once(asked)
+        hits = self._once(self.hits(asked, top_k))
+        rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), generator).where("status = 'ok'")
+        out = self._once(rows.select("question_id", F.col("text").alias("answer")).join(candidates(asked, hits, max_docs), "question_id"))
+        try:
+            n = out.count()  # before the write, which refreshes what was read from the same folder
+            text_files.append_answers(out, output)
+            return n
+        finally:
+            self.release()
 
     def status(self) -> tuple[int, list[str]]:
         return self.store.count(), [r.source for r in self.store.sources().collect()]

@@ -6,6 +6,7 @@ The corpus is `documents` under names like `doc_00000007__src7.txt`; questions a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ from chunkweave.operators.embedding import HashedWords, embed, hashed_counts
 from chunkweave.operators.search import search
 from chunkweave.plans.pipeline import report
 from chunkweave.sources import collection, text_files
+from chunkweave.sources.files import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Least score of a hit for no_context_answer: some questions have no chunk this near.
+NEAR = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +56,9 @@ def embedded(rows: DataFrame) -> DataFrame:
     return embed(rows, HashedWords()).drop("status", "error")
 
 
-def hits(spark: SparkSession, sf_dir: str, top_k: int = 20) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, top_k: int = 20, threshold: float | None = None) -> DataFrame:
     asked = embedded(benchmark(spark, sf_dir).withColumnRenamed("question", "text")).select("question_id", "vector")
-    return search(embedded(chunks(spark, sf_dir)), asked, top_k)
+    return search(embedded(chunks(spark, sf_dir)), asked, top_k, threshold)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +111,8 @@ def payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
-    holes = {c: F.when(F.pmod(F.length("text") + k, F.lit(5)) != 0, F.col(c)).alias(c) for k, c in enumerate(rows.columns)}
-    return collection.with_defaults(rows.select(F.xxhash64("text").isNotNull().alias("known"), *holes.values())).drop("known")
+    holes = [F.when(F.pmod(F.length("text") + k, F.lit(5)) != 0, F.col(c)).alias(c) for k, c in enumerate(rows.columns)]
+    return collection.with_defaults(rows.select(*holes))
 
 
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,9 +172,15 @@ def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = chunks(spark, sf_dir)
-    before, after = (x.agg(F.count("*").alias("n_points")) for x in (stored, stored.where("false")))
-    return before.select(F.lit("before").alias("state"), "n_points").unionByName(after.select(F.lit("after").alias("state"), "n_points"))
+    """All chunks go into a store of their own, which is then emptied; counted before and after."""
+    store = collection.Collection(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", HashedWords().dimension)
+    try:
+        store.add(embedded(chunks(spark, sf_dir)))
+        before = store.count()
+        store.reset()
+        return spark.createDataFrame([("before", before), ("after", store.count())], "state string, n_points long")
+    finally:
+        store.drop()
 
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +224,9 @@ def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.category_report(scores(spark, sf_dir), benchmark(spark, sf_dir).select("question_id", category.alias("category")))
 
 
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four hits for each question, and none for those with an odd number."""
-    found = hits(spark, sf_dir, 4).where("question_id % 2 = 0")
+def contexts(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
+    """Four hits at most for each question, of at least the threshold."""
+    found = hits(spark, sf_dir, 4, threshold)
     return prompt.with_prompt(prompt.contexts(benchmark(spark, sf_dir), found))
 
 
@@ -233,7 +243,7 @@ def fake_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_context_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompt.answers(contexts(spark, sf_dir), prompt.Echo()).where("size(sources) = 0").select("question_id", "text")
+    return prompt.answers(contexts(spark, sf_dir, NEAR), prompt.Echo()).where("size(sources) = 0").select("question_id", "text")
 
 
 def excerpt_200(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ class Settings:
     dimension: int = 64
     top_k: int = 4
     threshold: float | None = None
+    attempts: int = 5
+    base_delay: float = 5.0
 
     def __post_init__(self) -> None:
         check_sizes(self.chunk_size, self.chunk_overlap)

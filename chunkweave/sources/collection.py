@@ -1,14 +1,18 @@
-"""A collection of chunks with vectors: snapshots in Parquet and a pointer to the current one.
+"""A collection of chunks with vectors: Parquet in parts by source, and numbered manifests that name the current files of each part.
 
-A change writes a whole new snapshot folder and moves the pointer last, so readers never see half a change and a job that
-dies changes nothing. Nothing is written over what is being read.
+A change reads and writes only the parts whose sources it touches, into a new folder, and then creates the next manifest under a name
+of its own. So readers see all of a change or none of it, a job that dies at any point changes nothing, nothing
+is written over what is being read, and of two writers at once the second fails. The last `KEPT` manifests and their files
+stay for readers that are still at work; older ones are removed after each change.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions import text as X
@@ -16,6 +20,8 @@ from chunkweave.sources.files import Files
 
 POINT = "id string, vector array<double>, source string, index int, text string, line_start int, line_end int"
 NAMES = [field.split()[0] for field in POINT.split(", ")]
+#: Manifests that stay, and tasks that write one part at most.
+KEPT, SPREAD = 2, 16
 
 
 def points(chunks: DataFrame) -> DataFrame:
@@ -29,9 +35,9 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, v) for c, v in default.items() if c in rows.columns})
 
 
-def last_of(rows: DataFrame, order: str) -> DataFrame:
-    """Of rows with the same id the last one."""
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))
+def last_of(rows: DataFrame, *order: str) -> DataFrame:
+    """Of rows with the same id the last one by the given columns."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*[F.desc(c) for c in order]))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
@@ -49,60 +55,96 @@ def sources_of(rows: DataFrame) -> DataFrame:
 
 
 class Collection:
-    """A named collection under a root folder. Opening it creates it, or checks that the dimension is the same."""
+    """A named collection under a root folder. Opening it creates it, or checks that the dimension is the same.
 
-    def __init__(self, spark: SparkSession, root: str, dimension: int) -> None:
-        self.spark, self.root, self.dimension = spark, root.rstrip("/"), dimension
+    digits: hexadecimal digits that name a part, for a new collection; 16 ** digits parts.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, dimension: int, digits: int = 1) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, self.root)
-        if self.files.exists("_meta.json"):
-            held = json.loads(self.files.read("_meta.json"))["dimension"]
-            if held != dimension:
-                raise ValueError(f"{root} holds vectors of {held} components, not {dimension}")
-        else:
+        if not self.version():
             self.files.fs.mkdirs(self.files.root)
-            self.files.write("_meta.json", json.dumps({"dimension": dimension, "metric": "cosine"}))
-            self._commit(spark.createDataFrame([], POINT))
+            self._publish(0, {"dimension": dimension, "metric": "cosine", "digits": digits, "parts": {}})
+        held = self.manifest()["dimension"]
+        if held != dimension:
+            raise ValueError(f"{root} holds vectors of {held} components, not {dimension}")
+        self.dimension = dimension
 
     def version(self) -> int:
-        return int(self.files.read("_current")) if self.files.exists("_current") else 0
-
-    def _commit(self, rows: DataFrame) -> None:
-        new = self.version() + 1
-        while self.files.exists(f"v={new}"):  # left by a job that died
-            new += 1
-        rows.select(*NAMES).write.parquet(f"{self.root}/v={new}")
-        self.files.write("_current", str(new))
+        """The number of the last manifest; 0 before the first."""
+        return max([int(n.removesuffix(".json")) for n in self.files.children("manifests") if n.endswith(".json") and not n.startswith(".")], default=0)
+
+    def manifest(self) -> dict:
+        return json.loads(self.files.read(f"manifests/{self.version()}.json"))
+
+    def _publish(self, version: int, manifest: dict) -> None:
+        self.files.fs.mkdirs(self.files.under("manifests"))
+        self.files.create(f"manifests/{version + 1}.json", json.dumps(manifest))
+        self._expire()
+
+    def _expire(self) -> None:
+        """Remove manifests but the last KEPT, and files that none of these names."""
+        numbers = sorted(int(n.removesuffix(".json")) for n in self.files.children("manifests") if n.endswith(".json") and not n.startswith("."))
+        used = {run for n in numbers[-KEPT:] for run in json.loads(self.files.read(f"manifests/{n}.json"))["parts"].values()}
+        for n in numbers[:-KEPT]:
+            self.files.remove(f"manifests/{n}.json")
+        # Runs carry the number of the version they were made from: a running job's files are newer than the oldest manifest kept.
+        for run in self.files.children("data"):
+            if run not in used and int(run.split("-")[0]) < numbers[-KEPT:][0]:
+                self.files.remove(f"data/{run}")
+
+    def _part(self, digits: int) -> Column:
+        return F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, digits)
+
+    def _read(self, manifest: dict, parts: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.root}/data/{run}/part={part}" for part, run in sorted(manifest["parts"].items()) if parts is None or part in parts]
+        return self.spark.read.schema(POINT).parquet(*paths) if paths else self.spark.createDataFrame([], POINT)
+
+    def _commit(self, version: int, manifest: dict, rows: DataFrame, parts: list[str]) -> None:
+        """Rows become all that these parts hold."""
+        run = f"{version}-{uuid.uuid4().hex}"
+        part = self._part(manifest["digits"])
+        # A part's rows are spread over tasks by id: one source may hold much of the collection.
+        rows.select(*NAMES, part.alias("part")).repartition(F.col("part"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).write.partitionBy("part").parquet(f"{self.root}/data/{run}")
+        held = {p: r for p, r in manifest["parts"].items() if p not in parts}
+        written = [n.removeprefix("part=") for n in self.files.children(f"data/{run}") if n.startswith("part=")]
+        self._publish(version, manifest | {"parts": held | dict.fromkeys(written, run)})
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(POINT).parquet(f"{self.root}/v={self.version()}")
+        return self._read(self.manifest())
 
     def add(self, chunks: DataFrame, order: str | None = None, replace_sources: bool = False) -> int:
         """Insert or replace chunks with vectors; returns how many rows were given ids.
 
-        Rows with the same id: the last by `order`. Chunks of a document that became shorter stay, unless
+        Rows with the same id: the last by `order`, and among equals by their text. Chunks of a document that became shorter stay, unless
         replace_sources drops all earlier chunks of the given sources.
         """
         wrong = F.raise_error(F.lit(f"a vector does not have {self.dimension} components"))
         vector = F.when(F.size("vector") == self.dimension, F.transform("vector", lambda x: x.cast("double"))).otherwise(wrong)
+        version, manifest = self.version(), self.manifest()
         new = points(chunks).withColumn("vector", vector)
-        new = last_of(new, order) if order else new.dropDuplicates(["id"])
-        new = new.select(*NAMES).persist()
+        new = last_of(new, *([order] if order else []), "text").select(*NAMES).persist()
         try:
-            n = new.count()
-            if n:
-                old = self.rows()
+            counts = new.groupBy(self._part(manifest["digits"]).alias("part")).agg(F.count("*").alias("n")).collect()
+            parts = [r.part for r in counts]
+            if parts:
+                old = self._read(manifest, parts)
                 if replace_sources:
                     old = old.join(new.select("source").distinct(), "source", "left_anti").select(*NAMES)
-                self._commit(merged(old, new))
-            return n
+                self._commit(version, manifest, merged(old, new), parts)
+            return sum(r.n for r in counts)
         finally:
             new.unpersist()
 
     def delete_source(self, source: str) -> None:
-        self._commit(without_source(self.rows(), source))
+        version, manifest = self.version(), self.manifest()
+        part = hashlib.md5(source.encode()).hexdigest()[: manifest["digits"]]
+        if part in manifest["parts"]:
+            self._commit(version, manifest, without_source(self._read(manifest, [part]), source), [part])
 
     def reset(self) -> None:
-        self._commit(self.rows().where("false"))
+        self._publish(self.version(), self.manifest() | {"parts": {}})
 
     def drop(self) -> None:
         self.files.remove()

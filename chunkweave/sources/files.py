@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session takes a temporary folder and any other one a folder beside
+    the warehouse.
+    """
+    context = spark.sparkContext
+    set_before = context._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.master.startswith("local") and "cluster" not in context.master:
+        folder = tempfile.mkdtemp(prefix="chunkweave-")
+    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.jvm = spark.sparkContext._jvm
@@ -37,15 +57,19 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Write beside and rename, so that readers see the old or the new text."""
-        new = self.under(name + ".new")
-        stream = self.fs.create(new, True)
+    def create(self, name: str, text: str) -> None:
+        """Write a new file beside and rename it, so that readers see all of it or none; an existing one is an error."""
+        new = self.under(f".{uuid.uuid4().hex}.new")
+        stream = self.fs.create(new, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self.under(name), False)
-        if not self.fs.rename(new, self.under(name)):
-            raise OSError(f"cannot write {name}")
+        if self.exists(name) or not self.fs.rename(new, self.under(name)):
+            self.fs.delete(new, False)
+            raise FileExistsError(name)
+
+    def children(self, name: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.under(name))) if self.exists(name) else []
 
-    def remove(self) -> None:
-        self.fs.delete(self.root, True)
+    def remove(self, name: str | None = None) -> None:
+        self.fs.delete(self.under(name) if name else self.root, True)

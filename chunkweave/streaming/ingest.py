@@ -21,5 +21,6 @@ def ingest_stream(spark: SparkSession, pipeline: Pipeline, folder: str, checkpoi
 
     def upsert(batch: DataFrame, _: int) -> None:
         pipeline.ingest_documents(with_text(batch, basename(F.col("path"))).where("status = 'ok'"))
+        pipeline.release()
 
     return files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

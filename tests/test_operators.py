@@ -8,7 +8,7 @@ from chunkweave.functions import text as X
 from chunkweave.operators import evaluate, prompt
 from chunkweave.operators.chunking import chunk, cut
 from chunkweave.operators.embedding import HashedWords, Remote, checked, complete_sources, embed, hashed_counts, retry
-from chunkweave.operators.search import near_candidates, search
+from chunkweave.operators.search import near_candidates, search, search_near
 from chunkweave.settings import Settings
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +148,33 @@ def test_approximate_candidates_are_close(spark):
     assert set(got) <= {"a", "c"} and got["a"] == pytest.approx(1.0)
 
 
+def test_approximate_search_finds_nearly_all(spark):
+    """Recall of the approximate top-k against exact search, with clustered vectors: at least 0.9."""
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(20, 16))
+    vectors = [[float(x) for x in centers[i % 20] + 0.15 * r.normal(size=16)] for i in range(1200)]
+    store = spark.createDataFrame([(f"s{i}", 0, v) for i, v in enumerate(vectors)], "source string, index int, vector array<double>")
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 1200, 20)], "question_id long, vector array<double>")
+    exact = {(h.question_id, h.source) for h in search(store, asked, 10).collect()}
+    got = search_near(store, asked, 10).collect()
+    assert max(h.rank for h in got) == 10 and len({(h.question_id, h.rank) for h in got}) == len(got)
+    assert len({(h.question_id, h.source) for h in got} & exact) >= 0.9 * len(exact)
+
+
+def test_search_over_many_batches(spark):
+    """A task keeps its best over all batches that it reads."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        store = spark.createDataFrame([(f"s{i * 37 % 100:02d}", i, [float(i % 9), 1.0], f"t{i}") for i in range(100)], "source string, index int, vector array<double>, text string").coalesce(1)
+        asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "question_id long, vector array<double>")
+        got = sorted((h.question_id, h.rank, h.source, h.text) for h in search(store, asked, 5).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    named = lambda rest: [(f"t{i}", s) for s, i in sorted((f"s{i * 37 % 100:02d}", i) for i in range(100) if i % 9 == rest)[:5]]
+    assert got == [(q, n + 1, s, t) for q, rest in ((1, 8), (2, 0)) for n, (t, s) in enumerate(named(rest))]
+
+
 def test_candidates_and_recall(spark):
     hits = spark.createDataFrame([(1, 1, "a__x"), (1, 2, "b__x"), (1, 3, "a__y"), (1, 4, "c"), (2, 1, "c__z")], "question_id long, rank int, source string")
     asked = spark.createDataFrame([(1, "q", "u"), (2, "q", "u"), (3, "q", "v")], "question_id long, question string, category string")
@@ -167,6 +194,11 @@ def test_containing_passages(spark):
     assert evaluate.containing(docs, asked.where("false")).count() == 0
 
 
+def test_containing_passages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "PASSAGE_BYTES", 5)
+    test_containing_passages(spark)
+
+
 def test_prompts_and_answers(spark):
     asked = spark.createDataFrame([(1, "  why? "), (2, "none"), (3, "boom")], "question_id long, question string")
     hits = spark.createDataFrame([(1, 2, 0.5, "b", 0, "B", 0, 0), (1, 1, 0.9, "a", 1, "A", 2, 5), (3, 1, 0.1, "c", 0, "C", 1, 1)], "question_id long, rank int, score double, source string, index int, text string, line_start int, line_end int")

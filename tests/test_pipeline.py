@@ -2,10 +2,13 @@ import json
 
 import pytest
 from chunkweave.__main__ import main
+from chunkweave.operators.embedding import HashedWords
+from chunkweave.operators.prompt import Echo
 from chunkweave.plans.pipeline import Pipeline
 from chunkweave.settings import Settings
 from chunkweave.sources import text_files
 from chunkweave.sources.collection import Collection
+from chunkweave.sources.files import Files
 from chunkweave.streaming.ingest import ingest_stream
 
 REPORT = "\n".join(f"{'  ' if i % 5 == 0 else ''}Ligne {i} du rapport : résultat {i * 7} % et suite du texte." + ("\n" if i % 6 == 5 else "") for i in range(40))
@@ -85,6 +88,134 @@ def test_collection_rules(spark, tmp_path):
     assert store.version() == version and Collection(spark, root, 2).count() == 1
 
 
+ROW = "source string, index int, text string, line_start int, line_end int, vector array<double>"
+
+
+def files_of(root):
+    return {str(p.relative_to(root)) for p in root.rglob("*.parquet")}
+
+
+def test_a_change_leaves_other_parts_alone(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "c"), 1)
+    rows = lambda text, names: spark.createDataFrame([(n, i, text, 1, 1, [1.0]) for n in names for i in range(3)], ROW)
+    names = [f"n{i}" for i in range(40)]
+    store.add(rows("old", names))
+    before, first = files_of(tmp_path / "c"), store.manifest()["parts"]
+    store.add(rows("new", ["n7"]))
+    changed = {p for p, run in store.manifest()["parts"].items() if first.get(p) != run}
+    assert len(changed) == 1 and before <= files_of(tmp_path / "c")
+    assert {(r.source, r.text) for r in store.rows().collect()} == {(n, "new" if n == "n7" else "old") for n in names}
+    store.delete_source("n7")
+    store.delete_source("never seen")
+    assert store.count() == 117
+    for i in range(3):  # old files go, current ones stay
+        store.add(rows(f"turn {i}", names))
+    assert store.count() == 120 and len(list((tmp_path / "c/data").iterdir())) == 2 and len(list((tmp_path / "c/manifests").glob("*.json"))) == 2
+
+
+@pytest.mark.parametrize("step", ["mkdirs", "create", "publish", "write", "expire"])
+def test_a_change_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+    """Whatever step a job dies in, the collection opens and reads as before, or, once the manifest is there, as after."""
+    root = str(tmp_path / "c")
+
+    def dies(*_, **__):
+        raise KeyboardInterrupt
+
+    row = lambda text: spark.createDataFrame([("a", 0, text, 1, 1, [1.0])], ROW)
+    target, name = {"mkdirs": (Files, "under"), "create": (Files, "create"), "publish": (Collection, "_publish"), "write": (Collection, "_part"), "expire": (Collection, "_expire")}[step]
+    with monkeypatch.context() as broken:  # while it is created
+        broken.setattr(target, name, dies)
+        with pytest.raises(KeyboardInterrupt):
+            Collection(spark, root, 1).add(row("lost"))
+    store = Collection(spark, root, 1)
+    assert store.count() == 0
+    store.add(row("old"))
+    with monkeypatch.context() as broken:
+        broken.setattr(target, name, dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.add(row("new"))
+    store = Collection(spark, root, 1)
+    assert [r.text for r in store.rows().collect()] == ["new" if step == "expire" else "old"]
+    store.add(row("newer"))
+    assert [r.text for r in Collection(spark, root, 1).rows().collect()] == ["newer"]
+
+
+def test_two_writers(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "c"), 1)
+    with pytest.raises(FileExistsError):
+        store._publish(store.version() - 1, store.manifest())
+
+
+def test_of_equal_names_the_last_path_wins(spark, folder):
+    (folder / "in/sub/report.txt").write_text("another report")
+    pipeline = small(spark, folder)
+    pipeline.ingest_directory(str(folder / "in"), recursive=True)
+    texts = {r["index"]: r.text for r in pipeline.store.rows().where("source = 'report.txt'").collect()}
+    assert texts[0] == "another report" and len(texts) > 5 and "Ligne" in texts[1]
+
+
+class Flaky(HashedWords):
+    """Fails the first call of each process for a text."""
+
+    seen: set = set()
+
+    def embed(self, texts):
+        if not self.seen & set(texts):
+            self.seen.update(texts)
+            raise OSError("too many requests")
+        return super().embed(texts)
+
+
+def test_a_call_that_fails_once_is_repeated(spark, folder):
+    pipeline = Pipeline(spark, str(folder / "store"), Settings(chunk_size=300, chunk_overlap=50, base_delay=0.0), Flaky())
+    done = {r.source: r.n_chunks for r in pipeline.ingest_directory(str(folder / "in")).collect()}
+    assert done["report.txt"] > 5 and done["odd name.txt"] == 1
+    assert len(pipeline.ask("rapport").first().sources) == 4
+
+
+class Counted(Echo):
+    """Writes down each call."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def generate(self, prompts, contexts):
+        with open(self.path, "a") as f:
+            f.write("x" * len(prompts))
+        return super().generate(prompts, contexts)
+
+    def in_english(self):
+        return English(self.path)
+
+
+class English(Counted):
+    def generate(self, prompts, contexts):
+        super().generate(prompts, contexts)
+        return ["in English"] * len(prompts)
+
+
+def test_a_question_costs_one_call(spark, folder, monkeypatch):
+    calls, held = folder / "calls", {*spark.sparkContext._jsc.getPersistentRDDs()}
+    pipeline = Pipeline(spark, str(folder / "store"), Settings(chunk_size=300, chunk_overlap=50), generator=Counted(str(calls)))
+    pipeline.ingest_directory(str(folder / "in"))
+    answer = pipeline.ask("rapport")
+    assert answer.first().status == "ok" and answer.count() == 1 and answer.selectExpr("explode(sources)").count() == 4
+    assert calls.read_text() == "x"
+    assert {*spark.sparkContext._jsc.getPersistentRDDs()} <= held
+    (folder / "q.jsonl").write_text('{"question_id": "q", "question": "rapport"}')
+    for english, text in ((True, "in English"), (False, "[FAUSSE RÉPONSE]")):
+        pipeline.bench(str(folder / "q.jsonl"), str(folder / f"out{english}"), english=english)
+        assert [json.loads(x)["answer"][:10] for p in (folder / f"out{english}").glob("part*") for x in p.read_text().splitlines()] == [text[:10]]
+
+
+def test_exports():
+    import chunkweave
+
+    assert all(getattr(chunkweave, name) for name in chunkweave.__all__)
+    with pytest.raises(AttributeError):
+        chunkweave.nothing  # noqa: B018
+
+
 def test_bench_and_resume(spark, folder):
     pipeline = small(spark, folder)
     pipeline.ingest_directory(str(folder / "in"))
