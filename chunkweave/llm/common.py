@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,7 +10,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.sources.files import Files
+from chunkweave.sources.files import Files, shared_folder
 
 #: Java pattern of the separators between words: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -31,23 +30,6 @@ def sealed(df: DataFrame) -> Column:
     return F.struct(*[col(c) for c in df.columns]).alias("row")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, a local session takes a temporary folder and any other one a folder beside
-    the warehouse.
-    """
-    context = spark.sparkContext
-    set_before = context._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and context.master.startswith("local") and "cluster" not in context.master:
-        folder = tempfile.mkdtemp(prefix="chunkweave-")
-    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

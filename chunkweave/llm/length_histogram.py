@@ -62,15 +62,18 @@ def length_histogram(counts: DataFrame, length_col: str = "n_tokens") -> DataFra
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents that fit, tokens of those, and tokens of all when cut there."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "`limit` long")
-    fits = F.col("length") <= F.col("limit")
-    held = histogram.select("length", "n_docs", "n_tokens").join(F.broadcast(asked))
-    return held.groupBy("limit").agg(
-        F.sum(F.when(fits, F.col("n_docs")).otherwise(0)).alias("docs_fit"),
-        F.sum(F.when(fits, F.col("n_tokens")).otherwise(0)).alias("tokens_fit"),
-        F.sum(F.least("length", "limit") * F.col("n_docs")).alias("truncated_tokens"),
-    )
+    """For each context limit: documents that fit, tokens of those, and tokens of all when cut there.
+
+    Read from the suffix sums of one row: that of the greatest length within the limit.
+    """
+    asked = F.broadcast(histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "`limit` long"))
+    everything = histogram.agg(F.max(F.col("docs_up_to") + F.col("docs_over")).alias("n"))
+    last = F.max(F.struct("length", "docs_up_to", "tokens_up_to"))
+    held = histogram.join(asked, F.col("length") <= F.col("limit")).groupBy("limit").agg(last.alias("at"))
+    fit = lambda c: F.coalesce(F.col(f"at.{c}"), F.lit(0))
+    over = F.col("n") - fit("docs_up_to")
+    out = asked.join(held, "limit", "left").join(F.broadcast(everything)).where("n is not null")  # one row
+    return out.select("limit", fit("docs_up_to").alias("docs_fit"), fit("tokens_up_to").alias("tokens_fit"), (fit("tokens_up_to") + F.col("limit") * over).alias("truncated_tokens"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:

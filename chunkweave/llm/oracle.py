@@ -41,12 +41,14 @@ SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
 def license_scan() -> str:
     strings = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     places = []
+    starts = lambda p: f"list_filter(range(1, len(w) - {len(p)} + 2), lambda i: w[i] = '{p[0]}' AND w[i:i+{len(p) - 1}] = {strings(p)})"
     for k, t in enumerate(BASE + MORE):
-        b, p, a = t.before.split(), t.phrase.split(), t.after.split()
-        near = [(w, j - len(b)) for j, w in enumerate(b)] + [(w, len(p) + j) for j, w in enumerate(a)]
-        hits = " + ".join([f"coalesce((s + {at} > 0 AND w[greatest(s + {at}, 1)] = '{w}')::INT, 0)" for w, at in near] or ["0"])
-        found = f"SELECT doc_id, w, unnest(list_filter(range(1, len(w) - {len(p)} + 2), lambda i: w[i] = '{p[0]}' AND w[i:i+{len(p) - 1}] = {strings(p)})) AS s FROM d"
-        places.append(f"SELECT doc_id, '{t.label}' AS label, {k < len(BASE)} AS base, s - 1 AS start, ({len(p)} + {hits}) / {len(p) + len(b) + len(a)} AS share FROM ({found})")
+        whole = f"{t.before} {t.phrase} {t.after}".split()
+        at = f"s - {len(t.before.split())} + j"
+        hits = f"len(list_filter(range({len(whole)}), lambda j: {at} > 0 AND w[{at}] = ({strings(whole)})[j + 1]))"
+        fits = " AND ".join([f"len({starts(x.split())}) {test}" for x, test in ((t.needs, "> 0"), (t.bars, "= 0")) if x] or ["true"])
+        found = f"SELECT doc_id, w, unnest({starts(t.phrase.split())}) AS s FROM d WHERE {fits}"
+        places.append(f"SELECT doc_id, '{t.label}' AS label, {k < len(BASE)} AS base, s - 1 AS start, {hits} / {len(whole)} AS share FROM ({found})")
     return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
 places AS ({" UNION ALL ".join(places)})
 SELECT d.doc_id, len(d.w) AS n_words, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,

@@ -20,7 +20,7 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[ \t-\r]+")
 #: Words in each of the memo's two generations.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def default_vocabulary() -> str:

@@ -2,8 +2,8 @@
 
 The filter has blocks of eight 32-bit words; a URL sets one bit in each word of one block, so one lookup of one
 small row answers. Its bits grow with the list (about 16 for each URL). While it takes less than
-`broadcast_bytes` it is sent to every task; beyond that the lookup is a join on the block number. Only
-possible hits go on to the exact join with the listed URLs, which removes false positives.
+`broadcast_bytes` it is sent to every task; beyond that the lookup is a join on the block number. URLs that have no canonical form
+are looked up nowhere. Only possible hits go on to the exact join with the listed URLs, which removes false positives.
 
 Defined results: a null URL, or one without `://`, has empty host and path, is never listed and fits no rule;
 repeated rows and repeated listed URLs are harmless; an empty list blocks nothing; an empty table gives an
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col
 
 LANES = 8
+#: Bytes of a block's row in a broadcast join.
+ROW_BYTES = 256
 KEYS_PER_BLOCK = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that name no other content: fixed values.
@@ -77,7 +79,7 @@ def bloom_filter(keys: DataFrame, n_keys: int, key_col: str = "key") -> tuple[Da
 
 def possible(rows: DataFrame, bloom: DataFrame, blocks: int, key_col: str = "key", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Add bloom_hit: false only if the key is surely not in the filter."""
-    small = blocks * (LANES * 4 + 8) <= broadcast_bytes
+    small = blocks * ROW_BYTES <= broadcast_bytes
     rows = rows.withColumn("block", F.pmod(F.xxhash64(key_col), F.lit(blocks)))
     words = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(b) != 0 for i, b in enumerate(bits_of(F.col(key_col)))])
     joined = rows.join(F.broadcast(bloom) if small else bloom, "block", "left")
@@ -100,9 +102,10 @@ def judged(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str
     bloom, blocks = bloom_filter(listed, listed.count())
     url = col(url_col)
     rows = pages.select(col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
-    rows = possible(rows, bloom, blocks, broadcast_bytes=broadcast_bytes)
+    none = rows.where("key is null").withColumn("bloom_hit", F.lit(False))
+    rows = possible(rows.where("key is not null"), bloom, blocks, broadcast_bytes=broadcast_bytes)
     hits = rows.where("bloom_hit").join(listed.withColumn("listed", F.lit(True)), "key", "left")
-    rest = rows.where("not bloom_hit").withColumn("listed", F.lit(False)).select(*hits.columns)
+    rest = rows.where("not bloom_hit").unionByName(none).withColumn("listed", F.lit(False)).select(*hits.columns)
     out = hits.unionByName(rest).withColumn("listed", F.coalesce("listed", F.lit(False)))
     out = out.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))

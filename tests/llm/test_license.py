@@ -45,6 +45,27 @@ def test_scan_matches_brute_force(spark):
         assert sum(p.label in {t.label for t in ls.BASE} for p in r.places) == r.n_base
 
 
+MIT_BODY = next(t for t in ls.MORE if t.label == "mit")
+NAMED = {t.label: t for t in ls.MORE if t.label.startswith("bsd")}
+
+
+def whole(t):
+    return f"{t.before} {t.phrase} {t.after}"
+
+
+def test_notices_are_told_apart(spark):
+    """BSD-2 from BSD-3 by the clause that only one has; MIT by its body alone; edited notices score less than whole ones."""
+    two, three, mit = whole(NAMED["bsd-2-clause"]), whole(NAMED["bsd-3-clause"]), whole(MIT_BODY)
+    gpl = next(t for t in ls.MORE if t.label == "gpl-2" and "foundation" in t.phrase)
+    texts = [f"Copyright (c) X\n{two}", f"Copyright (c) X\n{three}", f"-- {mit.upper()} --", mit.replace("merge", "mince").replace("sublicense", "sub"), f"// {whole(gpl)}", ls.ENDORSE, MIT_BODY.phrase]
+    docs = documents(spark, [(i, t, "en", "s", 1, "", 1, "", 0.0) for i, t in enumerate(texts)])
+    got = sorted(ls.license_scan(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.labels for r in got] == ["bsd-2-clause", "bsd-3-clause", "mit", "mit", "gpl-2", "", "mit"]
+    assert all(r.n_base == 0 and r.base_labels == "" for r in got)
+    assert [r.score for r in got[:3]] == [1.0, 1.0, 1.0] and got[4].score == 1.0 and got[5].score == 0.0
+    assert 0.9 < got[3].score < 1.0 and got[6].score < 0.3
+
+
 def test_frequencies_and_postings(spark):
     docs = documents(spark, [(i, t, "en", "s", 1, "", 1, "", 0.0) for i, t in enumerate(TEXTS)])
     found = ls.document_frequencies(docs, ls.BASE)
