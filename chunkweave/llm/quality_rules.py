@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm.common import checkpointed, col, sealed, words, written
+from chunkweave.llm.common import checkpointed, col, sealed, words
 
 #: Characters that count as symbols: fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -213,24 +213,20 @@ def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (all columns), doc_id and STATS."""
-    return text_stats(docs.select(sealed(docs), col(id_col).alias("doc_id"), col(text_col).alias("text"))).drop("text")
-
-
-def passing(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    return rows.where(~base_failed() & verdict(rules).isNull()).select("row.*")
-
-
 def kept_documents(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are kept, with all their columns."""
-    return passing(counted(docs, id_col, text_col), rules)
+    rows = text_stats(docs.select(sealed(docs), col(text_col).alias("text"))).drop("text")
+    return rows.where(~base_failed() & verdict(rules).isNull()).select("row.*")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows that are kept by rules learnt from them, with all their columns.
 
-    One pass over the texts: rows are written with their counts, and rules are learnt from the counts alone.
+    Texts are counted once: rules are learnt from the counts, and the rows that they reject leave by an anti join on the id and a hash of the text.
     """
-    rows = written(counted(docs, id_col, text_col))
-    return passing(rows, learn_from(rows.select("doc_id", *STATS), labels, **options))
+    key = F.xxhash64(col(text_col)).alias("text_key")
+    stats = checkpointed(text_stats(docs.select(col(id_col).alias("doc_id"), key, col(text_col).alias("text"))).drop("text"))
+    found = judged(stats, learn_from(stats.drop("text_key"), labels, **options))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct()
+    rows = docs.select(sealed(docs), col(id_col).alias("doc_id"), key)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("text_key") == F.col("gone_key")), "left_anti").select("row.*")

@@ -239,8 +239,8 @@ def rest_links(led: DataFrame, held: DataFrame, labels: DataFrame, similarity: f
     return dealt.groupBy("unit", "i", "j").applyInPandas(compared, "a long, b long")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Links a, b that join all nodes that share a key and whose sets of shingles have at least this Jaccard similarity.
+def similar_labels(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node and label of the components of all nodes that share a key and whose sets of shingles have at least this Jaccard similarity.
 
     nodes: node, keys, size, doc_id and text_key of one of its texts. Members of a bucket are first compared with its leader, and
     then, where they still belong to several components, with each other. Nothing but these rows moves before candidates are known.
@@ -259,9 +259,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     same = F.size(F.array_intersect("held", "other"))
     links = both.where(same >= similarity * (F.size("held") + F.size("other") - same)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     labels = min_labels(links)
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     rest = rest_links(led.where("n > 2").select("node", "size", "key"), held, labels, similarity)
-    return links if rest is None else links.unionByName(rest)
+    return labels if rest is None else min_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -278,7 +277,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     label = F.xxhash64(F.lit("fingerprints"), "label")
     nodes = nodes.join(labelled(marked), "fp").select("node", "first.doc_id", "first.text_key", "first", "size", F.array_append("keys", label).alias("keys"))
     nodes = checkpointed(nodes)
-    labels = min_labels(similar_links(docs, nodes, similarity, id_col, text_col, shingle))
+    labels = similar_labels(docs, nodes, similarity, id_col, text_col, shingle)
     group = nodes.select("node", "first").join(labels, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")
     kept = checkpointed(group.groupBy("group").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"_{c}") for c in (*place, "copies")]))
     rows = docs.select(sealed(docs), col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), row_key(docs).alias("row_key"))
