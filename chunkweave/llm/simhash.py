@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col, min_labels, sealed
 
 SEGMENTS, WIDTH = 16, 4
-#: For similarity 0.8, 12 bands of 4 miss 2 pairs in 1000.
-BANDS, ROWS = 12, 4
+#: For similarity 0.8, 20 bands of 4 miss 3 pairs in 100,000.
+BANDS, ROWS = 20, 4
 FACTORS = np.random.default_rng(12).integers(1, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at once.
 RUN = 1 << 16
