@@ -20,7 +20,7 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[ \t-\r]+")
 #: Words in each of the memo's two generations.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def default_vocabulary() -> str:
@@ -73,8 +73,8 @@ class WordIds(dict):
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        found = BLANK.split(text) if SEPARATORS.search(text) else text.split()
-        return b"".join([self[w] for w in found if w])
+        found = filter(None, BLANK.split(text)) if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, found))
 
 
 @lru_cache(maxsize=2)

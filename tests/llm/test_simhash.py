@@ -123,6 +123,49 @@ def test_copies_edited_apart_meet_their_original(spark, monkeypatch, block):
     assert [k.doc_id for k in kept.collect()] == [0]
 
 
+@pytest.mark.parametrize("block", [1 << 18, 3000])
+def test_family_without_its_original(spark, monkeypatch, block):
+    """Copies with one to three words changed; the text they come from is not there. What stays is one of each component, as all pairs say."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(3)
+    w = [f"w{r.randrange(9000)}" for _ in range(120)]
+    texts = []
+    for _ in range(160):
+        v = w.copy()
+        for at in r.sample(range(120), r.choice([1, 2, 2, 2, 3])):
+            v[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    links = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if jaccard(a, b) >= 0.8]
+    for i, j in links:
+        a, b = top(i), top(j)
+        root[max(a, b)] = min(a, b)
+    kept = simhash.keep_one(documents(spark, [(i, t, "en", "s", 1, "", 1, "", 0.0) for i, t in enumerate(texts)]))
+    assert len(links) > 200 and sorted(k.doc_id for k in kept.collect()) == sorted({top(i) for i in range(len(texts))})
+
+
+def test_equal_rows_stay_once(spark):
+    """Many copies of one row, rows of one id and text that differ elsewhere, and columns that need quoting or cannot be hashed."""
+    given = [(None, "one text", 1, {"a": 1})] * 50 + [(7, "two words here", i, {"a": i}) for i in range(20)] + [(7, "two words here", 3, {"a": 3})] * 5
+    docs = spark.createDataFrame(given, "doc_id long, text string, `my col` int, `a.b` map<string,int>")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(k.text for k in kept) == ["one text", "two words here"] and kept[0]["a.b"] is not None
+    assert [k.doc_id for k in sorted(kept, key=lambda k: k.text)] == [None, 7]
+
+
+def test_counts_never_overstate(monkeypatch):
+    """The distance of counts by hash is at most the number of shingles that one of two sets has alone."""
+    rng = simhash.np.random.default_rng(1)
+    for _ in range(200):
+        sets = [simhash.np.unique(rng.integers(0, 300, rng.integers(1, 200))) for _ in range(2)]
+        a, b = simhash.counters(sets).astype(int)
+        assert abs(a - b).sum() <= len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+
+
 def test_empty_table(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
