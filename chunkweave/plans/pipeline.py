@@ -51,7 +51,7 @@ class Pipeline:
         """
         order = [c for c in documents.columns if c == "path"]
         chunks = chunk(documents, self.settings.chunk_size, self.settings.chunk_overlap, tuple(order))
-        stored = self._once(complete_sources(self._embed(chunks)))
+        stored = complete_sources(self._once(self._embed(chunks)))
         self.store.add(stored, *order)
         return stored
 

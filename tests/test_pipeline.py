@@ -194,6 +194,25 @@ class English(Counted):
         return ["in English"] * len(prompts)
 
 
+class Logged(HashedWords):
+    """Writes down how many texts each call takes."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def embed(self, texts):
+        with open(self.path, "a") as f:
+            f.write("x" * len(texts))
+        return super().embed(texts)
+
+
+def test_each_chunk_is_embedded_once(spark, folder):
+    pipeline = Pipeline(spark, str(folder / "store"), Settings(chunk_size=300, chunk_overlap=50), Logged(str(folder / "calls")))
+    done = pipeline.ingest_directory(str(folder / "in")).collect()
+    assert len((folder / "calls").read_text()) == sum(r.n_chunks for r in done) > 5
+
+
 def test_a_question_costs_one_call(spark, folder, monkeypatch):
     calls, held = folder / "calls", {*spark.sparkContext._jsc.getPersistentRDDs()}
     pipeline = Pipeline(spark, str(folder / "store"), Settings(chunk_size=300, chunk_overlap=50), generator=Counted(str(calls)))
