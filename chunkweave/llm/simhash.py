@@ -246,10 +246,12 @@ def similar_labels(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     then, where they still belong to several components, with each other. Nothing but these rows moves before candidates are known.
     """
     keyed = nodes.where("size > 0").select("node", "size", F.explode("keys").alias("key"))
-    shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # Counts and leaders are checkpointed, so that Spark can split the joins with them where a band is hot.
+    counts = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = checkpointed(keyed.join(counts, "key"))
     weighed = shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node")
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("leader"))
-    leaders = leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
+    leaders = checkpointed(leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")))
     led = checkpointed(shared.join(leaders, "key").where("node <> leader"))
     asked = nodes.join(led.select("node").union(led.select("leader")).distinct(), "node")
     held = checkpointed(shingle_sets(docs, asked, id_col, text_col, shingle))
