@@ -7,7 +7,7 @@ and crowded ones are dealt to several. Blocks travel packed, in the least kind o
 
 1. Each block is searched for the queries that live in it, which gives each query a first kth score.
 2. Queries of neighbouring leaves form chunks. A chunk asks only for blocks with a leaf whose bound, by the covering radius, reaches
-   the kth score of one of its queries. Just these pairs of a chunk and a block are made, `TOGETHER` blocks to a task.
+   the kth score of one of its queries. Just these pairs of a chunk and a block are made, at most `TOGETHER` blocks to a task.
 3. Within a task, cover trees over the chunk and over each block are walked in pairs; a pair of nodes is pruned when
    its bound by both covering radii stays under the worst kth score of its queries, which rises from block to block.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from chunkweave.llm.common import checkpointed, col
 
 SAMPLE, BLOCK, CHUNK, TOGETHER = 32_768, 4096, 16_384, 16
+#: Pairs of a chunk and a block share a task only where there are more than so many.
+TASKS = 256
 LEAF, FANOUT = 128, 16
 EXACT = float(1 << 53)
 
@@ -307,7 +309,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
         return pd.DataFrame([row | {"homes": chunk["block"].to_numpy("i8").tobytes(), "blocks": blocks.value.reached(x, floor)}])
 
     asked = checkpointed(asking.groupBy("chunk").applyInPandas(gathered, f"chunk long, {BLOB}, floors binary, homes binary, blocks array<long>"))
-    pairs = asked.select("chunk", F.explode("blocks").alias("block")).withColumn("some", F.floor(F.col("block") / TOGETHER))
+    n_pairs = asked.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0]
+    together = max(1, min(TOGETHER, n_pairs // TASKS))
+    pairs = asked.select("chunk", F.explode("blocks").alias("block")).withColumn("some", F.floor(F.col("block") / together))
     left = pairs.select("chunk", "some").distinct().join(asked.drop("blocks"), "chunk")
     left = left.select(F.col("chunk").alias("by"), F.col("some").alias("part"), "ids", "dim", "kind", "x", "floors", "homes")
     right = pairs.join(held.drop("found"), "block")

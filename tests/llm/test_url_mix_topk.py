@@ -138,7 +138,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     given += [(None, [1.0] * 6, 1), (2002, None, 1), (2060, [1.0, None, 1, 1, 1, 1], 1), (2080, [float("nan")] * 6, 1), (2003, [float("inf")] * 6, 1), (20, [9.0] * 6, 1), (20, [9.0] * 6, 1)]
     given += [(1, [8.0] * 6, 1), (1, [7.5] * 6, 1), (3, [1.0, -1.0], 1), (40, [0.25] * 6, 1), (40, [0.25] * 6, 1)]
     given = [(i, v if v is None else [x if x is None else float(x) for x in v], n) for i, v, n in given]
-    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("TOGETHER", 3), ("LEAF", 8), ("FANOUT", 4)):
+    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("TOGETHER", 3), ("TASKS", 4), ("LEAF", 8), ("FANOUT", 4)):
         monkeypatch.setattr(cover_tree, name, value)
     rows = spark.createDataFrame(given, "vec_id long, embedding array<double>, score int").withColumn("v", F.lit(1)).withColumn("node", F.lit("x"))
     got = cover_tree.search(rows, F.col("vec_id") % 20 == 0).collect()
