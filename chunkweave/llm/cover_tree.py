@@ -33,7 +33,7 @@ from chunkweave.llm.common import checkpointed, col
 SAMPLE, BLOCK, CHUNK, TOGETHER = 32_768, 4096, 16_384, 16
 #: Pairs of a chunk and a block share a task only where there are more than so many.
 TASKS = 256
-LEAF, FANOUT = 128, 16
+LEAF, FANOUT = 512, 16
 EXACT = float(1 << 53)
 
 
