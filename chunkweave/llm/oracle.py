@@ -57,10 +57,30 @@ SELECT d.doc_id, len(d.w) AS n_words, count(*) FILTER (WHERE base) AS n_base, mi
  FROM d LEFT JOIN places USING (doc_id) GROUP BY d.doc_id, d.w"""
 
 
+#: The CRC-32 of a decimal id comes from the usual table of 256 remainders, which a recursive query makes.
+TRIE = """WITH RECURSIVE bits AS (SELECT range AS b, range AS r, 0 AS k FROM range(256) UNION ALL
+ SELECT b, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(r ORDER BY b) AS tab FROM bits WHERE k = 8),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS i, {'r': r, 'x': x} AS m
+ FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+held AS (SELECT conv_id, list(m ORDER BY i) AS ms, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+own AS (SELECT held.*, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])) AS crc FROM held, tab),
+built AS (SELECT o.conv_id, list_concat(coalesce(b.ms, [])[:xor(o.crc, 4294967295) % 6], o.ms[xor(o.crc, 4294967295) % 6 + 1:]) AS ms FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+seen AS (SELECT conv_id, d, ms[:d] AS node, d = len(ms) AS last FROM (SELECT conv_id, ms, unnest(range(len(ms) + 1)) AS d FROM built)),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM seen GROUP BY node, d),
+kids AS (SELECT node[:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(node[d].x) END AS saved FROM nodes n LEFT JOIN kids k USING (node, d)),
+subtrees AS (SELECT top, d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM
+ (SELECT node[:u] AS top, u AS d, n_children, saved FROM (SELECT *, unnest(range(d + 1)) AS u FROM full_nodes)) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+ FROM full_nodes n JOIN subtrees s ON s.top = n.node AND s.d = n.d LEFT JOIN nodes p ON p.node = n.node[:n.d - 1] AND p.d = n.d - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter(("idiot", "moron")),
         "op8_cover_tree_topk": TOP_K,
         "op9_license_scan": license_scan(),
         "op10_substring_dedup": SUBSTRING,
+        "op11_conversation_trie": TRIE,
     }

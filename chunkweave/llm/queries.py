@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, quality_rules, simhash, substring, url_filter
+from chunkweave.llm import budget_mix, cover_tree, hilbert, length_histogram, license_scan, packing, prefix_trie, quality_rules, simhash, substring, url_filter
 from chunkweave.llm.common import read
 from chunkweave.llm.oracle import oracle_sql  # noqa: F401  registered with the queries
 
@@ -60,7 +60,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan, op10_substring_dedup)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan, op10_substring_dedup, op11_conversation_trie)
 
 
 def queries() -> dict[str, Query]:
