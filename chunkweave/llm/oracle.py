@@ -76,6 +76,22 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chil
  FROM full_nodes n JOIN subtrees s ON s.top = n.node AND s.d = n.d LEFT JOIN nodes p ON p.node = n.node[:n.d - 1] AND p.d = n.d - 1"""
 
 
+COLLOCATIONS = """WITH pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM
+ (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, ws[i:i + k - 1] AS w FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM pieces))) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+cuts AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM c),
+scored AS (SELECT x.lang, x.w, x.a, x.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * x.a) // (l.f + r.f))::BIGINT AS score FROM cuts x
+ JOIN f l ON l.lang = x.lang AND l.w = x.w[:x.k] JOIN f r ON r.lang = x.lang AND r.w = x.w[x.k + 1:]),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+parts AS (SELECT lang, a, w[i:i + k - 1] AS w FROM (SELECT lang, a, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest(range(2, len(w))) AS k FROM c))),
+longer AS (SELECT lang, w, max(a) AS most FROM parts GROUP BY ALL),
+kept AS (SELECT s.lang, array_to_string(s.w, ' ') AS phrase, s.a, s.l, s.r, s.score FROM least s LEFT JOIN longer g USING (lang, w) WHERE g.most IS NULL OR 100 * g.most < 80 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter(("idiot", "moron")),
@@ -83,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": license_scan(),
         "op10_substring_dedup": SUBSTRING,
         "op11_conversation_trie": TRIE,
+        "op13_phrase_collocations": COLLOCATIONS,
     }
