@@ -76,6 +76,20 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chil
  FROM full_nodes n JOIN subtrees s ON s.top = n.node AND s.d = n.d LEFT JOIN nodes p ON p.node = n.node[:n.d - 1] AND p.d = n.d - 1"""
 
 
+#: Blobs count bytes. A removed run goes on while the next window starts within 50 bytes.
+SUFFIX = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT r, doc_id, i, b[i:i + 49] AS s FROM (SELECT r, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS new FROM win JOIN least USING (s) WHERE doc_id > m),
+numbered AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM gone),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY ALL),
+cuts AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list_concat([1], list(z ORDER BY a)) AS froms, list(a ORDER BY a) AS tos FROM spans GROUP BY r),
+kept AS (SELECT r, sha256(unhex(string_agg(hex(b[f:t - 1]), '' ORDER BY f))) AS sha FROM
+ (SELECT d.r, d.b, unnest(froms) AS f, unnest(list_concat(tos, [octet_length(b) + 1])) AS t FROM cuts JOIN d USING (r)) WHERE t > f GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ CASE WHEN n_spans IS NULL THEN sha256(b) ELSE coalesce(sha, sha256('')) END AS kept_sha256 FROM d LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)"""
+
+
 COLLOCATIONS = """WITH pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM
  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
 total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
@@ -99,5 +113,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": license_scan(),
         "op10_substring_dedup": SUBSTRING,
         "op11_conversation_trie": TRIE,
+        "op12_suffix_dedup": SUFFIX,
         "op13_phrase_collocations": COLLOCATIONS,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import budget_mix, collocations, cover_tree, hilbert, length_histogram, license_scan, packing, prefix_trie, quality_rules, simhash, substring, url_filter
+from chunkweave.llm import budget_mix, collocations, cover_tree, hilbert, length_histogram, license_scan, packing, prefix_free, prefix_trie, quality_rules, simhash, substring, url_filter
 from chunkweave.llm.common import read
 from chunkweave.llm.oracle import oracle_sql  # noqa: F401  registered with the queries
 
@@ -64,11 +64,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.deduplicated(read(spark, sf_dir, "documents"), k=50, with_text=False)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), threshold=30, most=2000)
 
 
-QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan, op10_substring_dedup, op11_conversation_trie, op13_phrase_collocations)
+QUERIES = (op1_token_length_histogram, op2_url_filter, op3_simhash_near_dedup, op4_hilbert_shards, op5_quality_rules, op6_budget_mix, op7_best_fit_packing, op8_cover_tree_topk, op9_license_scan, op10_substring_dedup, op11_conversation_trie, op12_suffix_dedup, op13_phrase_collocations)
 
 
 def queries() -> dict[str, Query]:
