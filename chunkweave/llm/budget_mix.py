@@ -1,12 +1,13 @@
 """Mixing sources to target weights by fitting subset sums.
 
-1. Every document has a size and a seeded hash; documents are counted by source, exact size and hash bucket.
+1. Every document has a size and a seeded hash of its whole row; documents are counted by source, exact size and hash bucket.
 2. Targets: sources share the total by weight, but none gets more than `repeats` times its size; the excess goes to
    the others by weight until none is above. That is min(repeats * size, level * weight) for one level.
 3. Whole passes over a source come first. For the rest each size gets its proportional number of documents, rounded
    down, and bounded-knapsack dynamic programming over the sizes spends what is left.
-4. Documents of one size are taken in order of their hash, so reruns agree. Documents count by bucket, so a size
-   that holds a third of all rows is spread over many tasks; the number of buckets grows with the rows.
+4. Documents of one size are taken in order of their hash, so reruns agree, whatever their ids. Documents count by bucket, so a size
+   that holds a third of all rows is spread over many tasks; the number of buckets grows with the rows. Only counts of hashes are
+   ranked, so that any number of equal rows is one row there.
 
 Per source a task sees its size counts, which are at most as many as its different sizes, never documents.
 
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.llm.common import BLANKS, checkpointed, col, sealed
+from chunkweave.llm.simhash import row_key
 
 #: At least so many buckets, and more for more rows than so many in each.
 BUCKETS, PER_BUCKET = 256, 1 << 20
@@ -95,13 +97,14 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (1, 2, 3),
 
     with_rows: instead all columns of docs in a struct `row`, and times.
     """
-    base = docs.select(*([sealed(docs)] if with_rows else []), col(id_col).alias("doc_id"), col(source_col).alias("source"), size.cast("long").alias("size"))
+    rows = docs.select(*([sealed(docs)] if with_rows else []), col(id_col).alias("doc_id"), col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(row_key(docs), F.lit(seed)).alias("hash"))
     # Null sources get a key of their own, so that joins need no null-safe comparison.
-    base = base.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "hash": F.xxhash64("doc_id", F.lit(seed))})
-    base = base.withColumn("bucket", F.pmod("hash", F.lit(max(BUCKETS, docs.count() // PER_BUCKET))).cast("int"))
+    rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "bucket": F.pmod("hash", F.lit(max(BUCKETS, docs.count() // PER_BUCKET))).cast("int")})
     if not with_rows:
-        base = checkpointed(base)
-    hist = checkpointed(base.groupBy("source", "key", "size", "bucket").agg(F.count("*").alias("n")))
+        rows = checkpointed(rows)
+    place = ["key", "size", "bucket", "hash"]
+    equal = checkpointed(rows.groupBy("source", *place).agg(F.count("*").alias("n")))
+    hist = checkpointed(equal.groupBy("source", "key", "size", "bucket").agg(F.sum("n").alias("n")))
     by_size = hist.groupBy("source", "key", "size").agg(F.sum("n").alias("n"))
     wanted = checkpointed(targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, repeats))
     wanted = wanted.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
@@ -115,16 +118,25 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (1, 2, 3),
 
     chosen = by_size.where("size > 0").join(wanted, "key").select("key", "size", "n", "source_size", "target")
     chosen = chosen.groupBy("key").applyInPandas(choose, "key string, size long, passes int, more long")
-    # Buckets of one size are taken one after another; in the last one the rank by hash decides.
+    # Buckets of one size are taken one after another, and in each the hashes; all rows of a hash are taken alike, but for those of the last one.
     before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = hist.join(chosen, ["key", "size"]).withColumn("quota", F.col("more") - F.coalesce(F.sum("n").over(before), F.lit(0)))
-    quota = checkpointed(quota.select("key", "size", "bucket", "passes", "quota"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("hash", "doc_id"))
-    out = base.withColumn("rank", rank).join(quota, ["key", "size", "bucket"], "left")
-    times = F.coalesce(F.col("passes") + (F.col("rank") <= F.col("quota")).cast("int"), F.lit(0))
-    out = out.withColumn("times", times)
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size", "bucket").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = equal.drop("source").withColumn("earlier", earlier).join(quota.select("key", "size", "bucket", "passes", "quota"), ["key", "size", "bucket"])
+    taken = left.select(*place, "n", "passes", F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("earlier"))).alias("more"))
+    taken = checkpointed(taken.where("passes > 0 or more > 0"))
+    out = rows.join(taken.where("more = 0 or more = n").select(*place, (F.col("passes") + (F.col("more") > 0).cast("int")).alias("times")), place, "inner" if with_rows else "left")
+    some = taken.where("more > 0 and more < n")
+    if some.head(1):
+        # Equal rows of which some are taken once more: combined before the shuffle, for any of them will do.
+        kept = rows.columns
+        one = rows.join(some, place).groupBy(*place).agg(*[F.first(c).alias(c) for c in [*(c for c in kept if c not in place), "n", "passes", "more"]])
+        again = one.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+        again = again.select(*kept, (F.col("passes") + (F.col("i") <= F.col("more")).cast("int")).alias("times"))
+        out = (out if with_rows else out.join(some.select(*place), place, "left_anti").select(*kept, "times")).unionByName(again.select(*kept, "times"))
     if with_rows:
         return out.select("row", "times")
+    out = out.withColumn("times", F.coalesce("times", F.lit(0)))
     return out.join(wanted, "key").select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 

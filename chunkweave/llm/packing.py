@@ -1,7 +1,8 @@
 """Best-fit packing with certified partitions.
 
 1. Documents are encoded where they are read; one small row for each piece goes on (no ids unless asked for).
-2. Pieces are dealt by hash to partitions of about `per_partition` pieces, and each runs best-fit decreasing.
+2. Pieces are numbered and dealt by a hash of their numbers to partitions of about `per_partition` pieces, equal ones
+   too, and each runs best-fit decreasing.
 3. A partition is certified when its bins are as few as the largest of its lower bounds by dual-feasible
    functions. Partitions with a gap exchange their pieces: these are dealt anew among a quarter as many
    partitions, which run again; the new packing is taken if it uses fewer bins in all. With at most three
@@ -107,22 +108,23 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = PER_PARTI
     """Adds sequence_id, offset, part_bins and part_bound to pieces (which have doc_id, piece, start, length, ids_crc32)."""
     names = "doc_id piece start length ids_crc32".split()
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long, part long, part_bins long, part_bound long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, `offset` long, part long, part_bins long, part_bound long"
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy("i8")
         place, offset, bins = best_fit_decreasing(lengths, capacity)
         part = group["part"].to_numpy("i8")
-        return group[names].assign(sequence_id=(part << 32) + place, offset=offset, part=part, part_bins=bins, part_bound=lower_bound(lengths, capacity))
+        return group[[*names, "row"]].assign(sequence_id=(part << 32) + place, offset=offset, part=part, part_bins=bins, part_bound=lower_bound(lengths, capacity))
 
     def dealt(rows: DataFrame, n: int, turn: int) -> DataFrame:
         parts = max(1, math.ceil(n / (per_partition << 2 * turn)))
-        at = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed), F.lit(turn)), F.lit(parts)) + F.lit(turn << 24)
-        return checkpointed(rows.select(*names, at.alias("part")).groupBy("part").applyInPandas(fill, schema))
+        at = F.pmod(F.xxhash64("row", F.lit(seed), F.lit(turn)), F.lit(parts)) + F.lit(turn << 24)
+        return checkpointed(rows.select(*names, "row", at.alias("part")).groupBy("part").applyInPandas(fill, schema))
 
     def bins(rows: DataFrame) -> int:
         return rows.select("part", "part_bins").distinct().agg(F.sum("part_bins")).first()[0] or 0
 
+    pieces = checkpointed(pieces.select(*names, F.monotonically_increasing_id().alias("row")))  # numbers that stay, whichever task runs again
     packed = dealt(pieces, pieces.count(), 0)
     done: DataFrame | None = None
     for turn in range(1, rounds + 1):
@@ -136,9 +138,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = PER_PARTI
         certified = packed.where("part_bins <= part_bound")
         done = certified if done is None else done.unionByName(certified)
         packed = again
-    return (packed if done is None else done.unionByName(packed)).drop("part")
+    return (packed if done is None else done.unionByName(packed)).drop("part", "row")
 
 
 def packed_documents(docs: DataFrame, capacity: int = 4096, **options: object) -> DataFrame:
     """Encode, cut and pack whole documents. options: those of token_pieces but with_ids."""
-    return pack(checkpointed(token_pieces(docs, capacity, **options)), capacity)
+    return pack(token_pieces(docs, capacity, **options), capacity)

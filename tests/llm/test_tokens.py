@@ -7,6 +7,7 @@ import pytest
 from chunkweave.llm import length_histogram as lh
 from chunkweave.llm import packing
 from chunkweave.llm.tokens import default_vocabulary, word_ids
+from pyspark.sql import functions as F
 
 from .cases import documents, key, rows, texts
 
@@ -99,6 +100,14 @@ def test_exchange_between_partitions(spark):
     assert max(fill.values()) <= 100
 
 
+def test_equal_pieces_are_dealt_to_many_partitions(spark):
+    pieces = spark.range(60_000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "40L as length", "1L as ids_crc32")
+    for rounds, most in ((0, 1300), (3, 64_000)):
+        packed = packing.pack(pieces, 100, per_partition=1000, rounds=rounds).groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("part"))
+        sizes = [r["count"] for r in packed.count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) <= most, rounds
+
+
 def test_lower_bound_is_a_bound():
     r = np.random.default_rng(2)
     for _ in range(200):

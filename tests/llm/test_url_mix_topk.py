@@ -104,6 +104,19 @@ def test_mix_meets_its_targets(spark):
     assert budget_mix.mixed(documents(spark, []), budget_mix.n_words(F.col("text"))).count() == 0
 
 
+def test_reruns_of_a_mix_agree_without_ids(spark):
+    """Null and repeated ids, equal sizes, different texts, equal rows: the same texts as often, however the rows lie."""
+    given = [(None if i % 3 else 7, f"text number {i % 150}", "en", "a" if i % 4 else "b", 1, "", 1, "", 0.0) for i in range(400)]
+    given += [(5, "same row here", "en", "c", 1, "", 1, "", 0.0)] * 90
+    docs = documents(spark, given)
+    bags = [Counter(map(tuple, budget_mix.mix(docs.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert bags[0] == bags[1] == bags[2] and len({b for b in bags[0].values()}) > 1
+    taken = Counter(r.text for r in budget_mix.mix(docs, weights=(3, 2, 1), repeats=3).collect())
+    assert 0 < taken["same row here"] < 270 and taken["same row here"] % 90  # some of the equal rows once more than others
+    times = [r.times for r in budget_mix.mixed(docs, budget_mix.n_words(F.col("text")), (3, 2, 1)).where("doc_id = 5").collect()]
+    assert len(times) == 90 and sum(times) == taken["same row here"]
+
+
 def test_fit_is_exact_where_it_can_be():
     r = np.random.default_rng(0)
     for _ in range(300):
