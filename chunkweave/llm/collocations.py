@@ -6,7 +6,7 @@
 2. Each partition merges its summaries by Misra and Gries: more than mass / threshold counters, and whenever there are more,
    the first one beyond is taken off all. A frequent slot loses less than the threshold in all, so every one survives; partitions are many enough for the counters to fit.
 3. The second pass counts the phrases, as texts, whose slot survives; slots go to all tasks as a bit table of bounded size, in several blocks where they are many.
-   Sums over all tasks are exact, and false survivors fall to the threshold.
+   Packed counts meet in hash partitions of phrases, whose sums are exact; false survivors fall to the threshold.
 4. Scores, the part of longer phrases and ranks are joins and aggregations over frequent phrases alone.
 
 Every part of a frequent phrase is frequent, so the second pass has the counts of all parts as well.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -40,7 +41,7 @@ RUNS = re.compile(rb"[ \t]{2,}|\t")
 #: Bytes of text scanned at once, slots in a summary, occurrences in a hash partition, and different phrases that are held before they are sent.
 GROUP, FLUSH, MASS, HELD = 1 << 20, 1 << 22, 1 << 25, 1 << 19
 #: Bits of the table of survivors, and slots that it holds at most.
-TABLE, BLOCK = 1 << 27, 1 << 23
+TABLE, BLOCK = 1 << 28, 1 << 22
 KIND = np.zeros(256, "u1")
 KIND[list(BLANK)], KIND[list(CUTS)] = 1, 2
 U = np.uint64
@@ -233,20 +234,25 @@ def bit_table(slots: np.ndarray) -> np.ndarray:
     return table
 
 
+COUNTS = "bucket int, lang string, k int, phrases binary, n binary"
+
+
 def counted(batches: Iterator[pa.RecordBatch], buckets: int, table: object, totals: bool, most: int) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, k and f, summed within the task, of phrases whose slot is in the table; totals: also the number of all words, with k = 0."""
+    """Packed counts, by partition, lang and k, of the phrases whose slot is in the table; totals: also the number of all words, as an empty phrase with k = 0."""
     langs, known = Langs(), table.value
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     counts: dict[tuple[int, int], Counter] = {}
 
     def sent() -> pa.RecordBatch:
-        names, phrases, sizes, found = [], [], [], []
+        rows = []
         for (lang, k), own in counts.items():
-            names += [langs.names[lang]] * len(own)
-            phrases += own.keys()
-            sizes += [k] * len(own)
-            found += own.values()
-        columns = [pa.array(names, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(found, pa.int64())]
-        return pa.record_batch(columns, ["lang", "phrase", "k", "f"])
+            phrases, n = list(own), np.fromiter(own.values(), "<i8", len(own))
+            bucket = np.fromiter(map(zlib.crc32, phrases), "i8", len(phrases)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[at[0]]), langs.names[lang], k, squeeze(b"\n".join([phrases[i] for i in at.tolist()])), squeeze(n[at].tobytes())))
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lang", "k", "phrases", "n"])
 
     for batch in batches:
         for scan in scans(batch, langs):
@@ -267,6 +273,29 @@ def counted(batches: Iterator[pa.RecordBatch], buckets: int, table: object, tota
         yield sent()
 
 
+def summed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, k and f of the frequent phrases of a partition. Rows come by partition, lang and k; a phrase has one partition."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    group, held = None, Counter()
+
+    def closed() -> pa.RecordBatch:
+        _, lang, k = group
+        found = [(p, n) for p, n in held.items() if n >= threshold or not k]
+        phrases = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
+        return pa.record_batch([pa.array([lang] * len(found), pa.string()), phrases, pa.array([k] * len(found), pa.int32()), pa.array([n for _, n in found], pa.int64())], ["lang", "phrase", "k", "f"])
+
+    for batch in batches:
+        for *own, phrases, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if own != group:
+                if group is not None:
+                    yield closed()
+                group, held = own, Counter()
+            for phrase, more in zip(open_(phrases).split(b"\n"), np.frombuffer(open_(n), "<i8").tolist(), strict=True):
+                held[phrase] += more
+    if group is not None:
+        yield closed()
+
+
 def frequent_phrases(docs: DataFrame, threshold: int = 30, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, phrase, k (its number of words, 1 to MOST) and f (at least threshold); with k = 0 the number of all words of a lang."""
     rows = docs.select(F.coalesce(col(lang_col), F.lit("und")).alias("lang"), col(text_col).alias("text"))
@@ -281,10 +310,11 @@ def frequent_phrases(docs: DataFrame, threshold: int = 30, lang_col: str = "lang
     for block in range(blocks):
         own = slots.where(number == block).toArrow()["slot"].to_numpy()
         table = docs.sparkSession.sparkContext.broadcast(bit_table(own))
-        found.append(rows.mapInArrow(partial(counted, buckets=buckets, table=table, totals=block == 0, most=HELD), "lang string, phrase string, k int, f long"))
+        each = rows.mapInArrow(partial(counted, buckets=buckets, table=table, totals=block == 0, most=HELD), COUNTS)
+        each = each.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "lang", "k")
+        found.append(each.mapInArrow(partial(summed, threshold=threshold), "lang string, phrase string, k int, f long"))
     # A phrase can pass the tables of several blocks by chance: each block gives its whole count.
-    each = [x.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("k") == 0)) for x in found]
-    return checkpointed(each[0] if blocks == 1 else reduce(DataFrame.unionByName, each).distinct())
+    return checkpointed(found[0] if blocks == 1 else reduce(DataFrame.unionByName, found).distinct())
 
 
 def collocations(docs: DataFrame, threshold: int = 30, most: int = 2000, share: int = 80, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -308,9 +338,13 @@ def collocations(docs: DataFrame, threshold: int = 30, most: int = 2000, share:
     kept = checkpointed(least.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)))
     kept = kept.select("lang", "phrase", "a", "least.l", "least.r", "least.score")
     order = (F.desc("score"), F.desc("a"), "phrase")
-    # First within shares of a lang, so that no task ranks all phrases of one.
-    kept = kept.withColumn("some", F.pmod(F.xxhash64("phrase"), F.lit(max(1, kept.count() // (8 * most)))))
-    for group in (["lang", "some"], ["lang"]):
-        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    # Shares of a lang come first, eight times fewer from turn to turn, so that no task ranks more than some `most` phrases.
+    shares = max(1, math.ceil(kept.count() / (8 * most)))
+    while True:
+        share_of = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))).orderBy(*order)
+        kept = kept.withColumn("rank", F.row_number().over(share_of).cast("long")).where(F.col("rank") <= most)
+        if shares == 1:
+            break
+        shares = math.ceil(shares / 8)
     total = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     return kept.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -60,7 +60,7 @@ def test_collocations_are_those_of_brute_force(spark, seed):
 
 def test_small_summaries_and_partitions(spark, monkeypatch):
     """Many hash partitions, counters that have to be taken off, several blocks of survivors, and a table with false hits."""
-    for name, value in (("FLUSH", 700), ("MASS", 3000), ("HELD", 100), ("BLOCK", 200), ("TABLE", 1 << 12)):
+    for name, value in (("FLUSH", 700), ("MASS", 3000), ("HELD", 100), ("BLOCK", 200), ("TABLE", 1 << 13)):
         monkeypatch.setattr(collocations, name, value)
     rows = texts(3)
     assert found(spark, rows, 12, 40) == brute_force(rows, 12, 40)
