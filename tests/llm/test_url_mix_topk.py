@@ -134,24 +134,30 @@ def test_fit_is_exact_where_it_can_be():
         assert int((budget_mix.fit(sizes, counts, budget) * sizes).sum()) == budget
 
 
+def scaled(x):
+    """Python's whole numbers have no range: floor(64 x), held at that of a double."""
+    y = 64.0 * float(x)
+    return int(np.floor(y)) if np.isfinite(y) else int(np.copysign(np.finfo("f8").max, y))
+
+
 def top(vectors, k=20):
     """Every row is a candidate; rows that repeat a query's id share one ranking."""
-    whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v, *_ in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, [scaled(x) for x in v]) for i, v, *_ in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     scored = {}
     for i, v in whole:
         if i % 20 == 0:
-            scored.setdefault(i, []).extend((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i and len(w) == len(v))
+            scored.setdefault(i, []).extend((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in whole if j != i and len(w) == len(v))
     return sorted((i, n + 1, j, -s) for i, found in scored.items() for n, (s, j) in enumerate(sorted(found)[:k]))
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
     r = np.random.default_rng(4)
     given = [(int(i), (r.normal(size=6) * r.choice([0.1, 1, 3]) + (i % 5)).tolist(), 1) for i in r.permutation(700)]
-    given += [(1000 + i, [0.5] * 6, 1) for i in range(400)] + [(2000, [1.0, 2.0], 1), (2001, [3.0, 4.0], 1), (2020, [], 1), (2040, [1e11] * 6, 1)]
+    given += [(1000 + i, [0.5] * 6, 1) for i in range(400)] + [(2000, [1.0, 2.0], 1), (2001, [3.0, 4.0], 1), (2020, [], 1), (2040, [1e11] * 6, 1), (2100, [1e307] * 6, 1), (2101, [-1e308, 1.0, 0, 0, 0, 0], 1), (2120, [1e200, -1e200, 1, 1, 1, 1], 1)]
     given += [(None, [1.0] * 6, 1), (2002, None, 1), (2060, [1.0, None, 1, 1, 1, 1], 1), (2080, [float("nan")] * 6, 1), (2003, [float("inf")] * 6, 1), (20, [9.0] * 6, 1), (20, [9.0] * 6, 1)]
     given += [(1, [8.0] * 6, 1), (1, [7.5] * 6, 1), (3, [1.0, -1.0], 1), (40, [0.25] * 6, 1), (40, [0.25] * 6, 1)]
     given = [(i, v if v is None else [x if x is None else float(x) for x in v], n) for i, v, n in given]
-    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("TOGETHER", 3), ("TASKS", 4), ("LEAF", 8), ("FANOUT", 4)):
+    for name, value in (("BLOCK", 100), ("CHUNK", 20), ("SAMPLE", 200), ("TOGETHER", 3), ("TASKS", 4)):
         monkeypatch.setattr(cover_tree, name, value)
     rows = spark.createDataFrame(given, "vec_id long, embedding array<double>, score int").withColumn("v", F.lit(1)).withColumn("node", F.lit("x"))
     got = cover_tree.search(rows, F.col("vec_id") % 20 == 0).collect()
@@ -159,13 +165,49 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert cover_tree.search(rows.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_cover_tree_covers(spark):
-    x = np.random.default_rng(1).normal(size=(3000, 8))
-    todo = [cover_tree.cover_tree(x)]
-    assert sorted(todo[0].rows) == list(range(3000))
-    while todo:
-        node = todo.pop()
-        assert (np.linalg.norm(x[node.rows] - node.center, axis=1) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-        todo += node.children
+def clustered(seed=1, n=3000, d=8, clusters=25):
+    r = np.random.default_rng(seed)
+    return np.floor(64 * (r.normal(size=(clusters, d))[r.integers(0, clusters, n)] * 4 + 0.2 * r.normal(size=(n, d))))
+
+
+@pytest.mark.parametrize("x", [clustered(), np.random.default_rng(1).normal(size=(2000, 3)), np.zeros((50, 4)), np.full((40, 2), 1e200), np.arange(300.0).reshape(-1, 1)])
+def test_levels_cover_and_are_apart(x):
+    tree, order = cover_tree.cover_tree(x)
+    assert sorted(order) == list(range(len(x)))
+    again = cover_tree.Tree.unpacked(tree.packed())
+    assert all((getattr(again, f) == getattr(tree, f)).all() for f in ("levels", "center", "radius", "start", "stop", "first", "last", "scale"))
+    x = x[order]
+    before: set[int] = set()
+    for level, scale in enumerate(tree.scale):
+        nodes = range(tree.levels[level], tree.levels[level + 1])
+        centers = tree.center[list(nodes)]
+        assert before <= set(centers.tolist())  # nets are nested
+        before = set(centers.tolist())
+        apart = np.linalg.norm(x[centers][:, None] - x[centers][None], axis=2)[np.triu_indices(len(centers), 1)]
+        assert (apart > scale).all()  # separation
+        if np.isfinite(scale):
+            assert (np.linalg.norm(x[:, None] - x[centers][None], axis=2).min(axis=1) <= scale + 1e-9).all()  # covering
+        assert tree.start[nodes[0]] == 0 and tree.stop[nodes[-1]] == len(x)
+        for node in nodes:
+            rows = x[tree.start[node] : tree.stop[node]]
+            if np.isfinite(tree.radius[node]):
+                assert np.linalg.norm(rows - x[tree.center[node]], axis=1).max() <= tree.radius[node] + 1e-9
+            for child in range(tree.first[node], tree.last[node]):
+                assert tree.start[node] <= tree.start[child] < tree.stop[child] <= tree.stop[node]
+                assert np.linalg.norm(x[tree.center[child]] - x[tree.center[node]]) <= scale + 1e-9
+
+
+def test_search_prunes_where_there_are_clusters():
+    x = clustered()
+    tree, order = cover_tree.cover_tree(x)
+    x = x[order]
+    asked = np.sort(np.random.default_rng(2).choice(len(x), 200, replace=False))
+    above, turn = cover_tree.cover_tree(x[asked])
+    asked = asked[turn]
+    best = cover_tree.Best(20, np.full(200, -np.inf))
+    ids = np.arange(len(x))
+    scored = cover_tree.dual_search(best, above, x[asked], asked, tree, x, ids)
+    for q, scores, found in zip(asked, best.scores, best.ids, strict=True):
+        want = sorted((-s, i) for i, s in enumerate((x @ x[q]).tolist()) if i != q)[:20]
+        assert [(-s, i) for s, i in zip(scores, found, strict=True)] == want
+    assert scored < 0.35 * 200 * len(x)
