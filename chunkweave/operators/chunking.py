@@ -20,7 +20,9 @@ from chunkweave.functions.text import PY_WS
 #: From the strongest separator to the weakest: fixed values.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 CHUNK = "source string, index int, text string, line_start int, line_end int"
-BLANK = np.array([ord(c) for c in PY_WS], "<u4")
+#: Whether a code point is not blank; those beyond the table are not.
+SOLID = np.ones(max(map(ord, PY_WS)) + 2, bool)
+SOLID[[ord(c) for c in PY_WS]] = False
 
 
 def check_sizes(size: int, overlap: int) -> None:
@@ -28,20 +30,25 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError(f"overlap ({overlap}) must be under the chunk size ({size})")
 
 
+def places(found: np.ndarray, after: int = 0) -> memoryview:
+    """Where it is true, moved on by `after`: eight bytes each, which a search by halves reads one at a time."""
+    return memoryview(np.flatnonzero(found) + after)
+
+
 class Layout:
     """Where a text can be cut, where it is not blank, and where its lines end: listed once, so that overlapping windows look nothing up twice."""
 
     def __init__(self, text: str) -> None:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         self.length = len(codes)
-        self.solid = np.flatnonzero(~np.isin(codes, BLANK)).tolist()
-        self.lines = np.flatnonzero(codes == 10).tolist()
+        self.solid = places(SOLID[np.minimum(codes, len(SOLID) - 1)])
+        self.lines = places(codes == 10)
         self.cuts = []  # for each separator the places after it
         for separator in SEPARATORS:
             hit = np.ones(max(0, len(codes) - len(separator) + 1), bool)
             for i, c in enumerate(separator):
                 hit &= codes[i : i + len(hit)] == ord(c)
-            self.cuts.append((len(separator), (np.flatnonzero(hit) + len(separator)).tolist()))
+            self.cuts.append((len(separator), places(hit, len(separator))))
 
     def end(self, start: int, size: int) -> int:
         """The last cut of the strongest kind that lies in the second half of the window, or its end."""

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,22 +91,24 @@ def with_prompt(rows: DataFrame) -> DataFrame:
 
 
 def answers(rows: DataFrame, generator: Generator) -> DataFrame:
-    """Add text, status and error to rows with prompt, context and n_hits. Without hits the generator is not asked; a
-    failure marks its row and leaves the others alone."""
+    """question_id, question, text, sources, status and error for each of rows (with prompt, context, n_hits and sources). Without hits the generator is not
+    asked; a failure marks its row and leaves the others alone. Rows are answered where they are: equal or null ids play no part."""
+    slim = rows.select("question_id", "question", "sources", "n_hits", "context", "prompt")
 
-    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts, errors = [], []
-            for prompt, context, n in zip(part["prompt"], part["context"], part["n_hits"], strict=True):
+            for n, context, prompt in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 try:
                     texts.append((generator.generate([prompt], [context])[0] or "").strip() if n else NO_CONTEXT)
                     errors.append(None)
                 except Exception as error:  # any failure of a remote service
                     texts.append(None)
                     errors.append(str(error))
-            yield part.assign(text=texts, status=["ok" if e is None else "failed" for e in errors], error=errors)
+            status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(2), status, pa.array(errors, pa.string())]
+            yield pa.record_batch(columns, ["question_id", "question", "text", "sources", "status", "error"])
 
-    slim = rows.select("question_id", "question", "n_hits", "context", "prompt")
-    schema = T.StructType([*slim.schema.fields, T.StructField("text", T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
-    found = slim.mapInPandas(ask, schema)
-    return found.join(rows.select("question_id", "sources"), "question_id").select("question_id", "question", "text", "sources", "status", "error")
+    more = {name: T.StructField(name, T.StringType()) for name in ("text", "status", "error")}
+    known = {f.name: f for f in slim.schema.fields}
+    return slim.mapInArrow(ask, T.StructType([(more | known)[c] for c in ("question_id", "question", "text", "sources", "status", "error")]))

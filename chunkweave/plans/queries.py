@@ -48,6 +48,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", name.alias("source"), F.lit(0).alias("index"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("source", "index", "vector")
+
+
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "vector")
 
@@ -142,15 +146,15 @@ def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_batch_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10).select("question_id", "rank", "source", "score")
+    return search(named_vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10, sent_bytes=0).select("question_id", "rank", "source", "score")
 
 
 def search_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10, threshold=0.5).select("question_id", "rank", "source", "score")
+    return search(named_vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10, threshold=0.5, sent_bytes=0).select("question_id", "rank", "source", "score")
 
 
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(vectors(spark, sf_dir).where("label = 3"), asked_vectors(spark, sf_dir), 10).select("question_id", "rank", "source", "score")
+    return search(vectors(spark, sf_dir).where("label = 3").select("source", "index", "vector"), asked_vectors(spark, sf_dir), 10, sent_bytes=0).select("question_id", "rank", "source", "score")
 
 
 def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
