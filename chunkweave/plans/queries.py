@@ -7,7 +7,8 @@ The corpus is `documents` under names like `doc_00000007__src7.txt`; questions a
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,18 +162,37 @@ def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("question_id", "rank", "source", "index", "score")
 
 
+@contextmanager
+def own_store(spark: SparkSession) -> Iterator[collection.Collection]:
+    """A store for one query, of chunks without embeddings; removed at the end."""
+    store = collection.Collection(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 1)
+    try:
+        yield store
+    finally:
+        store.drop()
+
+
+def storable(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vector", F.array(F.lit(0.0)))
+
+
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents come in again twice, with a mark before each chunk: the last wins."""
-    old = chunks(spark, sf_dir)
-    again = chunk(corpus(spark, sf_dir).where("lang = 'en'"))
-    new = again.withColumns({"text": F.concat(F.lit("1 "), "text"), "seq": F.lit(1)}).unionByName(again.withColumns({"text": F.concat(F.lit("2 "), "text"), "seq": F.lit(2)}))
-    new = collection.last_of(collection.points(new), "seq").drop("seq")
-    return collection.merged(collection.points(old), new).select("id", "source", "index", "text")
+    """All chunks are stored; English documents come in again twice, with a mark before each chunk: the last wins."""
+    with own_store(spark) as store:
+        store.add(storable(chunks(spark, sf_dir)))
+        again = chunk(corpus(spark, sf_dir).where("lang = 'en'"))
+        twice = F.inline(F.array(*[F.struct(F.concat(F.lit(f"{n} "), "text").alias("text"), F.lit(n).alias("seq")) for n in (1, 2)]))
+        store.add(storable(again.select("source", "index", "line_start", "line_end", twice)), order="seq")
+        return store.rows().select("id", "source", "index", "text").checkpoint()
 
 
 def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks are stored, and those of the first source deleted."""
     name = corpus(spark, sf_dir).agg(F.min("source")).first()[0]
-    return collection.without_source(chunks(spark, sf_dir), name).select("source", "index")
+    with own_store(spark) as store:
+        store.add(storable(chunks(spark, sf_dir)))
+        store.delete_source(name)
+        return store.rows().select("source", "index").checkpoint()
 
 
 def reset_store(spark: SparkSession, sf_dir: str) -> DataFrame:

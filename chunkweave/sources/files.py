@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -58,14 +61,36 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """Write a new file beside and rename it, so that readers see all of it or none; an existing one is an error."""
+        """A new file, whole or not at all; an existing one is an error, of two that create it at once to the second.
+
+        Written beside and then given its name by the store's own step that fails if the name is taken: a hard link in a local file system, a rename
+        elsewhere. That holds for HDFS and its like; object stores whose rename overwrites need a file system that refuses to.
+        """
         new = self.under(f".{uuid.uuid4().hex}.new")
         stream = self.fs.create(new, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(name) or not self.fs.rename(new, self.under(name)):
+        try:
+            if self.fs.getScheme() == "file":
+                nio = self.jvm.java.nio.file
+                local = lambda path: nio.Paths.get(self.fs.makeQualified(path).toUri().getPath(), self._none())
+                try:
+                    nio.Files.createLink(local(self.under(name)), local(new))
+                except Py4JJavaError as error:
+                    if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                        raise FileExistsError(name) from None
+                    raise
+            elif self.exists(name) or not self.fs.rename(new, self.under(name)):
+                raise FileExistsError(name)
+        finally:
             self.fs.delete(new, False)
-            raise FileExistsError(name)
+
+    def _none(self) -> object:
+        return SparkContext._gateway.new_array(self.jvm.java.lang.String, 0)
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self.fs.getFileStatus(self.under(name)).getModificationTime() / 1000
 
     def children(self, name: str) -> list[str]:
         """Names in a folder; none if there is no such folder."""

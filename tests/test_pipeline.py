@@ -1,4 +1,6 @@
+import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from chunkweave.__main__ import main
@@ -10,6 +12,7 @@ from chunkweave.sources import text_files
 from chunkweave.sources.collection import Collection
 from chunkweave.sources.files import Files
 from chunkweave.streaming.ingest import ingest_stream
+from pyspark.sql import functions as F
 
 REPORT = "\n".join(f"{'  ' if i % 5 == 0 else ''}Ligne {i} du rapport : résultat {i * 7} % et suite du texte." + ("\n" if i % 6 == 5 else "") for i in range(40))
 
@@ -95,22 +98,65 @@ def files_of(root):
     return {str(p.relative_to(root)) for p in root.rglob("*.parquet")}
 
 
-def test_a_change_leaves_other_parts_alone(spark, tmp_path):
+def bytes_of(root):
+    return sum(p.stat().st_size for p in root.rglob("*.parquet"))
+
+
+def test_a_change_writes_in_proportion(spark, tmp_path, monkeypatch):
     store = Collection(spark, str(tmp_path / "c"), 1)
-    rows = lambda text, names: spark.createDataFrame([(n, i, text, 1, 1, [1.0]) for n in names for i in range(3)], ROW)
-    names = [f"n{i}" for i in range(40)]
+    rows = lambda text, names: spark.createDataFrame([(n, i, f"{text} {n} {i} " + hashlib.md5(f"{n}{i}{text}".encode()).hexdigest() * 20, 1, 1, [1.0]) for n in names for i in range(3)], ROW)
+    names = [f"n{i}" for i in range(400)]
     store.add(rows("old", names))
-    before, first = files_of(tmp_path / "c"), store.manifest()["parts"]
+    before, whole = files_of(tmp_path / "c"), bytes_of(tmp_path / "c")
     store.add(rows("new", ["n7"]))
-    changed = {p for p, run in store.manifest()["parts"].items() if first.get(p) != run}
-    assert len(changed) == 1 and before <= files_of(tmp_path / "c")
-    assert {(r.source, r.text) for r in store.rows().collect()} == {(n, "new" if n == "n7" else "old") for n in names}
+    assert before <= files_of(tmp_path / "c") and bytes_of(tmp_path / "c") - whole < whole / 10
+    assert {(r.source, r.text.split()[0]) for r in store.rows().collect()} == {(n, "new" if n == "n7" else "old") for n in names}
+    whole = bytes_of(tmp_path / "c")
     store.delete_source("n7")
+    assert 0 < bytes_of(tmp_path / "c") - whole < 10_000
+    version = store.version()
     store.delete_source("never seen")
-    assert store.count() == 117
-    for i in range(3):  # old files go, current ones stay
-        store.add(rows(f"turn {i}", names))
-    assert store.count() == 120 and len(list((tmp_path / "c/data").iterdir())) == 2 and len(list((tmp_path / "c/manifests").glob("*.json"))) == 2
+    assert store.version() == version and store.count() == 1197 == store.rows().count()
+    assert {r.source for r in store.sources().collect()} == set(names) - {"n7"}
+    store.add(rows("again", ["n7", "n8"]), replace_sources=True)
+    want = sorted((r.id, r.text) for r in store.rows().collect())
+    assert store.count() == 1200
+    store.compact()
+    assert len(store.manifest()["runs"]) == 1 and not store.manifest()["deletes"]
+    assert sorted((r.id, r.text) for r in store.rows().collect()) == want and store.count() == 1200
+    store.compact()  # nothing to do
+    monkeypatch.setattr("chunkweave.sources.collection.GRACE", 0.0)
+    for i in range(2):  # old files go, those of the last manifests stay
+        store.add(rows(f"turn {i}", ["n1"]))
+    kept = [store.manifest(n) for n in range(store.version() - 1, store.version() + 1)]
+    assert {p.name for p in (tmp_path / "c/data").iterdir()} == {r for m in kept for r in m["runs"]}
+    assert len(list((tmp_path / "c/manifests").glob("[0-9]*.json"))) == 2 and store.count() == 1200
+
+
+def test_pages_read_few_files(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "c"), 1)
+    rows = spark.createDataFrame([(f"n{i}", 0, "t", 1, 1, [1.0]) for i in range(2000)], ROW)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        store.add(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    store.delete_source("n5")
+    ids, after, pages = sorted(r.id for r in store.rows().collect()), "", []
+    while True:
+        page = store.page(after, 100)
+        found = [r.id for r in page.collect()]
+        if not found:
+            break
+        pages.append(found)
+        assert len(store.page_files(after, 100)) <= 3 and len(page.inputFiles()) <= 3
+        after = found[-1]
+    assert [i for p in pages for i in p] == ids and len(pages) == 20 and len(files_of(tmp_path / "c/data")) >= 12
+    store.add(rows.where("source = 'n9'").withColumn("text", F.lit("new")))
+    assert [r.id for r in store.page("", 5000).collect()] == ids
 
 
 @pytest.mark.parametrize("step", ["mkdirs", "create", "publish", "write", "expire"])
@@ -122,7 +168,7 @@ def test_a_change_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
         raise KeyboardInterrupt
 
     row = lambda text: spark.createDataFrame([("a", 0, text, 1, 1, [1.0])], ROW)
-    target, name = {"mkdirs": (Files, "under"), "create": (Files, "create"), "publish": (Collection, "_publish"), "write": (Collection, "_part"), "expire": (Collection, "_expire")}[step]
+    target, name = {"mkdirs": (Files, "under"), "create": (Files, "create"), "publish": (Collection, "_publish"), "write": (Collection, "_placed"), "expire": (Collection, "_expire")}[step]
     with monkeypatch.context() as broken:  # while it is created
         broken.setattr(target, name, dies)
         with pytest.raises(KeyboardInterrupt):
@@ -140,10 +186,42 @@ def test_a_change_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
     assert [r.text for r in Collection(spark, root, 1).rows().collect()] == ["newer"]
 
 
-def test_two_writers(spark, tmp_path):
-    store = Collection(spark, str(tmp_path / "c"), 1)
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A name is taken once. Of two changes at a time the second comes after the first, whether they meet in a source or not."""
+    root = str(tmp_path / "c")
+    store, other = Collection(spark, root, 1), Collection(spark, root, 1)
     with pytest.raises(FileExistsError):
         store._publish(store.version() - 1, store.manifest())
+    row = lambda name, text: spark.createDataFrame([(name, i, text, 1, 1, [1.0]) for i in range(2)], ROW)
+    store.add(row("a", "first"))
+    publish, turns = Collection._publish, []
+
+    def late(self, version, manifest):
+        """Before the change of one is published, the other's is."""
+        if self is store and not turns:
+            turns.append(1)
+            other.add(row("b", "other"))
+            other.add(row("a", "other"))
+        publish(self, version, manifest)
+
+    monkeypatch.setattr(Collection, "_publish", late)
+    store.add(row("a", "last"))
+    assert sorted((r.source, r["index"], r.text) for r in store.rows().collect()) == [("a", 0, "last"), ("a", 1, "last"), ("b", 0, "other"), ("b", 1, "other")]
+    turns.clear()
+    store.delete_source("a")
+    assert sorted({(r.source, r.text) for r in store.rows().collect()}) == [("b", "other")] and store.count() == 2
+    turns.clear()
+    store.compact()
+    assert store.count() == store.rows().count() == 4
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    root = str(tmp_path / "c")
+    Collection(spark, root, 1)
+    add = lambda n: Collection(spark, root, 1).add(spark.createDataFrame([(f"s{n}", 0, "t", 1, 1, [1.0])], ROW))
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(add, range(6))) == [1] * 6
+    assert {r.source for r in Collection(spark, root, 1).sources().collect()} == {f"s{n}" for n in range(6)}
 
 
 def test_of_equal_names_the_last_path_wins(spark, folder):
