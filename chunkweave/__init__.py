@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
 EXPORTS = {
     "Pipeline": "plans.pipeline", "Settings": "settings", "Collection": "sources.collection", "Embedder": "operators.embedding",
     "HashedWords": "operators.embedding", "Remote": "operators.embedding", "Generator": "operators.prompt", "Echo": "operators.prompt",
-    "Chat": "operators.prompt", "chunk": "operators.chunking", "search": "operators.search", "search_near": "operators.search",
+    "Chat": "operators.prompt", "chunk": "operators.chunking", "search": "operators.search", "VectorIndex": "sources.index",
 }
 __all__ = ["prepare", *EXPORTS]
 

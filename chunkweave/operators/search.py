@@ -211,27 +211,3 @@ def met(store: DataFrame, questions: DataFrame, k: int, threshold: float | None)
     kinds = {f.name: f for f in store.schema.fields}
     schema = T.StructType([questions.schema["question_id"], T.StructField("score", T.DoubleType()), *(T.StructField(c, kinds[c].dataType) for c in ("source", "index", "_row"))])
     return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(tile, schema)
-
-
-def near_candidates(store: DataFrame, questions: DataFrame, bucket_length: float = 0.5, tables: int = 8, radius: float = 1.0) -> DataFrame:
-    """Approximate search, if asked for: pairs within a Euclidean radius of unit vectors by random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame) -> DataFrame:
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-        ready = df.where(norm > 0).withColumn("unit", array_to_vector(F.transform("vector", lambda x: x / norm)))
-        return ready.drop("vector")
-
-    left, right = prepared(questions), prepared(store)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1).fit(right)
-    return model.approxSimilarityJoin(left, right, radius, "distance").select(
-        F.col("datasetA.question_id"), "datasetB.source", "datasetB.index", (1 - F.col("distance") ** 2 / 2).alias("score")
-    )
-
-
-def search_near(store: DataFrame, questions: DataFrame, top_k: int = DEFAULT_TOP_K, **options: float) -> DataFrame:
-    """Approximate top-k: the k best of near_candidates, ranked as by search. Pairs beyond the radius, or that share no bucket, are missed."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "index")
-    found = near_candidates(store, questions, **options).withColumn("score", F.round("score", 6))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("question_id", "rank", "score", "source", "index")

@@ -21,6 +21,7 @@ from chunkweave.operators.search import search
 from chunkweave.plans.pipeline import report
 from chunkweave.sources import collection, text_files
 from chunkweave.sources.files import shared_folder
+from chunkweave.sources.index import VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Least score of a hit for no_context_answer: some questions have no chunk this near.
@@ -163,9 +164,9 @@ def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextmanager
-def own_store(spark: SparkSession) -> Iterator[collection.Collection]:
-    """A store for one query, of chunks without embeddings; removed at the end."""
-    store = collection.Collection(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 1)
+def own_store(spark: SparkSession, dimension: int = 1) -> Iterator[collection.Collection]:
+    """A store for one query; removed at the end."""
+    store = collection.Collection(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", dimension)
     try:
         yield store
     finally:
@@ -195,6 +196,21 @@ def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         return store.rows().select("source", "index").checkpoint()
 
 
+def search_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors are stored and indexed, and every twentieth asks for its best 20: how many of the exact ones the index finds."""
+    rows, asked = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
+    dimension = rows.agg(F.coalesce(F.max(F.size("vector")), F.lit(1))).first()[0]
+    with own_store(spark, dimension) as store:
+        store.add(rows.select("source", "index", "vector", F.lit("").alias("text"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end")))
+        kept = VectorIndex(store)
+        kept.build()
+        kept.tuned(20)
+        near = kept.search(asked, 20).select("question_id", "source", F.lit(1).alias("found"))
+        exact = search(named_vectors(spark, sf_dir), asked, 20, sent_bytes=0).select("question_id", "source")
+        both = exact.join(near, ["question_id", "source"], "left").groupBy("question_id").agg(F.count("*").alias("n_exact"), F.count("found").alias("n_found"))
+        return both.withColumn("recall", F.round(F.col("n_found") / F.col("n_exact"), 6)).checkpoint()
+
+
 def reset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks go into a store of their own, which is then emptied; counted before and after."""
     store = collection.Collection(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", HashedWords().dimension)
@@ -295,7 +311,7 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     load_stats, suffix_filter, doc_id_from_source, chunk_1000_150, chunk_300_50, chunk_reference, point_id, payload_projection,
     payload_defaults, ingest_report, list_sources, collection_count, hashed_embedding, embedding_vectors, search_top_k, search_batch_top_k,
-    search_threshold, search_filtered, rag_retrieve, upsert_merge, delete_source, reset_store, resume_anti_join, bench_resume_limit,
+    search_threshold, search_filtered, rag_retrieve, search_approximate, upsert_merge, delete_source, reset_store, resume_anti_join, bench_resume_limit,
     doc_candidates, gold_documents, doc_recall, extra_docs, category_report, context_block, user_prompt, fake_answer,
     no_context_answer, excerpt_200, normalize_ws, source_distribution, corpus_sample, batch_totals,
 )
