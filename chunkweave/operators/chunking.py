@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from chunkweave.functions.text import PY_WS
 
@@ -127,3 +128,17 @@ def chunk(documents: DataFrame, size: int = 1000, overlap: int = 150, keep: tupl
 
     rows = documents.select("source", "text", *keep)
     return rows.mapInArrow(chunks, T.StructType([*T.StructType.fromDDL(CHUNK).fields, *rows.schema.fields[2:]]))
+
+
+class ChunkText:
+    """Table function: index, text, line_start and line_end of the chunks of a text, for SQL with LATERAL."""
+
+    def eval(self, text: str | None, size: int = 1000, overlap: int = 150) -> Iterator[tuple[int, str, int, int]]:
+        check_sizes(size, overlap)
+        for index, piece in enumerate(cut(text, size, overlap) if text else ()):
+            yield index, *piece
+
+
+def register(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Make chunk_text(text, size, overlap) known to SQL; rows travel as Arrow batches."""
+    spark.udtf.register(name, udtf(ChunkText, returnType="index int, text string, line_start int, line_end int", useArrow=True))

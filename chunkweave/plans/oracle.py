@@ -90,6 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "suffix_filter": f"WITH {CORPUS}, names AS (SELECT CASE lang WHEN 'en' THEN upper(source) WHEN 'de' THEN source || '.bak' ELSE source END AS source FROM corpus) SELECT source FROM names WHERE lower(source) LIKE '%.txt'",
         "doc_id_from_source": f"WITH {CORPUS} SELECT source, split_part(source, '__', 1) AS document_id FROM corpus",
         "chunk_1000_150": f"{CHUNKS} SELECT {shown} FROM chunks",
+        "chunk_lateral": f"{CHUNKS} SELECT {shown} FROM chunks",
         "chunk_300_50": f"{WITH}, {steps('chunks', 300, 50)} SELECT {shown} FROM chunks",
         "chunk_reference": f"{CHUNKS} SELECT source, index, {REFERENCE.format(s='s')} AS reference FROM (SELECT *, CASE WHEN index % 5 = 4 THEN 0 ELSE line_start END AS s FROM chunks)",
         "point_id": f"{CHUNKS} SELECT {POINT} AS id, source, index FROM chunks",

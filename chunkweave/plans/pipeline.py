@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +75,12 @@ class Pipeline:
             names.count()  # before the store changes
         return report(names, self.ingest_documents(found.where("status = 'ok'"))).orderBy("source")
 
-    def hits(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
+    def hits(self, questions: DataFrame, top_k: int | None = None, sources: list[str] | None = None) -> DataFrame:
+        """The best chunks for each question. sources: only chunks of these, read from the files that hold them."""
         asked = self._embed(questions.select("question_id", X.strip(F.col("question")).alias("text")))
         asked = asked.where("status = 'ok' and text <> ''").select("question_id", "vector")
-        return search(self.store.rows().drop("id"), asked, top_k, self.settings.threshold, self.settings.top_k)
+        rows = self.store.rows() if sources is None else self.store.rows_from(sources)
+        return search(rows.drop("id"), asked, top_k, self.settings.threshold, self.settings.top_k)
 
     def ask_many(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """question_id, question, text, sources, status, error. Blank questions have status 'empty'."""
@@ -97,9 +101,11 @@ class Pipeline:
         finally:
             self.release()
 
-    def bench(self, questions_path: str, output: str, top_k: int = 20, max_docs: int = 10, limit: int | None = None, resume: bool = False, english: bool = True) -> int:
-        """Answer all questions of a file in one job and append question_id, answer and document_ids; returns how many.
+    def bench(self, questions_path: str, output: str, top_k: int = 20, max_docs: int = 10, limit: int | None = None, resume: bool = False, english: bool = True, batch: int = 1000) -> int:
+        """Answer the questions of a file and add question_id, answer and document_ids to a folder; returns how many.
 
+        Questions are answered in batches of about `batch`, one search each. A batch's answers appear in one step, so a run that dies loses no more than
+        one batch, and `resume` goes on with the questions that have no answer: none is written twice, not even by two runs at once.
         english: with English instructions, if the generator has such, else with its own.
         """
         generator = self.generator.in_english() if english and hasattr(self.generator, "in_english") else self.generator
@@ -108,16 +114,32 @@ class Pipeline:
             asked = text_files.pending(asked, text_files.answered(self.spark, output), limit)
         elif limit is not None:
             asked = asked.orderBy("question_id").limit(limit)
-        asked = self._once(asked)
+        asked, done = asked.persist(), 0
+        try:
+            batches = max(1, math.ceil(asked.count() / batch))
+            for number in range(batches):
+                some = asked.where(F.pmod(F.xxhash64("question_id", "question"), F.lit(batches)) == number)
+                try:
+                    done += self._answered(some, output, generator, top_k, max_docs, resume)
+                finally:
+                    self.release()
+            return done
+        finally:
+            asked.unpersist()
+
+    def _answered(self, asked: DataFrame, output: str, generator: prompt.Generator, top_k: int, max_docs: int, once: bool) -> int:
+        """Answer one batch and commit it; once: leave out what another run answered meanwhile."""
         hits = self._once(self.hits(asked, top_k))
         rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), generator).where("status = 'ok'")
         out = self._once(rows.select("question_id", F.col("text").alias("answer")).join(candidates(asked, hits, max_docs), "question_id"))
-        try:
-            n = out.count()  # before the write, which refreshes what was read from the same folder
-            text_files.append_answers(out, output)
-            return n
-        finally:
-            self.release()
+        while n := out.count():
+            try:
+                text_files.commit_answers(out, output)
+                return n
+            except FileExistsError:
+                if once:
+                    out = self._once(text_files.pending(out, text_files.answered(self.spark, output)))
+        return 0
 
     def status(self) -> tuple[int, list[str]]:
         return self.store.count(), [r.source for r in self.store.sources().collect()]

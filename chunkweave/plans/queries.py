@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions import text as X
 from chunkweave.operators import evaluate, prompt
-from chunkweave.operators.chunking import chunk
+from chunkweave.operators.chunking import chunk, register
 from chunkweave.operators.embedding import HashedWords, embed, hashed_counts
 from chunkweave.operators.search import search
 from chunkweave.plans.pipeline import report
@@ -100,6 +100,13 @@ def chunk_300_50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(corpus(spark, sf_dir), 300, 50)
 
 
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents by SQL, with the table function."""
+    register(spark)
+    rows = "SELECT source, c.* FROM {documents}, LATERAL chunk_text(text, 1000, 150) AS c(index, text, line_start, line_end)"
+    return spark.sql(rows, documents=corpus(spark, sf_dir))
+
+
 def chunk_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     start = F.when(F.col("index") % 5 == 4, 0).otherwise(F.col("line_start"))
@@ -309,7 +316,7 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    load_stats, suffix_filter, doc_id_from_source, chunk_1000_150, chunk_300_50, chunk_reference, point_id, payload_projection,
+    load_stats, suffix_filter, doc_id_from_source, chunk_1000_150, chunk_300_50, chunk_lateral, chunk_reference, point_id, payload_projection,
     payload_defaults, ingest_report, list_sources, collection_count, hashed_embedding, embedding_vectors, search_top_k, search_batch_top_k,
     search_threshold, search_filtered, rag_retrieve, search_approximate, upsert_merge, delete_source, reset_store, resume_anti_join, bench_resume_limit,
     doc_candidates, gold_documents, doc_recall, extra_docs, category_report, context_block, user_prompt, fake_answer,

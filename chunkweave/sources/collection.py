@@ -168,6 +168,17 @@ class Collection:
         manifest = manifest or self.manifest()
         return self._live(self._placed(manifest["runs"]), manifest).select(*NAMES)
 
+    def rows_from(self, sources: list[str]) -> DataFrame:
+        """The rows of some sources. The index by source names their files; no other one is read."""
+        manifest = self.manifest()
+        wanted = F.col("source").isin(sources)
+        held = self._live(self._table("places", manifest["runs"], PLACES).where(wanted), manifest)
+        files = {r.file for r in held.select("file").distinct().collect()}  # names of files, of a stated list of sources
+        return self._live(self._placed([], self._paths(files, manifest)), manifest).select(*NAMES).where(wanted)
+
+    def _paths(self, names: set[str], manifest: dict) -> list[str]:
+        return [f"{self.root}/data/{run}/{name}" for run in manifest["runs"] for name in self.files.children(f"data/{run}") if name in names] if names else []
+
     def add(self, chunks: DataFrame, order: str | None = None, replace_sources: bool = False) -> int:
         """Insert or replace chunks with vectors; returns how many rows were given ids.
 
@@ -250,7 +261,7 @@ class Collection:
             if reached >= size:
                 break
         names = {r.file for r in files.where(F.col("id_min") <= (end or "")).select("file").collect()}
-        return [f"{self.root}/data/{run}/{name}" for run in manifest["runs"] for name in self.files.children(f"data/{run}") if name in names] if names else []
+        return self._paths(names, manifest)
 
     def page(self, after: str = "", size: int = 256) -> DataFrame:
         """The next rows by id, for listings, from the few files that hold them."""

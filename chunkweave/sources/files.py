@@ -71,20 +71,28 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
         try:
-            if self.fs.getScheme() == "file":
-                nio = self.jvm.java.nio.file
-                local = lambda path: nio.Paths.get(self.fs.makeQualified(path).toUri().getPath(), self._none())
-                try:
-                    nio.Files.createLink(local(self.under(name)), local(new))
-                except Py4JJavaError as error:
-                    if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-                        raise FileExistsError(name) from None
-                    raise
-            elif self.exists(name) or not self.fs.rename(new, self.under(name)):
-                raise FileExistsError(name)
+            self._named(new, name)
         finally:
             self.fs.delete(new, False)
 
+    def move(self, old: str, name: str) -> None:
+        """Give a file that lies under this folder another name, with the same promise as `create`."""
+        self._named(self.under(old), name)
+        self.fs.delete(self.under(old), False)
+
+    def _named(self, new: object, name: str) -> None:
+        if self.fs.getScheme() == "file":
+            nio = self.jvm.java.nio.file
+            local = lambda path: nio.Paths.get(self.fs.makeQualified(path).toUri().getPath(), self._none())
+            try:
+                nio.Files.createLink(local(self.under(name)), local(new))
+            except Py4JJavaError as error:
+                if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                    raise FileExistsError(name) from None
+                raise
+        elif self.exists(name) or not self.fs.rename(new, self.under(name)):
+            raise FileExistsError(name)
+
     def _none(self) -> object:
         return SparkContext._gateway.new_array(self.jvm.java.lang.String, 0)
 

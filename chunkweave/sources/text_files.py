@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,8 +98,19 @@ def pending(asked: DataFrame, done: DataFrame, limit: int | None = None, order:
     return rest if limit is None else rest.orderBy(order).limit(limit)
 
 
-def append_answers(answers: DataFrame, path: str) -> None:
-    answers.write.mode("append").option("ignoreNullFields", "false").json(path)
+def commit_answers(answers: DataFrame, path: str) -> None:
+    """One more file of answers in a folder, with the next free number: all of them or none, and FileExistsError if another writer took it meanwhile.
+
+    The numbered files are the log of what is done: a batch that died before its file had a name left only a hidden folder.
+    """
+    files, work = Files(answers.sparkSession, path), f"_work-{uuid.uuid4().hex}"
+    number = 1 + max([int(n[8:-5]) for n in files.children(".") if n.startswith("answers-")], default=0)
+    try:
+        answers.coalesce(1).write.option("ignoreNullFields", "false").json(f"{path}/{work}")
+        for part in [n for n in files.children(work) if n.startswith("part-")]:
+            files.move(f"{work}/{part}", f"answers-{number:06d}.json")
+    finally:
+        files.remove(work)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

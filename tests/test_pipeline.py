@@ -302,7 +302,7 @@ def test_a_question_costs_one_call(spark, folder, monkeypatch):
     (folder / "q.jsonl").write_text('{"question_id": "q", "question": "rapport"}')
     for english, text in ((True, "in English"), (False, "[FAUSSE RÉPONSE]")):
         pipeline.bench(str(folder / "q.jsonl"), str(folder / f"out{english}"), english=english)
-        assert [json.loads(x)["answer"][:10] for p in (folder / f"out{english}").glob("part*") for x in p.read_text().splitlines()] == [text[:10]]
+        assert [json.loads(x)["answer"][:10] for p in (folder / f"out{english}").glob("answers-*.json") for x in p.read_text().splitlines()] == [text[:10]]
 
 
 def test_exports():
@@ -323,7 +323,7 @@ def test_bench_and_resume(spark, folder):
     (folder / "out/part-broken.json").write_text('{"question_id": "q2", "answer": \n\n{"answer": "no id"}\n')
     assert pipeline.bench(str(folder / "q.jsonl"), out, limit=2, resume=True) == 2
     assert pipeline.bench(str(folder / "q.jsonl"), out, resume=True) == 1
-    rows = [json.loads(x) for p in (folder / "out").glob("part-0*.json") for x in p.read_text().splitlines()]
+    rows = [json.loads(x) for p in (folder / "out").glob("answers-*.json") for x in p.read_text().splitlines()]
     assert sorted(r["question_id"] for r in rows) == ["q0", "q1", "q2", "q3", "q4"]
     assert all(set(r) == {"question_id", "answer", "document_ids"} and 1 <= len(r["document_ids"]) <= 10 for r in rows)
     assert text_files.answered(spark, str(folder / "missing")).count() == 0
@@ -332,6 +332,73 @@ def test_bench_and_resume(spark, folder):
         text_files.questions(spark, str(folder / "bad.jsonl")).collect()
 
 
+def answers_in(out):
+    return [json.loads(x)["question_id"] for p in out.glob("answers-*.json") for x in p.read_text().splitlines()]
+
+
+def test_a_bench_that_dies_goes_on(spark, folder, monkeypatch):
+    """After some batches the run dies, before or after a commit; the next one writes the rest, and nothing twice."""
+    pipeline = small(spark, folder)
+    pipeline.ingest_file(str(folder / "in/report.txt"))
+    (folder / "q.jsonl").write_text("\n".join(json.dumps({"question_id": f"q{i:02d}", "question": f"résultat {i}"}) for i in range(24)))
+    commit, turns, out = text_files.commit_answers, [], folder / "out"
+
+    def dies(answers, path):
+        turns.append(1)
+        if len(turns) == 3:
+            raise KeyboardInterrupt
+        commit(answers, path)
+        if len(turns) == 5:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(text_files, "commit_answers", dies)
+    held = []
+    for _ in range(2):
+        with pytest.raises(KeyboardInterrupt):
+            pipeline.bench(str(folder / "q.jsonl"), str(out), resume=True, batch=6)
+        held.append(len(answers_in(out)))
+        assert len(set(answers_in(out))) == held[-1] and not list(out.glob("_work*/*.json"))
+    assert 0 < held[0] < held[1] < 24
+    assert pipeline.bench(str(folder / "q.jsonl"), str(out), resume=True, batch=6) == 24 - held[1]
+    assert sorted(answers_in(out)) == [f"q{i:02d}" for i in range(24)]
+    assert pipeline.bench(str(folder / "q.jsonl"), str(out), resume=True, batch=6) == 0
+
+
+def test_two_benches_at_once_write_no_answer_twice(spark, folder, monkeypatch):
+    pipeline = small(spark, folder)
+    pipeline.ingest_file(str(folder / "in/report.txt"))
+    (folder / "q.jsonl").write_text("\n".join(json.dumps({"question_id": f"q{i}", "question": f"résultat {i}"}) for i in range(6)))
+    named, other = Files._named, []
+
+    def late(self, new, name):
+        if name.startswith("answers-") and not other:
+            other.append(1)
+            assert small(spark, folder).bench(str(folder / "q.jsonl"), str(folder / "out"), limit=4, resume=True) == 4
+        named(self, new, name)
+
+    monkeypatch.setattr(Files, "_named", late)
+    assert pipeline.bench(str(folder / "q.jsonl"), str(folder / "out"), resume=True) == 2
+    assert sorted(answers_in(folder / "out")) == [f"q{i}" for i in range(6)]
+
+
+def test_search_in_some_sources_reads_their_files(spark, folder):
+    pipeline = small(spark, folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pipeline.ingest_directory(str(folder / "in"), recursive=True).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        pipeline.release()
+    asked = spark.createDataFrame([("1", "résultat du rapport"), ("2", "deep text")], "question_id string, question string")
+    some = pipeline.store.rows_from(["deep.txt", "no such"])
+    assert {r.source for r in some.collect()} == {"deep.txt"} and len(some.inputFiles()) == 1 < len(pipeline.store.rows().inputFiles())
+    got = {(h.question_id, h.source, h["index"], h.score) for h in pipeline.hits(asked, 3, ["deep.txt"]).collect()}
+    whole = {(h.question_id, h.source, h["index"], h.score) for h in pipeline.hits(asked, 100).collect()}
+    assert got == {h for h in whole if h[1] == "deep.txt"}
+    assert pipeline.hits(asked, 3, ["no such"]).count() == 0
+    pipeline.release()
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"corpus": "c", "graine": 0, "attendus": ["a"], "repartition": {"x": 1}}, indent=1))
     assert text_files.manifest(spark, str(tmp_path / "m.json")).first().attendus == ["a"]
