@@ -8,17 +8,21 @@ from chunkweave.llm.url_filter import RULES, TRACKING
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
-def url_filter(marks: tuple[str, ...]) -> str:
+def url_filter() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     rule = " ".join(f"WHEN {fits(r)} THEN '{r[1]}{r[2]}'" for r in rules)
     says = " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in rules)
-    bad = " OR ".join(f"contains(lower(html), '{m}')" for m in marks)
+    words = lambda t: f"regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')"
     kept = f"list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^[^?]*\\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^({'|'.join(TRACKING)})(=|$)')))"
-    return f"""WITH p AS (SELECT *, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    return f"""WITH known AS (SELECT doc_id, max(toxic) AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT bad, unnest(list_distinct({words("text")})) AS w FROM documents JOIN known USING (doc_id)),
+counts AS (SELECT w, count(*) FILTER (WHERE bad = 1) AS t, count(*) FILTER (WHERE bad = 0) AS n FROM seen WHERE w <> '' GROUP BY w),
+marks AS (SELECT coalesce(list(w), []) AS marks FROM counts WHERE t > 0 AND t >= 19 * n AND 8 * t >= (SELECT count(*) FROM documents JOIN known USING (doc_id) WHERE bad = 1)),
+p AS (SELECT *, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, {kept} AS kept FROM pages),
 c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key FROM p),
-l AS (SELECT DISTINCT key FROM c WHERE ({bad}) AND key IS NOT NULL),
+l AS (SELECT DISTINCT key FROM c, marks WHERE list_has_any({words("html")}, marks) AND key IS NOT NULL),
 j AS (SELECT c.*, l.key IS NOT NULL AS listed FROM c LEFT JOIN l USING (key))
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {says} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM j"""
 
@@ -108,7 +112,7 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_url_filter": url_filter(("idiot", "moron")),
+        "op2_url_filter": url_filter(),
         "op8_cover_tree_topk": TOP_K,
         "op9_license_scan": license_scan(),
         "op10_substring_dedup": SUBSTRING,

@@ -19,8 +19,9 @@ def op1_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages")
-    return url_filter.judged(pages, url_filter.listed_urls(pages, ("idiot", "moron"))).drop("bloom_hit")
+    marks = url_filter.learned_marks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    rows = url_filter.addresses(read(spark, sf_dir, "pages"), marks)
+    return url_filter.judged(rows, url_filter.listed_urls(rows)).drop("bloom_hit")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

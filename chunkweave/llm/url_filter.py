@@ -1,5 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
+What is listed is learnt. Labelled documents say which words mark bad texts: those that many bad documents hold and hardly a good one, by exact counts
+over all labelled ones. A page that holds such a word lists its canonical URL, and so all crawls of that page are judged by it. Pages are read once, for
+small rows of addresses.
+
 The filter has blocks of eight 32-bit words; a URL sets one bit in each word of one block, so one lookup of one
 small row answers. Its bits grow with the list (about 16 for each URL). While it takes less than
 `broadcast_bytes` it is sent to every task; beyond that the lookup is a join on the block number. URLs that have no canonical form
@@ -86,22 +90,53 @@ def possible(rows: DataFrame, bloom: DataFrame, blocks: int, key_col: str = "key
     return joined.withColumn("bloom_hit", F.coalesce(words & F.col(key_col).isNotNull(), F.lit(False))).drop("block", *[f"w{i}" for i in range(LANES)])
 
 
-def listed_urls(pages: DataFrame, marks: tuple[str, ...], url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Canonical URLs (column key, each once) of pages with one of the marks in their text: a list learnt from any crawl of a page."""
-    low = F.lower(col(html_col))
-    bad = reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
-    return pages.where(bad).select(canonical(col(url_col)).alias("key")).where("key is not null").distinct()
+def plain_words(text: Column) -> Column:
+    """Runs of the letters a to z, A-Z lower-cased. The ends of the array may be empty."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z]+")
+
+
+def learned_marks(docs: DataFrame, labels: DataFrame, share: int = 8, odds: int = 19, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[str]:
+    """Words in at least one of `share` bad documents (label 1), and in at least `odds` times as many bad ones as good ones (label 0), in order.
+
+    At most `share` times the mean number of different words of a bad document can be in so many of them, so few words come to the driver. Documents of one id share
+    its label, the larger of several; null ids and labels teach nothing.
+    """
+    known = labels.select(col(id_col).alias("id"), col(label_col).alias("bad")).where("id is not null and bad is not null")
+    known = checkpointed(known.groupBy("id").agg(F.max("bad").alias("bad")))
+    rows = docs.select(col(id_col).alias("id"), plain_words(col(text_col)).alias("words"))
+    ids = known.where("bad = 1").select("id")
+    ids = F.broadcast(ids) if ids.count() * ROW_BYTES <= 64 << 20 else ids
+    total = rows.select("id").join(ids, "id").count()
+    bad = rows.join(ids, "id").select(F.explode(F.array_distinct("words")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("bad"))
+    counts = {r.word: r.bad for r in bad.where(F.col("bad") * share >= total).collect()}
+    if not counts:
+        return []
+    some = rows.select("id", F.array_intersect("words", F.array(*map(F.lit, counts))).alias("found")).where("size(found) > 0")
+    good = some.join(known.where("bad = 0"), "id").select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    held = {r.word: r.n for r in good.collect()}
+    return sorted(w for w, n in counts.items() if n >= odds * held.get(w, 0))
+
+
+def addresses(pages: DataFrame, marks: list[str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, host, path, key (the canonical URL) and marked (whether the page holds one of the marks as a word), from one scan of pages."""
+    url, text = col(url_col), F.translate(col(html_col), UPPER, LOWER)
+    marked = F.coalesce(text.rlike(f"(^|[^a-z])({'|'.join(marks)})([^a-z]|$)"), F.lit(False)) if marks else F.lit(False)
+    return checkpointed(pages.select(col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"), marked.alias("marked")))
+
+
+def listed_urls(rows: DataFrame) -> DataFrame:
+    """Canonical URLs (column key, each once) of marked addresses: a list learnt from any crawl of a page."""
+    return rows.where("marked and key is not null").select("key").distinct()
 
 
-def judged(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict, bloom_hit and listed for each row. listed: column key, each URL once.
+def judged(rows: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """page_id, host, path, rule, verdict, bloom_hit and listed for each of the addresses. listed: column key, each URL once.
 
     The verdict is the longest fitting rule's; without one, block for listed URLs and allow for others.
     """
     listed = checkpointed(listed)
     bloom, blocks = bloom_filter(listed, listed.count())
-    url = col(url_col)
-    rows = pages.select(col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
+    rows = rows.select("page_id", "host", "path", "key")
     none = rows.where("key is null").withColumn("bloom_hit", F.lit(False))
     rows = possible(rows.where("key is not null"), bloom, blocks, broadcast_bytes=broadcast_bytes)
     hits = rows.where("bloom_hit").join(listed.withColumn("listed", F.lit(True)), "key", "left")

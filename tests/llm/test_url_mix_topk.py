@@ -33,7 +33,7 @@ def test_urls_match_brute_force(spark, most):
     given = [(i, u, "html") for i, u in enumerate(URLS)] + [(None, URLS[0], None), (3, URLS[3], "x"), (3, URLS[3], "x")]
     pages = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("listed", F.lit(5)).withColumn("key", F.lit("k"))
     listed = spark.createDataFrame([("x.net/p?a=1&b=2",), ("x.net/p",), ("none.example/z",)], "key string")
-    got = url_filter.judged(pages, listed, broadcast_bytes=most).collect()
+    got = url_filter.judged(url_filter.addresses(pages, []), listed, broadcast_bytes=most).collect()
     bad = {URLS[15], URLS[16], URLS[17]}
     assert sorted((tuple(r[:5]) for r in got), key=key) == sorted(((i, *judge(u, u in bad)) for i, u, _ in given), key=key)
     assert all(r.bloom_hit for r in got if r.listed)
@@ -49,11 +49,20 @@ def test_bloom_filter_has_no_misses_and_few_false_hits(spark):
 
 
 def test_listed_urls(spark):
-    pages = spark.createDataFrame([(1, "http://a.net/x", "an IDIOT"), (2, "http://www.a.net/x/", "idiot"), (3, "http://b.net", "fine"), (4, None, "idiot"), (5, "http://c.net", None)], "page_id long, url string, html string")
-    assert [r.key for r in url_filter.listed_urls(pages, ("idiot",)).collect()] == ["a.net/x"]
-    none = pages.where("false")
-    assert url_filter.judged(none, url_filter.listed_urls(none, ("idiot",))).count() == 0
-    assert url_filter.judged(pages, url_filter.listed_urls(none, ("idiot",))).where("verdict = 'allow'").count() == 5
+    pages = spark.createDataFrame([(1, "http://a.net/x", "an IDIOT"), (2, "http://www.a.net/x/", "idiot"), (3, "http://b.net", "fine idiots"), (4, None, "idiot"), (5, "http://c.net", None)], "page_id long, url string, html string")
+    rows = url_filter.addresses(pages, ["idiot"])
+    assert [r.key for r in url_filter.listed_urls(rows).collect()] == ["a.net/x"]
+    none = url_filter.addresses(pages.where("false"), ["idiot"])
+    assert url_filter.judged(none, url_filter.listed_urls(none)).count() == 0
+    assert url_filter.judged(url_filter.addresses(pages, []), url_filter.listed_urls(none)).where("verdict = 'allow'").count() == 5
+
+
+def test_marks_are_learnt_from_labels(spark):
+    docs = documents(spark, [(i, t, "en", "s", 1, "x", 1, "y", 0.5) for i, t in [(1, "you Fool, the"), (2, "the FOOL and twit"), (3, "the twit"), (4, "the good"), (5, "good the"), (6, "twit the"), (7, None), (None, "fool"), (8, "fool unlabelled"), (1, "fool again")]])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0), (7, 0), (9, 1), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    assert url_filter.learned_marks(docs, labels, share=2, odds=3) == ["fool"]
+    assert url_filter.learned_marks(docs, labels, share=2, odds=1) == ["fool", "the", "twit"]
+    assert url_filter.learned_marks(docs, labels.where("false")) == [] and url_filter.learned_marks(docs.where("false"), labels) == []
 
 
 def water(sizes, repeats=3):
