@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> None:
 #: Public names and the modules that hold them; imported when they are asked for, so that workers load only what they run.
 EXPORTS = {
     "Pipeline": "plans.pipeline", "Settings": "settings", "Collection": "sources.collection", "Embedder": "operators.embedding",
-    "HashedWords": "operators.embedding", "Remote": "operators.embedding", "Generator": "operators.prompt", "Echo": "operators.prompt",
+    "HashedWords": "operators.embedding", "Remote": "operators.embedding", "Pace": "operators.remote", "Generator": "operators.prompt", "Echo": "operators.prompt",
     "Chat": "operators.prompt", "chunk": "operators.chunking", "search": "operators.search", "VectorIndex": "sources.index",
 }
 __all__ = ["prepare", *EXPORTS]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 from typing import Protocol, TypeVar
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from chunkweave.operators.remote import Caller, Pace
+
 Result = TypeVar("Result")
 Vectors = np.ndarray | list[list[float]]
 
@@ -77,6 +80,13 @@ def checked(vectors: Vectors, n: int, dimension: int) -> Vectors:
     return vectors
 
 
+def outcome(one: Callable[[list[str]], Vectors], some: list[str]) -> Vectors | Exception:
+    try:
+        return one(some)
+    except (RuntimeError, ValueError) as error:
+        return error
+
+
 def listed(vectors: list[Vectors | None], sizes: list[int]) -> pa.Array:
     """Vectors of several calls as one Arrow column; null for the texts of a call that failed."""
     if all(isinstance(v, np.ndarray) for v in vectors):
@@ -87,24 +97,33 @@ def listed(vectors: list[Vectors | None], sizes: list[int]) -> pa.Array:
     return pa.array(flat, pa.list_(pa.float64()))
 
 
-def embed(rows: DataFrame, embedder: Embedder, batch: int | None = None, attempts: int = 1, base_delay: float = 5.0) -> DataFrame:
-    """Add vector, status ('ok' or 'failed') and error to rows with a column text. Texts go to the embedder in batches; a failed call is repeated."""
+def embed(rows: DataFrame, embedder: Embedder, batch: int | None = None, attempts: int = 1, base_delay: float = 5.0, pace: Pace | None = None) -> DataFrame:
+    """Add vector, status ('ok' or 'failed') and error to rows with a column text. Texts go to the embedder in batches; a failed call is repeated.
+
+    pace: for a remote service; rows are dealt to its number of tasks, which share its rate and keep several calls in flight.
+    """
+    rows = rows.repartition(pace.tasks) if pace else rows
     most = batch or getattr(embedder, "batch", 32)
     place = rows.columns.index("text")
 
     def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = Caller(pace) if pace else None
+        ask = caller.call if caller else lambda call: call()
+
+        def one(some: list[str]) -> Vectors:
+            call = lambda: ask(lambda: checked(embedder.embed(some), len(some), embedder.dimension))
+            return retry(call, attempts, base_delay, "embedding")
+
         for part in parts:
             found: list[Vectors | None] = []
             errors: list[str | None] = []
             texts = [t or "" for t in part.column(place).to_pylist()]
             calls = [texts[at : at + most] for at in range(0, len(texts), most)]
-            for some in calls:
-                try:
-                    found.append(retry(lambda some=some: checked(embedder.embed(some), len(some), embedder.dimension), attempts, base_delay, "embedding"))
-                    errors += [None] * len(some)
-                except (RuntimeError, ValueError) as error:
-                    found.append(None)
-                    errors += [str(error)] * len(some)
+            outcomes = caller.all([partial(one, some) for some in calls]) if caller else map(partial(outcome, one), calls)
+            for some, got in zip(calls, outcomes, strict=True):
+                bad = isinstance(got, Exception)
+                found.append(None if bad else got)
+                errors += [str(got) if bad else None] * len(some)
             status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
             columns = [*part.columns, listed(found, list(map(len, calls))), status, pa.array(errors, pa.string())]
             yield pa.record_batch(columns, [*part.schema.names, "vector", "status", "error"])

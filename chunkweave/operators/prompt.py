@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from chunkweave.functions import text as X
 from chunkweave.operators.embedding import retry
+from chunkweave.operators.remote import Caller, Pace
 
 #: The wording of prompts and of the answer without context.
 BEFORE_CONTEXT = "Extraits de documents :\n---------------------\n"
@@ -90,21 +91,33 @@ def with_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", F.concat(F.lit(BEFORE_CONTEXT), "context", F.lit(BEFORE_QUESTION), X.strip(F.col("question")), F.lit(AFTER_QUESTION)))
 
 
-def answers(rows: DataFrame, generator: Generator) -> DataFrame:
+def answers(rows: DataFrame, generator: Generator, pace: Pace | None = None) -> DataFrame:
     """question_id, question, text, sources, status and error for each of rows (with prompt, context, n_hits and sources). Without hits the generator is not
-    asked; a failure marks its row and leaves the others alone. Rows are answered where they are: equal or null ids play no part."""
+    asked; a failure marks its row and leaves the others alone. Rows are answered where they are: equal or null ids play no part.
+
+    pace: for a remote model; rows are dealt to its number of tasks, which share its rate and keep several calls in flight.
+    """
+    rows = rows.repartition(pace.tasks) if pace else rows
     slim = rows.select("question_id", "question", "sources", "n_hits", "context", "prompt")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = Caller(pace) if pace else None
+        ask_for = caller.call if caller else lambda call: call()
+
+        def one(n: int, context: str, prompt: str) -> str:
+            return (ask_for(lambda: generator.generate([prompt], [context])[0]) or "").strip() if n else NO_CONTEXT
+
+        def outcome(*row: object) -> str | Exception:
+            try:
+                return one(*row)
+            except Exception as error:  # any failure of a remote service
+                return error
+
         for batch in batches:
-            texts, errors = [], []
-            for n, context, prompt in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                try:
-                    texts.append((generator.generate([prompt], [context])[0] or "").strip() if n else NO_CONTEXT)
-                    errors.append(None)
-                except Exception as error:  # any failure of a remote service
-                    texts.append(None)
-                    errors.append(str(error))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True))
+            got = caller.all([partial(one, *row) for row in rows]) if caller else [outcome(*row) for row in rows]
+            errors = [str(g) if isinstance(g, Exception) else None for g in got]
+            texts = [None if isinstance(g, Exception) else g for g in got]
             status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(2), status, pa.array(errors, pa.string())]
             yield pa.record_batch(columns, ["question_id", "question", "text", "sources", "status", "error"])

@@ -12,6 +12,7 @@ from chunkweave.operators import prompt
 from chunkweave.operators.chunking import chunk
 from chunkweave.operators.embedding import Embedder, HashedWords, complete_sources, embed
 from chunkweave.operators.evaluate import candidates
+from chunkweave.operators.remote import Pace
 from chunkweave.operators.search import search
 from chunkweave.settings import Settings
 from chunkweave.sources import text_files
@@ -28,12 +29,13 @@ def report(names: DataFrame, chunks: DataFrame) -> DataFrame:
 class Pipeline:
     """Tables that a call computes once and reads again stay in memory or on disk until `release`, which every call of a command ends with."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None, generator: prompt.Generator | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None, generator: prompt.Generator | None = None, pace: Pace | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings()
         self.embedder = embedder or HashedWords(self.settings.dimension)
         self.generator = generator or prompt.Echo()
         self.store = Collection(spark, f"{root.rstrip('/')}/{self.settings.collection}", self.embedder.dimension)
         self._held: list[DataFrame] = []
+        self.pace = pace  # of a remote embedder and of a remote model
 
     def _once(self, rows: DataFrame) -> DataFrame:
         self._held.append(rows.persist())
@@ -44,7 +46,7 @@ class Pipeline:
             self._held.pop().unpersist()
 
     def _embed(self, rows: DataFrame) -> DataFrame:
-        return embed(rows, self.embedder, attempts=self.settings.attempts, base_delay=self.settings.base_delay)
+        return embed(rows, self.embedder, attempts=self.settings.attempts, base_delay=self.settings.base_delay, pace=self.pace)
 
     def ingest_documents(self, documents: DataFrame) -> DataFrame:
         """Chunk, embed and store documents (source, text, perhaps path); returns the stored chunks. The job fails as a whole if it cannot write.
@@ -86,7 +88,7 @@ class Pipeline:
         """question_id, question, text, sources, status, error. Blank questions have status 'empty'."""
         hits = self._once(self.hits(questions, top_k))
         rows = prompt.with_prompt(prompt.contexts(questions.where(~X.is_blank(F.col("question"))), hits))
-        answered = prompt.answers(rows, self.generator)
+        answered = prompt.answers(rows, self.generator, self.pace)
         blank = questions.where(X.is_blank(F.col("question"))).select("question_id", "question", F.lit("empty").alias("status"))
         return answered.unionByName(blank, allowMissingColumns=True)
 
@@ -130,7 +132,7 @@ class Pipeline:
     def _answered(self, asked: DataFrame, output: str, generator: prompt.Generator, top_k: int, max_docs: int, once: bool) -> int:
         """Answer one batch and commit it; once: leave out what another run answered meanwhile."""
         hits = self._once(self.hits(asked, top_k))
-        rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), generator).where("status = 'ok'")
+        rows = prompt.answers(prompt.with_prompt(prompt.contexts(asked, hits)), generator, self.pace).where("status = 'ok'")
         out = self._once(rows.select("question_id", F.col("text").alias("answer")).join(candidates(asked, hits, max_docs), "question_id"))
         while n := out.count():
             try:
