@@ -46,13 +46,6 @@ class Files:
     def is_folder(self) -> bool:
         return self.exists() and self.fs.getFileStatus(self.root).isDirectory()
 
-    def names(self, recursive: bool = False) -> list[str]:
-        """Full paths of files."""
-        found, each = [], self.fs.listFiles(self.root, recursive)
-        while each.hasNext():
-            found.append(each.next().getPath().toString())
-        return sorted(found)
-
     def read(self, name: str) -> str:
         stream = self.fs.open(self.under(name))
         try:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions import text as X
 from chunkweave.sources.files import Files
+from chunkweave.sources.folder import TextFolder, opened, readable
 
 Loader = Callable[[SparkSession, list[str]], DataFrame]
 
@@ -50,29 +51,38 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path}: no loader for this suffix")
 
 
+def folder_files(spark: SparkSession, folder: str, recursive: bool, names: bool = False) -> DataFrame:
+    """path and content of every `*.txt`, listed and read by tasks; names: without contents."""
+    spark.dataSource.register(TextFolder)
+    options = {"recursive": str(recursive).lower(), "names": str(names).lower()}
+    return spark.read.format("text_folder").options(**options).load(folder)
+
+
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = False, limit: int | None = None, relative: bool = False) -> DataFrame:
     """All `*.txt` of a folder: source, text, status, path. limit: the first so many by path.
 
     source is the base name, so files of the same name in several folders share it; relative=True takes the path under
-    the folder instead. Spark leaves out files without bytes and hidden ones: see listed().
+    the folder instead. Where only Spark's own readers reach the folder, files without bytes and hidden ones are left out.
     """
     files = Files(spark, folder)
     if not files.is_folder():
         raise NotADirectoryError(folder)
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    if readable(folder):
+        rows, root = folder_files(spark, folder, recursive), opened(folder)[1]
+    else:
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+        root = files.fs.getFileStatus(files.root).getPath().toString()
     if limit is not None:
         rows = rows.join(rows.select("path").orderBy("path").limit(limit), "path", "left_semi")
-    root = files.fs.getFileStatus(files.root).getPath().toString().rstrip("/") + "/"
-    return with_text(rows, F.replace(F.col("path"), F.lit(root), F.lit("")) if relative else basename(F.col("path")))
+    under = F.lit(root.rstrip("/") + "/")
+    return with_text(rows, F.replace(F.col("path"), under, F.lit("")) if relative else basename(F.col("path")))
 
 
 def listed(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """source of every `*.txt`, files without bytes included: names alone, from the driver's listing."""
-    files = Files(spark, folder)
-    if not files.is_folder():
-        raise NotADirectoryError(folder)
-    names = [n.rsplit("/", 1)[-1] for n in files.names(recursive)]
-    return spark.createDataFrame([(n,) for n in names if n.endswith(".txt")], "source string").distinct()
+    """source of every `*.txt`, blank ones included, without reading them where tasks can list the folder."""
+    if readable(folder):
+        return folder_files(spark, folder, recursive, names=True).select(basename(F.col("path")).alias("source")).distinct()
+    return scan_folder(spark, folder, recursive).select("source").distinct()
 
 
 def load_stats(documents: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def small(spark, folder):
 
 def test_loading(spark, folder):
     rows = {r.source: r for r in text_files.scan_folder(spark, str(folder / "in")).collect()}
-    assert set(rows) == {"report.txt", "odd name.txt", "blank.txt"}  # no empty file, no other suffix, no subfolder
+    assert set(rows) == {"report.txt", "odd name.txt", "blank.txt", "none.txt"}  # no other suffix, no subfolder
+    assert rows["none.txt"].status == "empty" and rows["none.txt"].text == ""
     assert rows["odd name.txt"].text == "x��y�z�\nb\nc\n" and rows["blank.txt"].status == "empty"
     deep = {r.source: r.text for r in text_files.scan_folder(spark, str(folder / "in"), recursive=True).collect()}
     assert deep["deep.txt"] == "﻿deep text"
@@ -50,6 +51,26 @@ def test_loading(spark, folder):
         text_files.scan_folder(spark, str(folder / "in/report.txt"))
 
 
+def test_tasks_list_and_read_a_folder(spark, folder, monkeypatch):
+    """Hidden and empty files are there, each file once, in batches of bounded size; the rows are those of Spark's own reader where that sees them."""
+    (folder / "in/.hidden.txt").write_text("hidden")
+    (folder / "in/sub/more/_deep").mkdir(parents=True)
+    for i in range(40):
+        (folder / f"in/sub/more/_deep/f{i}.txt").write_text(f"text {i}")
+    want = {p.name for p in (folder / "in").rglob("*.txt")} - {"UPPER.TXT"}
+    for path in (str(folder / "in"), f"file://{folder}/in"):
+        rows = text_files.scan_folder(spark, path, recursive=True, relative=True).collect()
+        assert len(rows) == len(want) == 46 and {r.source.rsplit("/")[-1] for r in rows} == want
+        assert {r.source.rsplit("/")[-1] for r in text_files.listed(spark, path, True).collect()} == want
+    assert {r.text for r in rows if "_deep" in r.source} == {f"text {i}" for i in range(40)}
+    (folder / "empty").mkdir()
+    assert text_files.scan_folder(spark, str(folder / "empty")).count() == 0
+    monkeypatch.setattr(text_files, "readable", lambda _: False)
+    plain = {r.source: r.text for r in text_files.scan_folder(spark, str(folder / "in"), True).collect()}
+    assert plain == {r.source: r.text for r in text_files.with_text(text_files.folder_files(spark, str(folder / "in"), True), text_files.basename(F.col("path"))).collect() if r.source in plain} and len(plain) == 4
+    assert {r.source for r in text_files.listed(spark, str(folder / "in")).collect()} == {"report.txt", "odd name.txt", "blank.txt"}
+
+
 def test_ingest_ask_delete(spark, folder):
     pipeline = small(spark, folder)
     n = pipeline.ingest_file(str(folder / "in/report.txt"))
