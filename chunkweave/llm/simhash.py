@@ -17,7 +17,8 @@ all of them, those from fingerprints too, on the whole sets of shingles. The set
 is a star around the member that shares the largest bands: an original leads its edited copies. Then every band whose other
 members still belong to several components is compared in full: its members are dealt to blocks of bounded size, and
 a pair is skipped only if it is in one component already, or if the Manhattan distance of its counts of shingles by
-hash, which never exceeds the number of shingles in one set alone, rules it out.
+hash, which never exceeds the number of shingles in one set alone, rules it out. A set goes to each group of its block, which is at most `SPREAD` times;
+the members of larger buckets meet by the rarest of their shingles instead, of which any two similar sets share one, so unlike members don't meet at all.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other;
 rows with a null id get a component whose id is the smallest id in it, or null if it has none; repeated rows
@@ -46,6 +47,8 @@ FACTORS = np.random.default_rng(12).integers(1, 1 << 63, BANDS * ROWS, "u8") * n
 RUN = 1 << 16
 #: Shingles in a block of members of one band, and counters of one member.
 BLOCK, COUNTERS = 1 << 18, 256
+#: A member of a bucket goes to a group for each of its blocks; of buckets with more than so many blocks members meet by rare shingles. Slots of their counts.
+SPREAD, SLOTS = 64, 1 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -219,24 +222,82 @@ def rest_links(led: DataFrame, held: DataFrame, labels: DataFrame, similarity: f
     led: node, size and key of these members. held: shingle_sets. labels: components of the links to leaders.
     """
     rest = led.join(labels, "node", "left").select("node", "key", "size", F.coalesce("label", "node").alias("comp"))
-    several = rest.groupBy("key").agg(F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    several = checkpointed(several.select("key", "total", F.ceil(F.col("total") / BLOCK).alias("blocks")))
-    whole = several.agg(F.sum("total")).first()[0]
+    several = mixed_buckets(rest)
+    whole, blocks = several.agg(F.sum("total"), F.max("blocks")).first()
     if not whole:
         return None
-    members = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
+    found = compared(rest.join(several.where(F.col("blocks") <= SPREAD), "key"), held, whole, similarity)
+    if blocks <= SPREAD:
+        return found
+    # Members of the largest buckets meet by rare shingles instead.
+    wide = rest.join(several.where(F.col("blocks") > SPREAD).select("key"), "key", "left_semi").select("node", "size", "comp").distinct()
+    wide = checkpointed(rare_prefixes(wide, held, similarity))
+    several = mixed_buckets(wide)
+    sets = held.select("node", "held")
+    return found.unionByName(compared(wide.join(several, "key"), sets, several.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], similarity))
+
+
+def mixed_buckets(rest: DataFrame) -> DataFrame:
+    """key, total (shingles) and blocks of the buckets whose members belong to several components."""
+    several = rest.groupBy("key").agg(F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return checkpointed(several.select("key", "total", F.ceil(F.col("total") / BLOCK).alias("blocks")))
+
+
+def rare_prefixes(nodes: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """node, size, comp and key: each node under the rarest of its shingles, so many of them that two sets of this similarity share one.
+
+    Sets of similarity s share all but a (1 - s)-th of the larger one, so the first n - ceil(s n) + 1 shingles of both, in one order of all shingles, meet. Any order will do: it is
+    by counts in `SLOTS` slots, which says little of rare shingles that share a slot with a common one but needs no more room for more of them.
+    """
+    sets = nodes.join(held.select("node", "held"), "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, "i8")
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                np.add.at(n, np.array(one, "i8") & (SLOTS - 1), 1)
+        slots = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(slots), pa.array(n[slots])], ["slot", "n"])
+
+    table = np.zeros(SLOTS, "i8")
+    counts = sets.select("held").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    table[counts["slot"]] = counts["n"]
+    sent = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, keys = [np.empty(0, "i8")], [np.empty(0, "i8")]
+            for i, one in enumerate(batch.column("held").to_pylist()):
+                x = np.array(one, "i8")
+                many = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                keys.append(x[np.lexsort((x, sent.value[x & (SLOTS - 1)]))[:many]])
+                row.append(np.full(len(keys[-1]), i))
+            at = pa.array(np.concatenate(row))
+            yield pa.record_batch([batch.column(c).take(at) for c in ("node", "size", "comp")] + [pa.array(np.concatenate(keys))], ["node", "size", "comp", "key"])
+
+    return sets.mapInArrow(rarest, "node long, size long, comp long, key long")
+
+
+def compared(members: DataFrame, held: DataFrame, whole: int, similarity: float) -> DataFrame:
+    """Links between the members (node, key, comp, blocks) of each bucket. Members of a bucket are dealt to its blocks, and each pair of blocks is a group.
+
+    held: shingle_sets; without the bands' keys, a pair is compared in each bucket that both share.
+    """
+    members = members.withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
     small = F.pmod(F.xxhash64("key"), F.lit(whole // BLOCK + 1))
     members = members.select("node", "key", "comp", "blocks", "block", F.when(F.col("blocks") == 1, small).otherwise(F.col("key")).alias("unit"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"))))
     dealt = members.withColumn("pair", pair).select("node", "key", "comp", "block", "unit", "pair.i", "pair.j").join(held, "node")
+    if "keys" not in held.columns:
+        dealt = dealt.withColumn("keys", F.array("key"))
 
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
         links = []
         for (key, i, j), bucket in rows.groupby(["key", "i", "j"]):
             links += bucket_links(bucket, key, i != j, similarity)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("unit", "i", "j").applyInPandas(compared, "a long, b long")
+    return dealt.groupBy("unit", "i", "j").applyInPandas(within, "a long, b long")
 
 
 def similar_labels(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:

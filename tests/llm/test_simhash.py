@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from chunkweave.llm import simhash
@@ -123,10 +124,11 @@ def test_copies_edited_apart_meet_their_original(spark, monkeypatch, block):
     assert [k.doc_id for k in kept.collect()] == [0]
 
 
-@pytest.mark.parametrize("block", [1 << 18, 3000])
-def test_family_without_its_original(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "spread"), [(1 << 18, 64), (3000, 64), (3000, 1)])
+def test_family_without_its_original(spark, monkeypatch, block, spread):
     """Copies with one to three words changed; the text they come from is not there. What stays is one of each component, as all pairs say."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SPREAD", spread)
     r = random.Random(3)
     w = [f"w{r.randrange(9000)}" for _ in range(120)]
     texts = []
@@ -148,6 +150,22 @@ def test_family_without_its_original(spark, monkeypatch, block):
     assert len(links) > 200 and sorted(k.doc_id for k in kept.collect()) == sorted({top(i) for i in range(len(texts))})
 
 
+def test_unlike_members_of_a_bucket_do_not_meet(spark, monkeypatch):
+    """4,000 sets that share a third of their shingles, all in one bucket, and two stragglers that resemble a member each: linear in rows, and no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", 1000)
+    r = np.random.default_rng(4)
+    common = r.integers(-(1 << 62), 1 << 62, 20)
+    sets = [np.unique(np.concatenate((common, r.integers(-(1 << 62), 1 << 62, 40)))) for _ in range(4000)]
+    for i in (7, 3000):
+        sets.append(np.unique(np.concatenate((sets[i][3:], r.integers(-(1 << 62), 1 << 62, 2)))))
+    held = spark.createDataFrame([(i, [1], [int(x) for x in s]) for i, s in enumerate(sets)], "node long, keys array<long>, held array<long>").checkpoint()
+    led = held.selectExpr("node", "bigint(size(held)) as size", "1L as key")
+    groups, compared = [], simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda members, *rest: groups.append(members.count()) or compared(members, *rest))
+    links = simhash.rest_links(led, held, spark.createDataFrame([], "node long, label long"), 0.8).collect()
+    assert {tuple(sorted((x.a, x.b))) for x in links} == {(7, 4000), (3000, 4001)} and sum(groups) < 200
+
+
 def test_equal_rows_stay_once(spark):
     """Many copies of one row, rows of one id and text that differ elsewhere, and columns that need quoting or cannot be hashed."""
     given = [(None, "one text", 1, {"a": 1})] * 50 + [(7, "two words here", i, {"a": i}) for i in range(20)] + [(7, "two words here", 3, {"a": 3})] * 5
