@@ -21,9 +21,9 @@ BEFORE_QUESTION = "\n---------------------\n\nQuestion : "
 AFTER_QUESTION = "\n\nRéponse (en citant les extraits utilisés) :"
 NO_CONTEXT = "Aucun document pertinent n'a été trouvé pour répondre à cette question."
 ECHO_HEADER = "[FAUSSE RÉPONSE]\nPrompt qui serait envoyé au LLM :\n\n"
-#: What a chat model is told to write if the excerpts do not hold the answer.
-REFUSAL_FR = "Les documents fournis ne permettent pas de répondre à cette question."
-REFUSAL_EN = "The provided documents do not contain the answer to this question."
+#: What a chat model is told to write if the excerpts do not hold the answer.
+REFUSAL_FR = "Je ne trouve pas la réponse dans ces extraits."
+REFUSAL_EN = "These excerpts do not answer the question."
 #: Instructions for a chat model, one in French that asks for citations and one in English that does not.
 SYSTEM_FR = (
     "Tu réponds en français, brièvement, à partir des seuls extraits fournis, et tu cites leurs numéros [1], [2]. "

@@ -442,8 +442,9 @@ def test_commands(spark, folder, capsys, monkeypatch):
     assert main([*root, "ingest", str(folder / "in/UPPER.TXT")]) == 0
     assert main([*root, "ask", "rapport", "--top-k", "1"]) == 0
     assert main([*root, "status"]) == 0
+    assert main([*root, "index", "--cells", "2", "--top-k", "3"]) == 0 and main([*root, "compact"]) == 0
     shown = capsys.readouterr().out
-    assert "report.txt: " in shown and "[1] " in shown and "UPPER.TXT" in shown
+    assert "report.txt: " in shown and "[1] " in shown and "UPPER.TXT" in shown and " (score 0." in shown and "probes: " in shown and "Runs: 1" in shown
     assert main([*root, "reset"]) == 0
     monkeypatch.setenv("TOP_K", "x")
     assert main([*root, "status"]) == 1
