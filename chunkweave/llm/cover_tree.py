@@ -38,6 +38,8 @@ SAMPLE, BLOCK, CHUNK, TOGETHER = 32_768, 4096, 16_384, 16
 #: Pairs of a chunk and a block share a task only where there are more than so many.
 TASKS = 256
 BASE, SPARSE = 1.3, 16
+#: Centers that a tree over queries may have beyond a SPARSE-th of them.
+NET = 1024
 #: Pairs of nodes whose bounds are computed at once, and rows of data in a leaf's first product and in its largest.
 PAIRS, FIRST, WIDTH = 1 << 14, 64, 2048
 EXACT = float(1 << 53)
@@ -135,6 +137,11 @@ def cover_tree(x: np.ndarray, most: int | None = None) -> tuple[Tree, np.ndarray
     return Tree(levels, centers, np.concatenate(radius), np.concatenate(start), np.concatenate(stop), first, last, np.array(scale)), by_leaf
 
 
+def query_tree(x: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """A tree over queries goes further down, for a leaf is only as good as the worst of its queries."""
+    return cover_tree(x, min(len(x) // 4, max(NET, len(x) // SPARSE)))
+
+
 class Best:
     """The k best (score, then smaller id) of each query, and the score that a candidate has to reach."""
 
@@ -392,7 +399,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
         ids, x, asks = ids[order], x[order], asks[order]
         best, own = Best(k, np.full(asks.sum(), -np.inf)), ids[asks]
         if asks.any():
-            above, turn = cover_tree(x[asks])
+            above, turn = query_tree(x[asks])
             own = own[turn]
             dual_search(best, above, x[asks][turn], own, tree, x, ids)
         found = results(best, own).to_dict("records")
@@ -407,7 +414,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
     def gathered(chunk: pd.DataFrame) -> pd.DataFrame:
         """The packed chunk and the blocks that it asks for."""
         x = stacked(chunk["v"])
-        tree, order = cover_tree(x)
+        tree, order = query_tree(x)
         chunk, x = chunk.iloc[order], x[order]
         floor = chunk["floor"].fillna(-np.inf).to_numpy("f8")
         row = {"chunk": chunk["chunk"].iloc[0], "ids": chunk["vec_id"].to_numpy("i8").tobytes(), **packed(x), "tree": tree.packed(), "floors": floor.tobytes()}
