@@ -8,7 +8,7 @@ bit more, as in a compact Hilbert index of unequal sides: the curve halves its r
 
 The global order needs no task that sees all rows: rows fall into buckets by curve index and the first
 bits of a hash of the row (more bits for more rows, so that a cell with a third of all rows is many buckets), counts and sizes of buckets are
-summed in two levels, and rows are numbered within their bucket.
+summed in two levels, and rows are numbered within their bucket. Copies of one id and text, which no hash can part, are dealt to parts of their bucket where they are many.
 
 Laws: `bytes` cuts at equal shares of the summed size (each cut within half a row of its share); `rows` makes counts
 at most one apart.
@@ -99,22 +99,44 @@ def with_curve(df: DataFrame, dims: list[str], name: str = "curve") -> DataFrame
     return df.withColumn(name, reduce(Column.bitwiseOR, digits).cast("long")).drop("_flip", *axes)
 
 
+def with_parts(rows: DataFrame, sums: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows whose bucket's rows of one tie, if more than BUCKET, are dealt to parts; and the columns that name a bucket or part, in order.
+
+    The hash spreads unlike rows, so only rows of one id and text can make a bucket that large: without any, rows stay as they are.
+    """
+    large = sums.where(F.col("n") > 2 * BUCKET).select("bucket")  # one in 2 * BUCKET rows at most
+    if not large.head(1):
+        return rows, ["bucket"]
+    hot = rows.join(F.broadcast(large), "bucket").groupBy("bucket", "tie").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+    hot = hot.groupBy("bucket").agg(F.collect_list(F.struct("tie", F.ceil(F.col("n") / BUCKET).alias("parts"))).alias("hot"))
+    rows = rows.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(hot), "bucket", "left")
+    below = F.coalesce(F.size(F.filter("hot", lambda h: h["tie"] < F.col("tie"))), F.lit(0))
+    parts = F.filter("hot", lambda h: h["tie"] == F.col("tie"))[0]["parts"]
+    # Ties below the first hot one, the hot one, those up to the next, and so on; parts within the hot ones.
+    rows = rows.withColumns({"turn": 2 * F.when(F.col("hot").isNull(), 0).otherwise(below) + parts.isNotNull().cast("int"), "part": F.coalesce(F.pmod("number", parts), F.lit(0))})
+    return checkpointed(rows.drop("number", "hot")), ["bucket", "turn", "part"]
+
+
 def placed(rows: DataFrame, shards: int, law: str) -> DataFrame:
     """Add shard and slot to rows with size, curve and tie (a long); equal rows may trade places."""
     bits = max(HASH_BITS, math.ceil(math.log2(max(1, rows.count()) / BUCKET)))
     rows = rows.withColumn("bucket", F.shiftleft("curve", bits) + F.shiftrightunsigned("tie", 64 - bits))
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    sums = checkpointed(sums.withColumn("block", F.shiftright("bucket", bits + BITS)))
+    counts = (F.count("*").alias("n"), F.sum("size").alias("b"))
+    sums = checkpointed(rows.groupBy("bucket").agg(*counts))
+    rows, names = with_parts(rows, sums)
+    if len(names) > 1:
+        sums = checkpointed(rows.groupBy(*names).agg(*counts))
+    sums = sums.withColumn("block", F.shiftright("bucket", bits + BITS))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_block") for c in "nb"])
-    within = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("block").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.join(F.broadcast(blocks), "block")  # blocks: at most 2^(3 BITS + 1) rows for four dimensions
-    starts = starts.select("bucket", *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{c}_block")).alias(f"{c}_before") for c in "nb"])
+    starts = starts.select(*names, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{c}_block")).alias(f"{c}_before") for c in "nb"])
     n, total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    order = Window.partitionBy("bucket").orderBy("curve", "tie", "size", "doc_id")
+    order = Window.partitionBy(*names).orderBy("curve", "tie", "size", "doc_id")
     earlier = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(starts, "bucket").withColumns({"rank": F.row_number().over(order) - 1 + F.col("n_before"), "held": earlier + F.col("b_before")})
+    rows = rows.join(starts, names).withColumns({"rank": F.row_number().over(order) - 1 + F.col("n_before"), "held": earlier + F.col("b_before")})
     if law == "bytes":
         cut = F.floor((F.col("held") * 2 + F.col("size")) / F.lit(2 * max(1, total)) * shards)
     elif law == "rows":
@@ -123,7 +145,7 @@ def placed(rows: DataFrame, shards: int, law: str) -> DataFrame:
         raise ValueError(f"no such law: {law}")
     rows = rows.withColumn("shard", F.least(cut.cast("int"), F.lit(shards - 1)))
     first = rows.groupBy("shard").agg(F.min("rank").alias("first"))
-    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop("bucket", "n_before", "b_before", "rank", "held", "first")
+    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop(*names, "n_before", "b_before", "rank", "held", "first")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = ("source", "lang")) -> DataFrame:

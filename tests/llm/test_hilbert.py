@@ -47,6 +47,31 @@ def test_hot_cell_is_cut_in_many_buckets(spark):
     assert hilbert.shard_ranges(got).count() == 8
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_copies_of_one_id_and_text_are_dealt_to_parts(spark, law, monkeypatch):
+    monkeypatch.setattr(hilbert, "BUCKET", 50)
+    held = []
+    real = hilbert.with_parts
+    monkeypatch.setattr(hilbert, "with_parts", lambda *a: held.append(real(*a)) or held[-1])
+    copies = [(None, "same", "s", "en")] * 900 + [(7, "a copy", "s", "en")] * 600 + [(8, "other", "t", None)] * 130
+    given = copies + [(i, f"text {i % 40}", f"s{i % 3}", "en") for i in range(900)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, lang string").repartition(9)
+    got = hilbert.hilbert_shards(df, 8, law).collect()
+    rows, names = held[0]
+    assert names == ["bucket", "turn", "part"]
+    assert max(r["count"] for r in rows.groupBy(*names).count().collect()) <= 150
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((d, zlib.crc32(t.encode())) for d, t, _, _ in given)
+    by_shard = {s: sorted(r.slot for r in got if r.shard == s) for s in range(8)}
+    assert all(slots == list(range(len(slots))) for slots in by_shard.values())
+    flat = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in flat] == sorted(r.curve for r in got)
+    if law == "rows":
+        assert max(map(len, by_shard.values())) - min(map(len, by_shard.values())) <= 1
+    else:
+        sizes = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+        assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
+
+
 def test_ranges_of_raw_names_prune(spark):
     """A reader who wants one source opens at most 3 of 8 shards (median) by the least and greatest names in each."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
