@@ -104,6 +104,7 @@ def oracle_sql() -> dict[str, str]:
         "search_top_k": VECTORS.format(which="q.vec_id = (SELECT min(vec_id) FROM v)", k=4),
         "search_batch_top_k": VECTORS.format(which=twenty, k=10),
         "search_threshold": VECTORS.format(which=twenty, k=10) + " AND score >= 0.5",
+        "search_threshold_indexed": VECTORS.format(which=twenty, k=10) + " AND score >= 0.5",
         "search_filtered": VECTORS.format(which=twenty + " AND v.label = 3", k=10),
         "rag_retrieve": f"{CHUNKS}{HITS} SELECT * FROM hits",
         "upsert_merge": f"{CHUNKS} SELECT {POINT} AS id, source, index, CASE WHEN lang = 'en' THEN '2 ' || text ELSE text END AS text FROM chunks",

@@ -203,14 +203,28 @@ def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         return store.rows().select("source", "index").checkpoint()
 
 
-def search_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors are stored and indexed, and every twentieth asks for its best 20: how many of the exact ones the index finds."""
-    rows, asked = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
+@contextmanager
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> Iterator[VectorIndex]:
+    """All vectors, stored and indexed."""
+    rows = vectors(spark, sf_dir)
     dimension = rows.agg(F.coalesce(F.max(F.size("vector")), F.lit(1))).first()[0]
     with own_store(spark, dimension) as store:
         store.add(rows.select("source", "index", "vector", F.lit("").alias("text"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end")))
         kept = VectorIndex(store)
         kept.build()
+        yield kept
+
+
+def search_threshold_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of search_threshold, from the cells of an index that can hold some."""
+    with indexed_vectors(spark, sf_dir) as kept:
+        return kept.within(asked_vectors(spark, sf_dir), 0.5, 10).select("question_id", "rank", "source", "score").checkpoint()
+
+
+def search_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors are stored and indexed, and every twentieth asks for its best 20: how many of the exact ones the index finds."""
+    asked = asked_vectors(spark, sf_dir)
+    with indexed_vectors(spark, sf_dir) as kept:
         kept.tuned(20)
         near = kept.search(asked, 20).select("question_id", "source", F.lit(1).alias("found"))
         exact = search(named_vectors(spark, sf_dir), asked, 20, sent_bytes=0).select("question_id", "source")
@@ -318,7 +332,7 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     load_stats, suffix_filter, doc_id_from_source, chunk_1000_150, chunk_300_50, chunk_lateral, chunk_reference, point_id, payload_projection,
     payload_defaults, ingest_report, list_sources, collection_count, hashed_embedding, embedding_vectors, search_top_k, search_batch_top_k,
-    search_threshold, search_filtered, rag_retrieve, search_approximate, upsert_merge, delete_source, reset_store, resume_anti_join, bench_resume_limit,
+    search_threshold, search_filtered, search_threshold_indexed, rag_retrieve, search_approximate, upsert_merge, delete_source, reset_store, resume_anti_join, bench_resume_limit,
     doc_candidates, gold_documents, doc_recall, extra_docs, category_report, context_block, user_prompt, fake_answer,
     no_context_answer, excerpt_200, normalize_ws, source_distribution, corpus_sample, batch_totals,
 )

@@ -115,7 +115,7 @@ class Collection:
         numbers = self._numbers()
         kept = [self.manifest(n) for n in numbers[-KEPT:]]
         used = {run for m in kept for run in (*m["runs"], *m["deletes"])}
-        used |= {run for m in kept if "index" in m for run in (m["index"]["model"], *m["index"]["runs"].values())}
+        used |= {run for m in kept if "index" in m for run in (m["index"]["model"], *m["index"]["runs"].values(), *(f"{i}-rings" for i in m["index"]["runs"].values()))}
         for n in numbers[:-KEPT]:
             self.files.remove(f"manifests/{n}.json")
         for kind in ("data", "files", "places", "deletes", "index"):

@@ -6,7 +6,11 @@ tables of inner products to approximate scores, and fetches the vectors of a sho
 collection has marked as deleted fall out by its deletion vectors, and runs that are not indexed yet are searched exactly, so the index may lag behind.
 
 How many cells to probe is measured: `tuned` takes the fewest with which a bounded sample of stored vectors, as questions, finds the asked share of its exact best.
-Cells that hold many rows are dealt to several tasks. Questions stay distributed.
+Cells that hold many rows, or that many questions probe, are dealt to several tasks. Questions stay distributed.
+
+The index also answers exactly, where a score is asked for: each row has its angle from its cell's center, in the order of which the files are sorted, and each
+cell the least and greatest of them. By the triangle inequality a row within angle t of a question lies in the ring of angles a - t to a + t, where
+a is the question's own angle from the center. Cells without such a ring are not read, nor are the vectors of rows outside it moved.
 """
 
 from __future__ import annotations
@@ -21,18 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.operators.search import matrix, search, unit
-from chunkweave.sources.collection import Collection
+from chunkweave.operators.search import STEPS, matrix, search, unit
+from chunkweave.sources.collection import PLACES, Collection
 
 #: Vectors that cells and codes are fitted on, and vectors that `tuned` asks for.
 SAMPLE, ASKED = 65_536, 200
 #: Cells at most, components in a part of a code, and entries of a part's book.
 CELLS, PART, BOOK = 4096, 4, 256
-#: Rows of a cell that a task takes, and scores that are worked out at once.
-ROWS, TILE = 200_000, 1 << 20
+#: Rows of a cell and questions that a task takes, and scores that are worked out at once.
+ROWS, QUESTIONS, TILE = 200_000, 20_000, 1 << 20
 #: Hits of a short list for each of the asked ones, and bytes of short lists that go to all tasks.
 SHORT, SENT_BYTES = 12, 32 << 20
-INDEX = "file string, row long, code binary, unit array<double>, cell int"
+INDEX = "file string, row long, code binary, unit array<double>, angle double, cell int"
+RINGS = "cell int, least double, most double"
+#: What the last digit of a score may hide.
+SLACK = 1 / STEPS
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -76,6 +83,10 @@ class Model:
         half = (self.centers * self.centers).sum(axis=1) / 2
         return np.argsort(half - q @ self.centers.T, axis=1, kind="stable")[:, :probes]
 
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        """Angles between unit rows and the direction of each center; a right one for zeros."""
+        return np.arccos(np.clip(x @ unit(self.centers).T, -1, 1))
+
     def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of questions and the rows of one cell, as far as their codes tell."""
         out = np.repeat((q @ self.centers[cell])[:, None], len(codes), axis=1)
@@ -84,6 +95,20 @@ class Model:
         return out
 
 
+def rings_of(run: str) -> str:
+    """The name of the table with the rings of a run of the index."""
+    return f"{run}-rings"
+
+
+def dealt(rows: DataFrame, asked: DataFrame, blocks: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and questions (with a cell each) that meet by cell, part and block: parts of ROWS rows of a cell, blocks of questions. Each cell has one small row of counts."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).alias("parts"))
+    left = rows.select(*kept).join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("file", "row"), "parts")).drop("parts")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return left, right.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"))
+
+
 class VectorIndex:
     """The index of a collection. Opening it makes nothing; `build` fits it, if it has not been, and indexes the runs that lack it."""
 
@@ -115,8 +140,9 @@ class VectorIndex:
             for batch in batches:
                 x = unit(matrix(batch.column(0).to_pylist(), dimension))
                 cell, code = model.value.coded(x)
+                angle = np.arccos(np.clip((x * unit(model.value.centers)[cell]).sum(axis=1), -1, 1))
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * dimension), pa.array(x.ravel()))
-                yield pa.record_batch([batch.column(1), batch.column(2), pa.array([c.tobytes() for c in code], pa.binary()), vectors, pa.array(cell.astype("i4"))], ["file", "row", "code", "unit", "cell"])
+                yield pa.record_batch([batch.column(1), batch.column(2), pa.array([c.tobytes() for c in code], pa.binary()), vectors, pa.array(angle), pa.array(cell.astype("i4"))], ["file", "row", "code", "unit", "angle", "cell"])
 
         made = {}
         for run in [r for r in store.manifest()["runs"] if r not in store.manifest()["index"]["runs"]]:
@@ -124,7 +150,9 @@ class VectorIndex:
             # A large cell is written by several tasks.
             spread = F.pmod(F.xxhash64("file", "row"), F.lit(8))
             made[run] = f"{run}-{uuid.uuid4().hex}"
-            rows.repartition("cell", spread).write.partitionBy("cell").parquet(f"{store.root}/index/{made[run]}")
+            rows.repartition("cell", spread).sortWithinPartitions("cell", "angle").write.partitionBy("cell").parquet(f"{store.root}/index/{made[run]}")
+            written = self.spark.read.schema(INDEX).parquet(f"{store.root}/index/{made[run]}").groupBy("cell").agg(F.min("angle").alias("least"), F.max("angle").alias("most"))
+            written.coalesce(1).write.parquet(f"{store.root}/index/{rings_of(made[run])}")
         self._publish(name, made)
 
     def _publish(self, name: str, made: dict[str, str]) -> None:
@@ -172,6 +200,8 @@ class VectorIndex:
         Missed are rows outside the probed cells, or that the codes leave out of the short list (SHORT * top_k rows a question and part of a cell).
         """
         store, manifest = self.collection, self.collection.manifest()
+        if "index" not in manifest:
+            return ranked(self._late(manifest, questions, top_k), top_k)
         held = manifest["index"]
         model = self.spark.sparkContext.broadcast(self.model(manifest))
         dimension, most = store.dimension, SHORT * top_k
@@ -187,10 +217,8 @@ class VectorIndex:
         n = asked.count()
         cells = sorted(r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect())  # at most CELLS
         codes = self._codes(manifest, cells)
-        sizes = codes.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).alias("parts"))
-        left = codes.select("cell", "file", "row", "code").join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("file", "row"), "parts")).drop("parts")
-        right = asked.select("question_id", "q", F.explode("cells").alias("cell")).join(F.broadcast(sizes.withColumnRenamed("parts", "most")), "cell")
-        right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1))).drop("most")
+        asking = asked.select("question_id", "q", F.explode("cells").alias("cell"))
+        left, right = dealt(codes, asking, max(1, math.ceil(n / QUESTIONS)), ["cell", "file", "row", "code"])
 
         def short(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -206,7 +234,7 @@ class VectorIndex:
                     out.append(pd.DataFrame({"question_id": there["question_id"].to_numpy()[ask], "cell": cell, "file": here["file"].to_numpy()[row], "row": here["row"].to_numpy()[row], "near": np.take_along_axis(near, best, 1).ravel()}))
             return pd.concat(out) if out else pd.DataFrame(columns=["question_id", "cell", "file", "row", "near"])
 
-        listed = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(short, f"question_id {kind}, cell int, file string, row long, near double")
+        listed = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInPandas(short, f"question_id {kind}, cell int, file string, row long, near double")
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("near"), "file", "row"))
         listed = listed.withColumn("place", place).where(F.col("place") <= most).select("question_id", "cell", "file", "row").join(asked.select("question_id", "q"), "question_id").checkpoint()
         vectors = self._codes(manifest, cells).select("cell", "file", "row", "unit")
@@ -215,11 +243,83 @@ class VectorIndex:
         dot = F.aggregate(F.zip_with("q", "unit", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         order = Window.partitionBy("question_id").orderBy(F.desc("score"), "file", "row")
         best = scored.select("question_id", "file", "row", F.round(dot, 6).alias("score")).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 2 * top_k)
-        names = store._table("places", [r for r in manifest["runs"] if r in held["runs"]], "source string, index int, file string, row long")
-        best = names.join(F.broadcast(best) if small else best, ["file", "row"]).select("question_id", "score", "source", "index")
-        rest = [r for r in manifest["runs"] if r not in held["runs"]]
-        if rest:
-            late = store._live(store._placed(rest), manifest).select("source", "index", "vector")
-            best = best.unionByName(search(late, questions, top_k).select("question_id", "score", "source", "index"))
-        order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "index")
-        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("question_id", "rank", "score", "source", "index")
+        best = self._named(best, manifest, small).unionByName(self._late(manifest, questions, top_k))
+        return ranked(best, top_k)
+
+    def _named(self, hits: DataFrame, manifest: dict, small: bool) -> DataFrame:
+        """question_id, score, source and index of hits by file and row."""
+        names = self.collection._table("places", [r for r in manifest["runs"] if r in manifest["index"]["runs"]], PLACES)
+        return names.join(F.broadcast(hits) if small else hits, ["file", "row"]).select("question_id", "score", "source", "index")
+
+    def _late(self, manifest: dict, questions: DataFrame, top_k: int, threshold: float | None = None) -> DataFrame:
+        """The exact hits among rows that are not indexed yet."""
+        store = self.collection
+        rest = [r for r in manifest["runs"] if r not in manifest.get("index", {"runs": {}})["runs"]]
+        kind = questions.schema["question_id"].dataType.simpleString()
+        if not rest:
+            return self.spark.createDataFrame([], f"question_id {kind}, score double, source string, index int")
+        late = store._live(store._placed(rest), manifest).select("source", "index", "vector")
+        return search(late, questions, top_k, threshold).select("question_id", "score", "source", "index")
+
+    def reached(self, questions: DataFrame, threshold: float, manifest: dict | None = None) -> DataFrame:
+        """question_id, q (of length one), cell, low and high: the ring of each cell in which rows with a score of at least the threshold can lie, if the cell has rows there."""
+        manifest = manifest or self.collection.manifest()
+        dimension, runs = self.collection.dimension, [rings_of(i) for r, i in manifest["index"]["runs"].items() if r in manifest["runs"]]
+        rings = self.collection._table("index", runs, RINGS).groupBy("cell").agg(F.min("least"), F.max("most")).collect()  # at most CELLS rows
+        model = self.spark.sparkContext.broadcast((self.model(manifest), np.array(rings, "f8").reshape(-1, 3)))
+        reach = math.acos(max(-1.0, min(1.0, threshold - SLACK)))
+        kind = questions.schema["question_id"].dataType.simpleString()
+
+        def rings_near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fitted, (cell, least, most) = model.value[0], model.value[1].T
+            for part in parts:
+                for at in range(0, len(part), max(1, TILE // len(fitted.centers))):
+                    some = part.iloc[at : at + max(1, TILE // len(fitted.centers))]
+                    q = unit(matrix(some["vector"], dimension))
+                    angle = fitted.angles(q)[:, cell.astype("i8")]
+                    row, own = np.nonzero((angle - reach <= most) & (angle + reach >= least))
+                    near = angle[row, own]
+                    yield pd.DataFrame({"question_id": some["question_id"].to_numpy()[row], "q": list(q[row]), "cell": cell[own].astype("i4"), "low": near - reach, "high": near + reach})
+
+        return questions.select("question_id", "vector").mapInPandas(rings_near, f"question_id {kind}, q array<double>, cell int, low double, high double")
+
+    def within(self, questions: DataFrame, threshold: float, top_k: int = 4) -> DataFrame:
+        """question_id, rank, score, source and index of the k best rows with a score of at least the threshold (above 0): the same as an exact search.
+
+        Only folders of cells that some question reaches are read, and of their rows those within the rings of all questions are compared. Null vectors have no hits.
+        """
+        if not threshold > 0:
+            raise ValueError("a threshold has to be above 0")
+        manifest = self.collection.manifest()
+        if "index" not in manifest:
+            return ranked(self._late(manifest, questions, top_k, threshold), top_k)
+        asked = self.reached(questions, threshold, manifest).checkpoint()
+        rings = asked.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))  # at most CELLS rows
+        rows = self._codes(manifest, sorted(r.cell for r in rings.collect())).join(F.broadcast(rings), "cell").where("angle >= low and angle <= high")
+        left, right = dealt(rows, asked.select("question_id", "q", "cell"), max(1, math.ceil(questions.count() / QUESTIONS)), ["cell", "file", "row", "unit"])
+        least = math.ceil(round(threshold * STEPS, 3))
+        kind = questions.schema["question_id"].dataType.simpleString()
+
+        def compared(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(here) and len(there):
+                x, q = np.array(here["unit"].tolist()), np.array(there["q"].tolist())
+                some = max(1, TILE // len(x))
+                for at in range(0, len(q), some):
+                    steps = np.rint(q[at : at + some] @ x.T * STEPS).astype("i8")
+                    if len(x) > top_k:
+                        # Ties with the last place stay: names decide among them later.
+                        floor = np.maximum(least, np.partition(steps, len(x) - top_k, axis=1)[:, len(x) - top_k])[:, None]
+                    else:
+                        floor = least
+                    ask, row = np.nonzero(steps >= floor)
+                    out.append(pd.DataFrame({"question_id": there["question_id"].to_numpy()[at + ask], "file": here["file"].to_numpy()[row], "row": here["row"].to_numpy()[row], "score": steps[ask, row] / STEPS}))
+            return pd.concat(out) if out else pd.DataFrame(columns=["question_id", "file", "row", "score"])
+
+        found = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInPandas(compared, f"question_id {kind}, file string, row long, score double")
+        return ranked(self._named(found, manifest, False).unionByName(self._late(manifest, questions, top_k, threshold)), top_k)
+
+
+def ranked(hits: DataFrame, top_k: int) -> DataFrame:
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "index")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("question_id", "rank", "score", "source", "index")

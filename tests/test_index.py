@@ -52,6 +52,8 @@ def test_index_follows_its_collection(spark, tmp_path):
     vectors = clustered(400)
     store = Collection(spark, str(tmp_path / "c"), 16)
     VectorIndex(store).build()  # nothing there
+    nobody = spark.createDataFrame([(1, vectors[0])], "question_id long, vector array<double>")
+    assert not VectorIndex(store).search(nobody).collect() and not VectorIndex(store).within(nobody, 0.5).collect()
     store.add(rows_of(spark, vectors[:300]))
     kept = VectorIndex(store)
     kept.build(cells=8)
@@ -71,3 +73,52 @@ def test_index_follows_its_collection(spark, tmp_path):
             store.compact()
             kept.build()
     assert len(store.manifest()["index"]["runs"]) == 1
+
+
+def exactly(store, asked, threshold, k):
+    return {(h.question_id, h.rank, h.source, round(h.score, 5)) for h in search(store.rows().drop("id"), asked, k, threshold).collect()}
+
+
+def hits_of(found):
+    rows = found.collect()
+    got = {(h.question_id, h.rank, h.source, round(h.score, 5)) for h in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_threshold_search_by_rings_is_exact(spark, tmp_path, monkeypatch):
+    """Ties, zeros, null vectors, deleted and late rows: the same hits as a scan; of 20 clusters few cells are reached, and no other folder is read."""
+    monkeypatch.setattr(index, "ROWS", 50)
+    monkeypatch.setattr(index, "QUESTIONS", 7)  # questions in several blocks
+    vectors = clustered() + [[0.0] * 16, clustered()[5], clustered()[5]]
+    store = Collection(spark, str(tmp_path / "c"), 16)
+    store.add(rows_of(spark, vectors))
+    kept = VectorIndex(store)
+    kept.build(cells=20)
+    named = [(i, vectors[i]) for i in range(5, 1200, 60)] + [(-1, [0.0] * 16), (-2, None), (-3, [-x for x in vectors[0]])]
+    asked = spark.createDataFrame(named, "question_id long, vector array<double>")
+    for threshold, k in ((0.95, 10), (0.5, 100), (0.01, 3), (1.0, 4), (1.5, 4)):
+        assert hits_of(kept.within(asked, threshold, k)) == exactly(store, asked, threshold, k), (threshold, k)
+    one = asked.where("question_id = 5")
+    assert kept.reached(one, 0.95).count() <= 5 and kept.reached(one, 0.01).count() > 5
+    with pytest.raises(ValueError):
+        kept.within(asked, 0.0)
+    store.delete_source("s00005")
+    store.add(rows_of(spark, vectors[:40], 5000))  # not indexed yet
+    got = hits_of(kept.within(asked, 0.9, 10))
+    assert got == exactly(store, asked, 0.9, 10) and any(h[2] >= "s05000" for h in got) and "s00005" not in {h[2] for h in got}
+    store._expire()
+    assert set(store.files.children("index")) >= {f"{i}-rings" for i in store.manifest()["index"]["runs"].values()}
+
+
+def test_files_of_a_cell_are_sorted_by_angle(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "c"), 16)
+    store.add(rows_of(spark, clustered(400)))
+    kept = VectorIndex(store)
+    kept.build(cells=4)
+    manifest = store.manifest()
+    rows = kept._codes(manifest, None).select("cell", "angle", "_metadata.file_name", "_metadata.row_index").collect()
+    by_file = {}
+    for r in sorted(rows, key=lambda r: r.row_index):
+        by_file.setdefault((r.cell, r.file_name), []).append(r.angle)
+    assert len(rows) == 400 and all(a == sorted(a) for a in by_file.values())
