@@ -21,13 +21,24 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, known] if known else [HOME])
 
 
+#: Bytes of rows that Spark sends to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let batches of rows for Python workers end by bytes too, not by the number of rows alone, if the session says nothing about it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 #: Public names and the modules that hold them; imported when they are asked for, so that workers load only what they run.
 EXPORTS = {
     "Pipeline": "plans.pipeline", "Settings": "settings", "Collection": "sources.collection", "Embedder": "operators.embedding",
     "HashedWords": "operators.embedding", "Remote": "operators.embedding", "Pace": "operators.remote", "Generator": "operators.prompt", "Echo": "operators.prompt",
     "Chat": "operators.prompt", "chunk": "operators.chunking", "search": "operators.search", "VectorIndex": "sources.index",
 }
-__all__ = ["prepare", *EXPORTS]
+__all__ = ["bounded", "prepare", *EXPORTS]
 
 
 def __getattr__(name: str) -> object:

@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from chunkweave.functions.text import PY_WS
+from chunkweave.operators.batches import slices
 
 #: From the strongest separator to the weakest: fixed values.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
-#: Characters whose places are listed at once.
+#: Characters whose places are listed, and whose chunks are sent, at once.
 GROUP = 1 << 18
 CHUNK = "source string, index int, text string, line_start int, line_end int"
 #: Whether a code point is not blank; those beyond the table are not.
@@ -112,9 +113,9 @@ def chunk(documents: DataFrame, size: int = 1000, overlap: int = 150, keep: tupl
     check_sizes(size, overlap)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+        for batch in slices(batches):
             for numbers, texts in groups(batch.column(1).to_pylist()):
+                columns: list[list] = [[], [], [], [], []]
                 layout = Layout(texts)
                 for row, span in zip(numbers, layout.spans, strict=True):
                     found = list(zip(*layout.chunks(*span, size, overlap), strict=True))
@@ -122,9 +123,9 @@ def chunk(documents: DataFrame, size: int = 1000, overlap: int = 150, keep: tupl
                         n = len(found[0])
                         for column, values in zip(columns, ([row] * n, range(n), *found), strict=True):
                             column += values
-            rows, index, texts, first, last = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True))
-            kept = [batch.column(i).take(rows) for i in range(2, batch.num_columns)]
-            yield pa.record_batch([batch.column(0).take(rows), index, texts, first, last, *kept], ["source", "index", "text", "line_start", "line_end", *keep])
+                rows, index, found, first, last = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True))
+                kept = [batch.column(i).take(rows) for i in range(2, batch.num_columns)]
+                yield pa.record_batch([batch.column(0).take(rows), index, found, first, last, *kept], ["source", "index", "text", "line_start", "line_end", *keep])
 
     rows = documents.select("source", "text", *keep)
     return rows.mapInArrow(chunks, T.StructType([*T.StructType.fromDDL(CHUNK).fields, *rows.schema.fields[2:]]))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from chunkweave.operators.batches import ROWS, slices
 from chunkweave.operators.remote import Caller, Pace
 
 Result = TypeVar("Result")
@@ -35,7 +36,7 @@ class Embedder(Protocol):
 class HashedWords:
     """Deterministic bag of words: each lower-case word counts in the bucket that the first byte of its MD5 names."""
 
-    batch = 4096
+    batch = ROWS
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
@@ -114,7 +115,7 @@ def embed(rows: DataFrame, embedder: Embedder, batch: int | None = None, attempt
             call = lambda: ask(lambda: checked(embedder.embed(some), len(some), embedder.dimension))
             return retry(call, attempts, base_delay, "embedding")
 
-        for part in parts:
+        for part in slices(parts, max(1, ROWS // most) * most):
             found: list[Vectors | None] = []
             errors: list[str | None] = []
             texts = [t or "" for t in part.column(place).to_pylist()]
@@ -143,7 +144,7 @@ def hashed_counts(rows: DataFrame, keys: list[str], dimension: int = 64) -> Data
     embedder = HashedWords(dimension)
 
     def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             found = embedder.embed([t or "" for t in part.column(len(keys)).to_pylist()])
             row, bucket = found.nonzero()
             columns = [part.column(i).take(pa.array(row)) for i in range(len(keys))]
