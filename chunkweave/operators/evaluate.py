@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions import text as X
+from chunkweave.operators.batches import slices
 
-#: Bytes of passages that are sent to every task at once.
-PASSAGE_BYTES = 64 << 20
+#: Bytes of passages that are sent to every task at once; an automaton takes some tens of bytes for each.
+PASSAGE_BYTES = 4 << 20
 
 
 def candidates(questions: DataFrame, hits: DataFrame, most: int = 10) -> DataFrame:
@@ -56,7 +57,7 @@ def scanned(documents: DataFrame, block: DataFrame) -> DataFrame:
             automaton.add_word(t, tuple(ids))
         if len(automaton):
             automaton.make_automaton()
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple] = []
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = {i for _, ids in automaton.iter(text) for i in ids} if text and len(automaton) else ()
