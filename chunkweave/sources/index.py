@@ -1,8 +1,9 @@
 """An approximate index that is kept with a collection: an inverted file of coarse cells with product-quantised residuals.
 
 Cells and codes are fitted on a bounded sample (`SAMPLE` vectors, chosen by hash); every row is indexed. Each run of the collection has a run of the index
-beside it, in folders by cell: file and row of each vector, its code, and its unit vector. A search reads the codes of the probed cells alone, adds up
-tables of inner products to approximate scores, and fetches the vectors of a short list for exact ones. Rows that the
+beside it, in folders by cell: file and row of each vector, its code, and its unit vector. A search of few questions reads the codes of the probed cells alone, adds up
+tables of inner products to approximate scores, and fetches the vectors of a short list for exact ones. Many questions would fetch more than the cells
+hold: they stay in blocks, which meet the vectors of the probed cells in groups, each pair in a task of its own, and these are scored exactly at once. Rows that the
 collection has marked as deleted fall out by its deletion vectors, and runs that are not indexed yet are searched exactly, so the index may lag behind.
 
 How many cells to probe is measured: `tuned` takes the fewest with which a bounded sample of stored vectors, as questions, finds the asked share of its exact best.
@@ -17,14 +18,18 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chunkweave.operators.batches import slices
 from chunkweave.operators.search import STEPS, matrix, search, unit
 from chunkweave.sources.collection import PLACES, Collection
 
@@ -32,8 +37,12 @@ from chunkweave.sources.collection import PLACES, Collection
 SAMPLE, ASKED = 65_536, 200
 #: Cells at most, components in a part of a code, and entries of a part's book.
 CELLS, PART, BOOK = 4096, 4, 256
-#: Rows of a cell and questions that a task takes, and scores that are worked out at once.
+#: Rows and questions that a task takes at most, bytes of their vectors, and scores that are worked out at once.
 ROWS, QUESTIONS, TILE = 200_000, 20_000, 1 << 20
+ROW_BYTES, QUESTION_BYTES = 32 << 20, 16 << 20
+#: Hits that a task holds before those that have fallen behind are left out.
+HELD = 1 << 20
+NONE = np.iinfo("i8").min
 #: Hits of a short list for each of the asked ones, and bytes of short lists that go to all tasks.
 SHORT, SENT_BYTES = 12, 32 << 20
 INDEX = "file string, row long, code binary, unit array<double>, angle double, cell int"
@@ -109,6 +118,108 @@ def dealt(rows: DataFrame, asked: DataFrame, blocks: int, kept: list[str]) -> tu
     return left, right.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"))
 
 
+def taken(q: np.ndarray, cells: int, takes: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Which cells each question takes, by the tile; and the first question of the tile."""
+    some = max(1, TILE // cells)
+    for at in range(0, len(q), some):
+        yield at, takes(q[at : at + some])
+
+
+def met(rows_of: Callable[[list[int]], DataFrame], questions: DataFrame, dimension: int, model: Broadcast, takes: Callable[[Model, np.ndarray], np.ndarray], k: int, least: int) -> DataFrame:
+    """question_id, file, row and score: each question's k best rows of each group, ties included, of the cells it takes, with at least `least` steps.
+
+    rows_of: the rows of some cells, for which only the folders of these are read.
+
+    Whole cells share a group, large ones are dealt to several, one small row a cell. Rows travel packed, once for each block of questions that takes a
+    cell of their group, and questions once for each such group, so neither is repeated by cell.
+    """
+    spark, kind = questions.sparkSession, questions.schema["question_id"].dataType
+    most, own = (max(1, min(n, size // (8 * dimension))) for n, size in ((ROWS, ROW_BYTES), (QUESTIONS, QUESTION_BYTES)))
+    blocks = max(1, math.ceil(questions.count() / own))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            q = unit(matrix(batch.column(1).to_pylist(), dimension))
+            cells = np.zeros(len(model.value.centers), bool)
+            for _, chosen in taken(q, len(cells), partial(takes, model.value)):
+                cells |= chosen.any(axis=0)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(q)], pa.int32()), batch.column(0))
+            block = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.record_batch([block, ids, pa.array([q.tobytes()], pa.binary()), pa.array([np.flatnonzero(cells).tolist()], pa.list_(pa.int32()))], ["block", "ids", "q", "cells"])
+
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), *T.StructType.fromDDL("q binary, cells array<int>").fields])
+    asked = questions.select("question_id", "vector").repartition(blocks).mapInArrow(packed, schema).checkpoint()
+    wanted = asked.select("block", F.explode("cells").alias("cell")).distinct()
+    rows = rows_of(sorted(r.cell for r in wanted.select("cell").distinct().collect()))  # at most CELLS rows, as of the counts
+    sizes = rows.groupBy("cell").count().orderBy("cell").collect()
+    dealt, group, held = [], 0, 0
+    for cell, n in sizes:
+        if held and held + n > most:
+            group, held = group + 1, 0
+        parts = math.ceil(n / most)
+        dealt.append((cell, group, parts))
+        group, held = (group + parts, 0) if parts > 1 else (group, held + n)
+    plan = spark.createDataFrame(dealt, "cell int, first int, parts int")
+    pairs = wanted.join(F.broadcast(plan), "cell").select("block", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("group")).distinct()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            order = np.argsort(groups, kind="stable")
+            x = batch.column(4).flatten().to_numpy().reshape(len(groups), dimension)
+            cells = batch.column(1).to_numpy()
+            for at in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+                if len(at):
+                    listed = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column(i).take(pa.array(at))) for i in (2, 3)]
+                    yield pa.record_batch([pa.array([groups[at[0]]], pa.int32()), pa.array([cells[at].astype("<i4").tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary()), *listed], ["group", "cells", "units", "files", "rows"])
+
+    group = (F.col("first") + F.pmod(F.xxhash64("file", "row"), F.col("parts"))).cast("int").alias("group")
+    left = rows.join(F.broadcast(plan), "cell").select(group, "cell", "file", "row", "unit").mapInArrow(together, "group int, cells binary, units binary, files array<string>, rows array<long>")
+    left = left.join(F.broadcast(pairs.withColumnRenamed("block", "_block")), "group").withColumnRenamed("_block", "block")
+    right = asked.select("block", "ids", "q").join(F.broadcast(pairs), "block")
+
+    def compared(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if not len(here) or not len(there):
+            return pd.DataFrame(columns=["question_id", "file", "row", "score"])
+        cells = np.frombuffer(b"".join(here["cells"]), "<i4")
+        x = np.frombuffer(b"".join(here["units"]), "f8").reshape(-1, dimension)
+        q = np.frombuffer(b"".join(there["q"]), "f8").reshape(-1, dimension)
+        found = np.unique(cells)
+        chosen = np.concatenate([c[:, found] for _, c in taken(q, len(model.value.centers), partial(takes, model.value))])
+        best = np.full((len(q), k), NONE)
+        hits: list[np.ndarray] = []
+        held, most = 0, HELD
+
+        def kept() -> np.ndarray:
+            """Hits (question, row, steps) that no k better ones of the group have passed; names decide among ties later."""
+            every = np.concatenate([np.empty((3, 0), "i8"), *hits], axis=1)
+            return every[:, every[2] >= best.min(axis=1)[every[0]]]
+
+        for j, cell in enumerate(found.tolist()):
+            row, ask = np.flatnonzero(cells == cell), np.flatnonzero(chosen[:, j])
+            for low in range(0, len(row), TILE // 16):
+                at = row[low : low + TILE // 16]
+                some = max(1, TILE // (len(at) + k))
+                for part in (ask[i : i + some] for i in range(0, len(ask), some)):
+                    steps = np.rint(q[part] @ x[at].T * STEPS).astype("i8")
+                    both = np.concatenate((best[part], np.where(steps >= least, steps, NONE)), axis=1)
+                    best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                    a, b = np.nonzero(steps >= np.maximum(best[part].min(axis=1), least)[:, None])
+                    hits.append(np.stack([part[a], at[b], steps[a, b]]))
+                    held += len(a)
+                    if held > most:
+                        hits[:] = [kept()]
+                        held = hits[0].shape[1]
+                        most = max(HELD, 2 * held)
+        question, place, steps = kept()
+        ids = np.concatenate([np.asarray(v, object) for v in there["ids"]])
+        files, numbers = (np.concatenate([np.asarray(v) for v in here[c]]) for c in ("files", "rows"))
+        return pd.DataFrame({"question_id": ids[question], "file": files[place], "row": numbers[place], "score": steps / STEPS})
+
+    schema = T.StructType([questions.schema["question_id"], *T.StructType.fromDDL("file string, row long, score double").fields])
+    return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(compared, schema)
+
+
 class VectorIndex:
     """The index of a collection. Opening it makes nothing; `build` fits it, if it has not been, and indexes the runs that lack it."""
 
@@ -197,7 +308,7 @@ class VectorIndex:
     def search(self, questions: DataFrame, top_k: int = 4, probes: int | None = None) -> DataFrame:
         """question_id, rank, score, source and index of about the k best rows of the collection, by exact scores.
 
-        Missed are rows outside the probed cells, or that the codes leave out of the short list (SHORT * top_k rows a question and part of a cell).
+        Missed are rows outside the probed cells and, with few questions, those that the codes leave out of the short list (SHORT * top_k rows a question and part of a cell).
         """
         store, manifest = self.collection, self.collection.manifest()
         if "index" not in manifest:
@@ -207,6 +318,15 @@ class VectorIndex:
         dimension, most = store.dimension, SHORT * top_k
         many = probes or held["probes"] or len(model.value.centers)
         kind = questions.schema["question_id"].dataType.simpleString()
+        if questions.count() * most * (8 * dimension + 128) > SENT_BYTES:
+
+            def nearest_cells(fitted: Model, q: np.ndarray) -> np.ndarray:
+                out = np.zeros((len(q), len(fitted.centers)), bool)
+                np.put_along_axis(out, fitted.probed(q, many), True, axis=1)
+                return out
+
+            found = met(partial(self._codes, manifest), questions, dimension, model, nearest_cells, top_k, NONE)
+            return ranked(self._named(found, manifest, False).unionByName(self._late(manifest, questions, top_k)), top_k)
 
         def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -238,12 +358,11 @@ class VectorIndex:
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("near"), "file", "row"))
         listed = listed.withColumn("place", place).where(F.col("place") <= most).select("question_id", "cell", "file", "row").join(asked.select("question_id", "q"), "question_id").checkpoint()
         vectors = self._codes(manifest, cells).select("cell", "file", "row", "unit")
-        small = n * most * (8 * dimension + 128) <= SENT_BYTES
-        scored = vectors.join(F.broadcast(listed) if small else listed, ["cell", "file", "row"])
+        scored = vectors.join(F.broadcast(listed), ["cell", "file", "row"])
         dot = F.aggregate(F.zip_with("q", "unit", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         order = Window.partitionBy("question_id").orderBy(F.desc("score"), "file", "row")
         best = scored.select("question_id", "file", "row", F.round(dot, 6).alias("score")).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 2 * top_k)
-        best = self._named(best, manifest, small).unionByName(self._late(manifest, questions, top_k))
+        best = self._named(best, manifest, True).unionByName(self._late(manifest, questions, top_k))
         return ranked(best, top_k)
 
     def _named(self, hits: DataFrame, manifest: dict, small: bool) -> DataFrame:
@@ -261,62 +380,47 @@ class VectorIndex:
         late = store._live(store._placed(rest), manifest).select("source", "index", "vector")
         return search(late, questions, top_k, threshold).select("question_id", "score", "source", "index")
 
-    def reached(self, questions: DataFrame, threshold: float, manifest: dict | None = None) -> DataFrame:
-        """question_id, q (of length one), cell, low and high: the ring of each cell in which rows with a score of at least the threshold can lie, if the cell has rows there."""
-        manifest = manifest or self.collection.manifest()
-        dimension, runs = self.collection.dimension, [rings_of(i) for r, i in manifest["index"]["runs"].items() if r in manifest["runs"]]
+    def _near(self, threshold: float, manifest: dict) -> tuple[Broadcast, Callable[[Model, np.ndarray], np.ndarray]]:
+        """The model, and which cells have rows in the ring in which rows with a score of at least the threshold can lie, for some questions."""
+        runs = [rings_of(i) for r, i in manifest["index"]["runs"].items() if r in manifest["runs"]]
         rings = self.collection._table("index", runs, RINGS).groupBy("cell").agg(F.min("least"), F.max("most")).collect()  # at most CELLS rows
-        model = self.spark.sparkContext.broadcast((self.model(manifest), np.array(rings, "f8").reshape(-1, 3)))
+        cell, least, most = np.array(rings, "f8").reshape(-1, 3).T
         reach = math.acos(max(-1.0, min(1.0, threshold - SLACK)))
-        kind = questions.schema["question_id"].dataType.simpleString()
 
-        def rings_near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fitted, (cell, least, most) = model.value[0], model.value[1].T
+        def near(fitted: Model, q: np.ndarray) -> np.ndarray:
+            angle = fitted.angles(q)[:, cell.astype("i8")]
+            out = np.zeros((len(q), len(fitted.centers)), bool)
+            out[:, cell.astype("i8")] = (angle - reach <= most) & (angle + reach >= least)
+            return out
+
+        return self.spark.sparkContext.broadcast(self.model(manifest)), near
+
+    def reached(self, questions: DataFrame, threshold: float, manifest: dict | None = None) -> DataFrame:
+        """question_id and cell: the cells in which rows with a score of at least the threshold can lie."""
+        model, near = self._near(threshold, manifest or self.collection.manifest())
+        dimension = self.collection.dimension
+
+        def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for at in range(0, len(part), max(1, TILE // len(fitted.centers))):
-                    some = part.iloc[at : at + max(1, TILE // len(fitted.centers))]
-                    q = unit(matrix(some["vector"], dimension))
-                    angle = fitted.angles(q)[:, cell.astype("i8")]
-                    row, own = np.nonzero((angle - reach <= most) & (angle + reach >= least))
-                    near = angle[row, own]
-                    yield pd.DataFrame({"question_id": some["question_id"].to_numpy()[row], "q": list(q[row]), "cell": cell[own].astype("i4"), "low": near - reach, "high": near + reach})
+                for at, chosen in taken(unit(matrix(part["vector"], dimension)), len(model.value.centers), partial(near, model.value)):
+                    row, cell = np.nonzero(chosen)
+                    yield pd.DataFrame({"question_id": part["question_id"].to_numpy()[at + row], "cell": cell.astype("i4")})
 
-        return questions.select("question_id", "vector").mapInPandas(rings_near, f"question_id {kind}, q array<double>, cell int, low double, high double")
+        kind = questions.schema["question_id"].dataType.simpleString()
+        return questions.select("question_id", "vector").mapInPandas(cells, f"question_id {kind}, cell int")
 
     def within(self, questions: DataFrame, threshold: float, top_k: int = 4) -> DataFrame:
         """question_id, rank, score, source and index of the k best rows with a score of at least the threshold (above 0): the same as an exact search.
 
-        Only folders of cells that some question reaches are read, and of their rows those within the rings of all questions are compared. Null vectors have no hits.
+        Only folders of cells that some question reaches are read, and each question is compared with those of the cells that it reaches. Null vectors have no hits.
         """
         if not threshold > 0:
             raise ValueError("a threshold has to be above 0")
         manifest = self.collection.manifest()
         if "index" not in manifest:
             return ranked(self._late(manifest, questions, top_k, threshold), top_k)
-        asked = self.reached(questions, threshold, manifest).checkpoint()
-        rings = asked.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))  # at most CELLS rows
-        rows = self._codes(manifest, sorted(r.cell for r in rings.collect())).join(F.broadcast(rings), "cell").where("angle >= low and angle <= high")
-        left, right = dealt(rows, asked.select("question_id", "q", "cell"), max(1, math.ceil(questions.count() / QUESTIONS)), ["cell", "file", "row", "unit"])
-        least = math.ceil(round(threshold * STEPS, 3))
-        kind = questions.schema["question_id"].dataType.simpleString()
-
-        def compared(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(here) and len(there):
-                x, q = np.array(here["unit"].tolist()), np.array(there["q"].tolist())
-                some = max(1, TILE // len(x))
-                for at in range(0, len(q), some):
-                    steps = np.rint(q[at : at + some] @ x.T * STEPS).astype("i8")
-                    if len(x) > top_k:
-                        # Ties with the last place stay: names decide among them later.
-                        floor = np.maximum(least, np.partition(steps, len(x) - top_k, axis=1)[:, len(x) - top_k])[:, None]
-                    else:
-                        floor = least
-                    ask, row = np.nonzero(steps >= floor)
-                    out.append(pd.DataFrame({"question_id": there["question_id"].to_numpy()[at + ask], "file": here["file"].to_numpy()[row], "row": here["row"].to_numpy()[row], "score": steps[ask, row] / STEPS}))
-            return pd.concat(out) if out else pd.DataFrame(columns=["question_id", "file", "row", "score"])
-
-        found = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInPandas(compared, f"question_id {kind}, file string, row long, score double")
+        model, near = self._near(threshold, manifest)
+        found = met(partial(self._codes, manifest), questions, self.collection.dimension, model, near, top_k, math.ceil(round(threshold * STEPS, 3)))
         return ranked(self._named(found, manifest, False).unionByName(self._late(manifest, questions, top_k, threshold)), top_k)
 
 

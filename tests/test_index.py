@@ -122,3 +122,21 @@ def test_files_of_a_cell_are_sorted_by_angle(spark, tmp_path):
     for r in sorted(rows, key=lambda r: r.row_index):
         by_file.setdefault((r.cell, r.file_name), []).append(r.angle)
     assert len(rows) == 400 and all(a == sorted(a) for a in by_file.values())
+
+
+def test_many_questions_meet_groups_of_cells(spark, tmp_path, monkeypatch):
+    """Many questions find what an exact search of all cells finds; their vectors travel once for each group of cells, not once for each cell."""
+    monkeypatch.setattr(index, "SENT_BYTES", 0)
+    vectors = clustered()
+    store = Collection(spark, str(tmp_path / "c"), 16)
+    store.add(rows_of(spark, vectors))
+    kept = VectorIndex(store)
+    kept.build(cells=20)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 1200, 5)], "question_id long, vector array<double>")
+    assert hits_of(kept.search(asked, 10, probes=20)) == exactly(store, asked, None, 10)
+    assert recall(store, kept, asked, 10, probes=5)[0] >= 0.95
+    monkeypatch.setattr(index, "ROWS", 50)
+    monkeypatch.setattr(index, "QUESTIONS", 100)
+    monkeypatch.setattr(index, "HELD", 20)
+    assert hits_of(kept.search(asked, 10, probes=20)) == exactly(store, asked, None, 10)
+    assert kept.reached(asked, 0.01).columns == ["question_id", "cell"]
