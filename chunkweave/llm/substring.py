@@ -41,6 +41,8 @@ from chunkweave.llm.common import checkpointed, col, sealed
 MMER = 3
 #: Bytes of packed strings in a bucket, of text scanned at once, and of packed strings held before they are sent.
 BUCKET, GROUP, FLUSH = 24 << 20, 1 << 20, 32 << 20
+#: Rows whose marks are applied, and whose texts are sent, at once.
+APPLIED = 256
 #: Words of a long document that are scanned at once.
 SEGMENT = 100_000
 #: Crowded minimisers are at most so many, and each has more runs than this.
@@ -388,7 +390,7 @@ def repeated_windows(docs: DataFrame, k: int = 13) -> DataFrame:
 
 def applied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Replace column marks by n_words, n_removed, kept_sha256 and the text by the kept text."""
-    for batch in batches:
+    for batch in (whole.slice(at, APPLIED) for whole in batches for at in range(0, whole.num_rows, APPLIED)):
         names = batch.schema.names
         counts: list[list] = [[], [], []]
         texts = []

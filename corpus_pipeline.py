@@ -16,27 +16,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave import prepare
+from chunkweave import bounded, prepare
 from chunkweave.llm import budget_mix, packing, quality_rules, simhash, substring
 from chunkweave.llm.common import read, shared_folder, working_folder
 from chunkweave.sources.files import Files
 
 
+def ready(spark: SparkSession) -> None:
+    """Rows hold whole texts, often twice: batches of them for Python end by bytes."""
+    prepare(spark)
+    bounded(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base checks or a learnt rule go."""
-    prepare(spark)
+    ready(spark)
     return quality_rules.filtered(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
-    prepare(spark)
+    ready(spark)
     return simhash.keep_one(docs, similarity=0.8, shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 13 words that also start in a smaller document are cut out; every document stays."""
-    prepare(spark)
+    ready(spark)
     kept = substring.deduplicated(docs, k=13)
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("text"))}
     if "n_chars" in docs.columns:
@@ -46,13 +52,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    prepare(spark)
+    ready(spark)
     return budget_mix.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    prepare(spark)
+    ready(spark)
     return packing.packed_documents(docs)
 
 
